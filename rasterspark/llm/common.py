@@ -40,8 +40,11 @@ def scratch(df: DataFrame) -> DataFrame:
 
 
 def buckets(spark: SparkSession) -> int:
-    """How many groups posting rows are dealt into: a few for each shuffle partition."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """How many groups posting rows are dealt into: as many as shuffle partitions.
+
+    A group may send a row to every other, so more groups would only make more and smaller rows.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def doc_bucket(column, n: int):
@@ -76,13 +79,18 @@ def split_by(bucket: np.ndarray):
         yield int(bucket[part[0]]), part
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Bytes of the values, all first bytes before all second ones and so on, which compresses well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
 def posting_rows(bucket: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
-    """One row for each bucket; every column becomes the packed little-endian bytes of its values."""
+    """One row for each bucket; every column becomes the packed bytes of its values."""
     keys, packed = [], {name: [] for name in columns}
     for key, rows in split_by(bucket):
         keys.append(key)
         for name, values in columns.items():
-            packed[name].append(values[rows].tobytes())
+            packed[name].append(pack(values[rows]))
     return pa.RecordBatch.from_arrays(
         [pa.array(keys, pa.int32()), *(pa.array(v, pa.binary()) for v in packed.values())],
         names=["bucket", *packed],
@@ -90,7 +98,9 @@ def posting_rows(bucket: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
 
 
 def unpack(group: pa.Table, name: str, dtype) -> np.ndarray:
-    parts = [np.frombuffer(x, dtype) for x in group.column(name).to_pylist()]
+    """The values of all rows of a packed column."""
+    width = np.dtype(dtype).itemsize
+    parts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(dtype).reshape(-1) for x in group.column(name).to_pylist()]
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 

@@ -6,7 +6,8 @@ repeat if the same words start earlier: in a document of smaller doc_id, or earl
 Anchors: D = {0, 1, 3, 9} is a difference cover modulo 13: for any two places i and j there is a
 shift s below 13 with i + s and j + s both in D modulo 13. So two equal windows of 13 + 8 - 1 = 20
 words share an aligned anchor: an 8-word run that begins at a cover position of both. Only the
-runs at cover positions (4 of 13) are hashed and grouped.
+runs at cover positions (4 of 13) are hashed and grouped (by 48 bits: a chance match only costs an
+extension in vain).
 
 Extension: documents meet their anchors that occur more than once. Every window that contains one
 is hashed as a whole and these hashes are grouped again, each with its earliest place; all later
@@ -159,7 +160,7 @@ def repeats(docs: DataFrame, width: int = 20) -> tuple[DataFrame, DataFrame]:
             for a, b in chunks([len(t) for t in texts]):
                 w = Words(texts[a:b])
                 at = np.flatnonzero(_IN_COVER[w.place % PERIOD] & (w.left >= RUN) & (w.place + w.left >= width) & known[a:b][w.doc] if len(w.hash) else [])
-                found.append((w.of(RUN)[at], ids[a:b][w.doc[at]], w.place[at].astype(np.int32)))
+                found.append((w.of(RUN)[at] >> np.uint64(16), ids[a:b][w.doc[at]], w.place[at].astype(np.int32)))
             if found:
                 yield _dealt(n, *(np.concatenate(x) for x in zip(*found)))
 

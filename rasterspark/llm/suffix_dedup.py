@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterspark.llm.common import buckets, chunks, first_equal, posting_rows, split_by, texts_of, unpack
+from rasterspark.llm.common import buckets, chunks, first_equal, pack, posting_rows, split_by, texts_of, unpack
 from rasterspark.llm.hashing import byte_values, mix, prefix, spans, windows
 from rasterspark.llm.substring_dedup import _doc_bucket, bucket_of_id
 
@@ -279,7 +279,7 @@ def _shipped(width: int, n: int):
         a = {k: np.array(x[k], t) for k, t in (("row", np.int64), ("first", np.int32), ("count", np.int16), ("off", np.int16), ("run", np.uint64), ("often", np.uint8))}
         for bucket, at in split_by((a["run"] % np.uint64(n)).astype(np.int64)):
             own = [blobs[i] for i in at]
-            out.append((bucket, 0, *(a[k][at].tobytes() for k in a), np.array([len(b) for b in own], np.int32).tobytes(), b"".join(own)))
+            out.append((bucket, 0, *(pack(a[k][at]) for k in a), pack(np.array([len(b) for b in own], np.int32)), b"".join(own)))
         if hot:
             data = np.frombuffer(b"".join(h[4] for h in hot), np.uint8)
             p, q = prefix(byte_values()[data]), prefix(byte_values(2)[data])
@@ -298,7 +298,7 @@ def _shipped(width: int, n: int):
             one, two, row, first = one[order], two[order], row[order], first[order]
             where = np.where(lead, one, mix(one + row.view(np.uint64) + first.astype(np.uint64)))
             for bucket, at in split_by((where % np.uint64(n)).astype(np.int64)):
-                out.append((bucket, 1, row[at].tobytes(), first[at].tobytes(), b"", b"", one[at].tobytes(), often[at].tobytes(), b"", two[at].tobytes()))
+                out.append((bucket, 1, pack(row[at]), pack(first[at]), b"", b"", pack(one[at]), pack(often[at]), b"", pack(two[at])))
         cols = list(zip(*out)) or [[]] * 10
         kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 8
         return pa.table({f.split()[0]: pa.array(c, t) for f, c, t in zip(_SHIPPED.split(", "), cols, kinds)})
