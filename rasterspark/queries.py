@@ -279,7 +279,7 @@ def visible_region(spark, d):
     return _sizes(spark, d).select("p_partkey", r.alias("r")).select("p_partkey", *(F.round(f"r.{c}", 6).alias(c) for c in ("x", "y", "width", "height")))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(str(r) for r in compression.TARGETS) + ") AS t(" + ", ".join(x.split()[0] for x in compression.NAMES.split(", ")) + ")")
+@query("SELECT * REPLACE (CAST(min_ssim AS DOUBLE) AS min_ssim, CAST(min_worst AS DOUBLE) AS min_worst, CAST(dithering AS DOUBLE) AS dithering) FROM (VALUES " + ", ".join(str(r) for r in compression.TARGETS) + ") AS t(" + ", ".join(x.split()[0] for x in compression.NAMES.split(", ")) + ")")
 def quality_targets(spark, d):
     return compression.quality_targets(spark)
 
