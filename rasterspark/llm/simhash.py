@@ -116,11 +116,12 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.ndarra
 def links(distinct: DataFrame, radius: int = 2, tile_rows: int | None = None) -> DataFrame:
     """Distinct (fp, fp2, node long) -> edges (a, b) between nodes that span the links of the radius.
 
-    A tile holds tile_rows fingerprints at most or about (a 64th of all, but 4,096 to 500,000, if
-    not given), so that a task's two tiles fit in memory whatever the input.
+    A tile holds about tile_rows fingerprints: if not given, a 64th of all, so that a fingerprint
+    goes to about as many tasks whatever the input, but 500,000 at most, so that a task's two tiles
+    fit in memory.
     """
     if tile_rows is None:
-        tile_rows = min(500_000, max(4096, distinct.count() // 64))
+        tile_rows = min(500_000, max(4096 if radius <= 4 else 256, distinct.count() // 64))
     low = F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     high = F.bit_count(F.shiftrightunsigned("fp", 32))
     n = 65
