@@ -113,6 +113,35 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.ndarra
     return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
 
 
+def bridges(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    """Those of forest(left, right, radius) that join what links within left and within right leave apart.
+
+    The links within a tile are found by the tile's own task, so a group that lies in many tiles
+    costs about one row for each two tiles and not one for each of its members in them.
+    """
+    found = forest(left, right, radius)
+    if len(found) < 2:
+        return found
+    shift, root = len(left), {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for side, rows, offset in ((left, np.unique(found[:, 0]), 0), (right, np.unique(found[:, 1]) - shift, shift)):
+        for x, y in (rows[forest(side[rows], None, radius)] + offset).tolist():
+            root[find(y)] = find(x)
+    kept = []
+    for x, y in found.tolist():
+        a, b = find(x), find(y)
+        if a != b:
+            root[b] = a
+            kept.append((x, y))
+    return np.array(kept, np.int64).reshape(-1, 2)
+
+
 def links(distinct: DataFrame, radius: int = 2, tile_rows: int | None = None) -> DataFrame:
     """Distinct (fp, fp2, node long) -> edges (a, b) between nodes that span the links of the radius.
 
@@ -159,7 +188,7 @@ def links(distinct: DataFrame, radius: int = 2, tile_rows: int | None = None) ->
         elif first.all() or not first.any():
             found = np.zeros((0, 2), np.int64)
         else:
-            found = forest(fp[first], fp[~first], radius)
+            found = bridges(fp[first], fp[~first], radius)
             node = np.concatenate([node[first], node[~first]])
         return pd.DataFrame({"a": node[found[:, 0]], "b": node[found[:, 1]]})
 
