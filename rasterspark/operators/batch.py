@@ -31,3 +31,8 @@ def by_setting(results: DataFrame) -> DataFrame:
     return results.rollup("preset", "format").agg(
         F.count("*").alias("n"), F.sum("original").alias("original"), F.sum("output").alias("output"), F.round(F.avg(1 - F.col("output") / F.col("original")), 6).alias("reduction"), F.min("ssim").alias("min_ssim"), F.round(F.avg("ms"), 4).alias("mean_ms"),
     )
+
+
+def status_counts(items: DataFrame) -> DataFrame:
+    """items (status) -> the number of items of each status."""
+    return items.groupBy("status").agg(F.count("*").alias("n"))

@@ -111,3 +111,28 @@ def compose_matte(px: DataFrame, alpha: Column) -> DataFrame:
     m = F.when(alpha < 8 / 255, 0.0).when(alpha > 252 / 255, 1.0).otherwise(alpha)
     out = px.withColumn("a", F.floor(m * F.col("a") + 0.5).cast("int"))
     return out.select("image_id", "w", "h", "x", "y", *(F.when(F.col("a") == 0, 0).otherwise(F.col(c)).alias(c) for c in "rgb"), "a")
+
+
+def _resized(values: Column, size: Column) -> Column:
+    """An array of samples at `size` places, pixel centres aligned, ends repeated."""
+    n = F.size(values)
+
+    def at(k: Column) -> Column:
+        place = F.least((n - 1).cast("double"), F.greatest(F.lit(0.0), (k + 0.5) * (n / size) - 0.5))
+        low = F.floor(place).cast("int")
+        first = F.get(values, low)
+        return first + (F.get(values, F.least(n - 1, low + 1)) - first) * (place - low).cast("float").cast("double")
+
+    return F.transform(F.sequence(F.lit(0), size - 1), at)
+
+
+def bilinear_resize(plane: DataFrame, width: Column, height: Column) -> DataFrame:
+    """(image_id, w, h, x, y, v) -> (image_id, x, y, v) at width x height places (columns of image_id's row).
+
+    Rows of an image are resized as arrays, then its columns; no array is longer than a side.
+    """
+    line = lambda at: F.transform(F.array_sort(F.collect_list(F.struct(at, "v"))), lambda s: s["v"].cast("double"))
+    rows = plane.groupBy("image_id", "w", "h", "y").agg(line("x").alias("line"))
+    wide = rows.select("image_id", "w", "h", "y", F.posexplode(_resized(F.col("line"), width)).alias("x", "v"))
+    columns = wide.groupBy("image_id", "w", "h", "x").agg(line("y").alias("line"))
+    return columns.select("image_id", "x", F.posexplode(_resized(F.col("line"), height)).alias("y", "v")).select("image_id", "x", "y", F.col("v").cast("float").alias("v"))

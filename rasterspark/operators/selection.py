@@ -43,3 +43,39 @@ def apply_results(targets: DataFrame, fills: DataFrame) -> DataFrame:
 def size_gate(items: DataFrame, most: int = 4096) -> DataFrame:
     """Items too large to write back become failures."""
     return items.withColumn("error", F.when((F.col("width") > most) | (F.col("height") > most), F.lit(f"larger than {most} pixels")))
+
+
+def counters(images: DataFrame) -> DataFrame:
+    """images (targets, cropped) -> how many images, targets and crops a selection holds."""
+    return images.agg(F.count("*").alias("images"), F.coalesce(F.sum("targets"), F.lit(0)).alias("targets"), F.count_if("cropped").alias("cropped"))
+
+
+def unsupported(roots: DataFrame, fills: DataFrame) -> DataFrame:
+    """roots (root, kind, has_children, problem) without an image fill (fills: root) -> root, kind, reason.
+
+    The first problem met in the subtree is the reason; without one, the kind of the root gives it.
+    """
+    kind = F.col("kind")
+    plain = (
+        F.when(F.col("has_children"), "Contains no image fills").when(kind == "SLICE", "Slices cannot contain images")
+        .when(kind.isin("CONNECTOR", "LINE"), F.concat(F.upper(F.substring(kind, 1, 1)), F.lower(F.substring(kind, 2, 99)), F.lit(" layers cannot contain images")))
+        .when(kind == "TEXT", "Text without an image fill").otherwise("No image fill")
+    )
+    return roots.join(fills.select("root").distinct(), "root", "left_anti").select("root", "kind", F.coalesce("problem", plain).alias("reason"))
+
+
+def inserted(items: DataFrame, boxes: DataFrame, center_x: float, center_y: float, gap: int = 40) -> DataFrame:
+    """items (image_id, name, format, width, height, node) beside their first target's box (node, bx, by, bw).
+
+    Without a box the new layer is centred in view.
+    """
+    label = F.concat("name", F.lit(" — "), F.upper("format"), F.lit(" "), F.col("width").cast("string"), F.lit("×"), F.col("height").cast("string"))
+    met = items.join(boxes, "node", "left")
+    x = F.coalesce(F.col("bx") + F.col("bw") + gap, center_x - F.col("width") / 2)
+    y = F.when(F.col("bx").isNotNull(), F.col("by").cast("double")).otherwise(center_y - F.col("height") / 2)
+    return met.select("image_id", label.alias("layer"), x.cast("double").alias("x"), y.alias("y"))
+
+
+def provenance(original, processed, at):
+    """The JSON kept with a layer that was written."""
+    return F.to_json(F.struct(original.alias("originalImageHash"), processed.alias("processedImageHash"), at.alias("processedAt")))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterspark.functions import text
+from rasterspark.functions import binary, text
 from rasterspark.operators import analysis, batch, geometry, metrics, palette, planes, selection
-from rasterspark.plans import compression
+from rasterspark.plans import compression, models, settings
 from rasterspark.sources import pixels
 from rasterspark.streaming import events as ev
 
@@ -474,3 +474,138 @@ def request_timeout(spark, d):
     requests = e.filter("event_id % 2 = 0").select(F.col("event_id").alias("request_id"), "ts")
     responses = e.filter("event_id % 2 = 1").select((F.col("event_id") - 1).alias("request_id"), "ts")
     return ev.answered(requests, responses, "60 seconds").select("request_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("asked", "answered")))
+
+
+@query(PX + """, o AS (SELECT *, w + 3 AS w2, greatest(1, h // 2) AS h2 FROM (SELECT DISTINCT image_id, w, h FROM px)),
+g AS (SELECT *, least(w - 1::DOUBLE, greatest(0, (x + 0.5::DOUBLE) * (w / w2) - 0.5::DOUBLE)) AS px_, least(h - 1::DOUBLE, greatest(0, (y + 0.5::DOUBLE) * (h / h2) - 0.5::DOUBLE)) AS py_
+  FROM (SELECT image_id, w, h, w2, h2, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM o, unnest(generate_series(0, w2 - 1)) AS tx(x), unnest(generate_series(0, h2 - 1)) AS ty(y))),
+n AS (SELECT *, CAST(floor(px_) AS INTEGER) AS x0, CAST(floor(py_) AS INTEGER) AS y0, CAST(px_ - floor(px_) AS FLOAT)::DOUBLE AS tx, CAST(py_ - floor(py_) AS FLOAT)::DOUBLE AS ty FROM g),
+q AS (SELECT n.image_id, n.x, n.y, CAST(a.r + (b.r - a.r) * tx + (c.r + (d.r - c.r) * tx - (a.r + (b.r - a.r) * tx)) * ty AS FLOAT) AS v FROM n
+  JOIN px a ON a.image_id = n.image_id AND a.x = x0 AND a.y = y0 JOIN px b ON b.image_id = n.image_id AND b.x = least(n.w - 1, x0 + 1) AND b.y = y0
+  JOIN px c ON c.image_id = n.image_id AND c.x = x0 AND c.y = least(n.h - 1, y0 + 1) JOIN px d ON d.image_id = n.image_id AND d.x = least(n.w - 1, x0 + 1) AND d.y = least(n.h - 1, y0 + 1)) """
+       + "SELECT image_id, count(*) AS n, round(sum(v::DOUBLE * (1 + x + 2 * y)), 2) AS sum_v FROM q GROUP BY image_id")
+def bilinear_resize(spark, d):
+    out = planes.bilinear_resize(_px(spark, d).withColumn("v", F.col("r").cast("double")), F.col("w") + 3, F.greatest(F.lit(1), F.floor(F.col("h") / 2).cast("int")))
+    return out.groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("v").cast("double") * (1 + F.col("x") + 2 * F.col("y"))), 2).alias("sum_v"))
+
+
+@query(SIZE + """, t AS (SELECT *, p_partkey % 7 AS pad, greatest(1, w // 3) AS ow, greatest(1, h // 2) AS oh FROM s)
+SELECT p_partkey, round(5 - pad * w / ow, 6) AS x, round(3 - pad * h / oh, 6) AS y, round(w + 2 * pad * w / ow, 6) AS width, round(h + 2 * pad * h / oh, 6) AS height FROM t""")
+def placement(spark, d):
+    w, h = F.col("w"), F.col("h")
+    out = geometry.placement(F.lit(5), F.lit(3), w, h, F.greatest(F.lit(1), F.floor(w / 3)), F.greatest(F.lit(1), F.floor(h / 2)), F.col("p_partkey") % 7)
+    return _sizes(spark, d).select("p_partkey", out.alias("o")).select("p_partkey", *(F.round(f"o.{c}", 6).alias(c) for c in ("x", "y", "width", "height")))
+
+
+@query(SIZE + " SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 OR h = 0 OR w = 0 THEN TRUE ELSE abs(w / h - (w // 2 + 1) / (h // 2 + 1)) / (w / h) > 0.005 END AS differs FROM s")
+def aspect_differs(spark, d):
+    w, h = F.col("w"), F.col("h")
+    known = F.when(F.col("p_partkey") % 5 > 0, w)
+    return _sizes(spark, d).select("p_partkey", geometry.aspect_differs(known, h, F.floor(w / 2) + 1, F.floor(h / 2) + 1).alias("differs"))
+
+
+@query("""WITH p AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{r[0]}', {r[1]}::DOUBLE, {r[2]}::DOUBLE)" for i, r in enumerate(compression.TARGETS)) + """) AS v(k, preset, s, b)),
+t AS (SELECT preset, 0.9::DOUBLE + l_discount + l_tax / 100 AS ssim, 0.8::DOUBLE + l_discount * 2 AS worst, s, b FROM lineitem JOIN p ON k = l_partkey % 4)
+SELECT preset, CAST(count_if(ssim >= s AND worst >= b) AS BIGINT) AS met, CAST(count_if(ssim >= s - 0.003::DOUBLE AND worst >= b - 0.015::DOUBLE) AS BIGINT) AS near, count(*) AS n FROM t GROUP BY preset""")
+def meets_target(spark, d):
+    names = F.array(*(F.lit(r[0]) for r in compression.TARGETS))
+    rows = _t(spark, d, "lineitem").select(F.element_at(names, (F.col("l_partkey") % 4 + 1).cast("int")).alias("preset"), (0.9 + F.col("l_discount") + F.col("l_tax") / 100).alias("ssim"), (0.8 + F.col("l_discount") * 2).alias("worst"))
+    args = [F.col(c) for c in ("ssim", "worst", "min_ssim", "min_worst")]
+    return rows.join(F.broadcast(compression.quality_targets(spark)), "preset").groupBy("preset").agg(
+        F.count_if(compression.meets_target(*args)).alias("met"), F.count_if(compression.near_miss(*args)).alias("near"), F.count("*").alias("n"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {_KIND} AS f, CASE WHEN p_partkey % 6 = 0 THEN 'unknown' ELSE {_KIND} END AS found, p_size, p_partkey % 4 > 0 AS alpha FROM part)
+SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN 'Encoder produced an empty file' WHEN found <> f THEN 'Output is not a valid ' || upper(f) || ' file (detected ' || found || ')'
+ WHEN p_partkey % 10 = 1 THEN 'Output size ' || (p_size + 1) || '×' || p_size || ' does not match expected ' || p_size || '×' || p_size WHEN f <> 'jpeg' AND NOT alpha THEN 'Transparency was lost during encoding' END AS error FROM t""")
+def validation_error(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    error = compression.validation_error(s % 9, F.when(k % 6 == 0, "unknown").otherwise(_kind()), _kind(), F.when(k % 10 == 1, s + 1).otherwise(s), s, s, s, k % 4 > 0, F.lit(True))
+    return _t(spark, d, "part").select("p_partkey", error.alias("error"))
+
+
+@query("SELECT p_partkey, p_partkey * 65537 % 4294967296 AS big, (p_partkey * 65537 % 4294967296 // 65536) AS head, CAST(length(p_name) >= 4 AS BOOLEAN) AS more, p_name AS text FROM part")
+def read_u32(spark, d):
+    n = F.col("p_partkey") * 65537 % 4294967296
+    content = F.concat(F.unhex(F.lpad(F.hex(n), 8, "0")), F.encode("p_name", "UTF-8"))
+    rows = _t(spark, d, "part").select("p_partkey", "p_name", content.alias("c"))
+    return rows.select("p_partkey", binary.read_uint(F.col("c"), 0).alias("big"), binary.read_uint(F.col("c"), 0, 2).alias("head"), binary.read_uint(F.col("c"), 4).isNotNull().alias("more"), F.decode(F.substring("c", 5, 1000), "ISO-8859-1").alias("text"))
+
+
+@query("SELECT page_id, base64(encode(html)) AS coded, octet_length(encode(html)) AS n_bytes FROM pages")
+def base64_roundtrip(spark, d):
+    rows = _t(spark, d, "pages").select("page_id", F.regexp_replace(F.base64(F.encode("html", "UTF-8")), r"\s", "").alias("coded"))
+    return rows.select("page_id", "coded", F.length(F.unbase64("coded")).cast("long").alias("n_bytes"))
+
+
+@query("SELECT p_partkey, 'IHDR,tEXt,IDAT,IEND' AS kinds, CAST(8 + 25 + 12 + length(p_type) + 12 AS BIGINT) AS n_bytes, p_type AS data FROM part")
+def png_chunks(spark, d):
+    header = F.unhex(F.lit("00000001000000010806000000"))
+    utf8 = lambda c: F.encode(c, "UTF-8")
+    content = F.concat(F.lit(binary.SIGNATURE), binary.png_chunk("IHDR", header), binary.png_chunk("tEXt", utf8("p_name")), binary.png_chunk("IDAT", utf8("p_type")), binary.png_chunk("IEND", F.lit(b"")))
+    out = binary.strip_png(_t(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), content.alias("content")))
+    length = F.length("content")
+    return out.select(F.col("id").alias("p_partkey"), F.array_join("kinds", ",").alias("kinds"), length.cast("long").alias("n_bytes"), F.decode(F.substring(F.col("content"), F.lit(42), length - 57), "UTF-8").alias("data"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS root, CASE o_orderkey % 5 WHEN 0 THEN 'SLICE' WHEN 1 THEN 'CONNECTOR' WHEN 2 THEN 'TEXT' WHEN 3 THEN 'LINE' ELSE 'FRAME' END AS kind, o_orderkey % 3 = 0 AS ch, CASE WHEN o_orderkey % 7 = 0 THEN o_orderpriority END AS problem FROM orders)
+SELECT root, kind, CASE WHEN problem IS NOT NULL THEN problem WHEN ch THEN 'Contains no image fills' WHEN kind = 'SLICE' THEN 'Slices cannot contain images' WHEN kind = 'CONNECTOR' THEN 'Connector layers cannot contain images'
+ WHEN kind = 'LINE' THEN 'Line layers cannot contain images' WHEN kind = 'TEXT' THEN 'Text without an image fill' ELSE 'No image fill' END AS reason FROM r WHERE root NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)""")
+def unsupported_roots(spark, d):
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("SLICE", "CONNECTOR", "TEXT", "LINE", "FRAME"))), (k % 5 + 1).cast("int"))
+    roots = _t(spark, d, "orders").select(k.alias("root"), kind.alias("kind"), (k % 3 == 0).alias("has_children"), F.when(k % 7 == 0, F.col("o_orderpriority")).alias("problem"))
+    return selection.unsupported(roots, _t(spark, d, "lineitem").filter("l_quantity > 30").select(F.col("l_orderkey").alias("root")))
+
+
+@query(SIZE + """, i AS (SELECT s.*, p_name, CASE WHEN s.p_partkey % 2 = 0 THEN 'png' ELSE 'webp' END AS f FROM s JOIN part USING (p_partkey))
+SELECT p_partkey AS image_id, p_name || ' — ' || upper(f) || ' ' || w || '×' || h AS layer, CAST(CASE WHEN p_partkey % 3 = 0 THEN 100 - w / 2 ELSE p_partkey * 2 + w + 40 END AS DOUBLE) AS x, CAST(CASE WHEN p_partkey % 3 = 0 THEN 50 - h / 2 ELSE p_partkey * 3 END AS DOUBLE) AS y FROM i""")
+def apply_insert(spark, d):
+    k = F.col("p_partkey")
+    rows = _sizes(spark, d).join(_t(spark, d, "part").select("p_partkey", "p_name"), "p_partkey")
+    items = rows.select(k.alias("image_id"), F.col("p_name").alias("name"), F.when(k % 2 == 0, "png").otherwise("webp").alias("format"), F.col("w").alias("width"), F.col("h").alias("height"), k.alias("node"))
+    boxes = _sizes(spark, d).filter(k % 3 > 0).select(k.alias("node"), (k * 2).alias("bx"), (k * 3).alias("by"), F.col("w").alias("bw"))
+    return selection.inserted(items, boxes, 100, 50)
+
+
+@query("""SELECT p_partkey, '{"originalImageHash":"' || p_brand || '","processedImageHash":"' || p_type || '","processedAt":' || p_partkey * 1000 || '}' AS provenance FROM part""")
+def provenance_json(spark, d):
+    return _t(spark, d, "part").select("p_partkey", selection.provenance(F.col("p_brand"), F.col("p_type"), F.col("p_partkey") * 1000).alias("provenance"))
+
+
+@query(FILL + ", g AS (SELECT hash, count(*) AS t, bool_or(l_discount > 0.05) AS c FROM f GROUP BY hash) SELECT count(*) AS images, CAST(sum(t) AS BIGINT) AS targets, CAST(count_if(c) AS BIGINT) AS cropped FROM g")
+def selection_counters(spark, d):
+    return selection.counters(_fills(spark, d).groupBy("hash").agg(F.count("*").alias("targets"), F.bool_or(F.col("l_discount") > 0.05).alias("cropped")))
+
+
+@query(f"SELECT {_STATUS} AS status, count(*) AS n FROM orders GROUP BY 1")
+def status_counts(spark, d):
+    return batch.status_counts(_jobs(spark, d))
+
+
+@query("""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'rmbg-1.4' WHEN 1 THEN 'rmbg-1.4-full' WHEN 2 THEN 'birefnet-lite' ELSE 'other' END AS m, p_size % 2 = 0 AS off, p_size % 3 = 0 AS base_off FROM part)
+SELECT p_partkey, m AS model, CASE WHEN m = 'other' THEN NULL WHEN m = 'birefnet-lite' AND off THEN 'rmbg-1.4' ELSE m END AS resolved FROM t""")
+def model_fallback_chain(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    model = F.element_at(F.array(*(F.lit(x) for x in ("rmbg-1.4", "rmbg-1.4-full", "birefnet-lite", "other"))), (k % 4 + 1).cast("int"))
+    unusable = F.concat(F.when(s % 2 == 0, F.array(F.lit("birefnet-lite"))).otherwise(F.array().cast("array<string>")), F.when(s % 3 == 0, F.array(F.lit("rmbg-1.4"))).otherwise(F.array().cast("array<string>")))
+    return _t(spark, d, "part").select("p_partkey", model.alias("model"), models.resolve(model, unusable).alias("resolved"))
+
+
+@query("""SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 0 THEN p_size * 10 ELSE 1024 END AS INTEGER) AS max_width, 1024 AS max_height, CASE WHEN p_partkey % 3 = 1 THEN 'small' ELSE 'high' END AS preset,
+ CAST(CASE WHEN p_partkey % 3 = 1 THEN p_size ELSE 80 END AS INTEGER) AS quality, FALSE AS lossless, 'rmbg-1.4' AS model, 8 AS padding FROM part""")
+def settings_merge(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    stored = F.when(k % 3 == 0, F.concat(F.lit('{"resize":{"maxWidth":'), s * 10, F.lit("}}"))).when(k % 3 == 1, F.concat(F.lit('{"compression":{"preset":"small","custom":{"quality":'), s, F.lit("}}}")))
+    return _t(spark, d, "part").select("p_partkey", settings.merge(stored).alias("s")).select(
+        "p_partkey", F.col("s.resize.maxWidth").alias("max_width"), F.col("s.resize.maxHeight").alias("max_height"), "s.compression.preset", "s.compression.custom.quality", "s.compression.custom.lossless", "s.backgroundRemoval.model", "s.crop.padding")
+
+
+@query("""WITH c AS (SELECT *, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'processing' END AS status, CASE WHEN event_id % 3 > 0 THEN event_type END AS stage FROM events),
+b AS (SELECT user_id, arg_max(status, (ts, event_id)) AS status, arg_max(stage, (ts, event_id)) FILTER (stage IS NOT NULL) AS stage,
+  max((ts, event_id)) FILTER (status = 'processing') AS b, max((ts, event_id)) FILTER (status <> 'processing') AS e, max(ts) FILTER (status = 'processing') AS started_at, max(ts) FILTER (status <> 'processing') AS ended FROM c GROUP BY user_id)
+SELECT user_id, status, stage, started_at, CASE WHEN b IS NULL OR e > b THEN ended END AS finished_at FROM b""")
+def job_state(spark, d):
+    kind, e = F.col("event_type"), _events(spark, d)
+    changes = e.select("user_id", "ts", "event_id", F.when(kind == "error", "failed").when(kind == "purchase", "completed").otherwise("processing").alias("status"), F.when(F.col("event_id") % 3 > 0, kind).alias("stage"))
+    return ev.job_state(changes, "user_id").select("user_id", "status", "stage", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "finished_at")))

@@ -34,3 +34,19 @@ def answered(requests: DataFrame, responses: DataFrame, timeout: str, lateness:
         q, a = q.withWatermark("asked", lateness), a.withWatermark("answered", lateness)
     within = (F.col("request_id") == F.col("_id")) & (F.col("answered") >= F.col("asked")) & (F.col("answered") <= F.col("asked") + F.expr(f"interval {timeout}"))
     return q.join(a, within, "left_outer").drop("_id")
+
+
+def job_state(changes: DataFrame, key: str) -> DataFrame:
+    """Changes (key, ts, event_id, status, stage) -> each job's state after its newest change.
+
+    A stage stays until another is named; a job that runs again has its newest start and no finish
+    before that. Only partial aggregates, so it runs in update mode on a stream.
+    """
+    at = F.struct("ts", "event_id")
+    over = F.col("status").isin("completed", "failed", "cancelled")
+    s = changes.groupBy(key).agg(
+        F.max(F.struct("ts", "event_id", "status")).getField("status").alias("status"),
+        F.max(F.when(F.col("stage").isNotNull(), F.struct("ts", "event_id", "stage"))).getField("stage").alias("stage"),
+        F.max(F.when(F.col("status") == "processing", at)).alias("began"), F.max(F.when(over, at)).alias("ended"),
+    )
+    return s.select(key, "status", "stage", F.col("began.ts").alias("started_at"), F.when(F.col("began").isNull() | (F.col("ended") > F.col("began")), F.col("ended.ts")).alias("finished_at"))
