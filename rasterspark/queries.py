@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterspark.functions import binary, text
-from rasterspark.operators import analysis, batch, geometry, metrics, palette, planes, selection
+from rasterspark.operators import analysis, batch, components, geometry, metrics, palette, planes, selection
 from rasterspark.plans import compression, models, settings
 from rasterspark.sources import pixels
 from rasterspark.streaming import events as ev
@@ -609,3 +609,12 @@ def job_state(spark, d):
     kind, e = F.col("event_type"), _events(spark, d)
     changes = e.select("user_id", "ts", "event_id", F.when(kind == "error", "failed").when(kind == "purchase", "completed").otherwise("processing").alias("status"), F.when(F.col("event_id") % 3 > 0, kind).alias("stage"))
     return ev.job_state(changes, "user_id").select("user_id", "status", "stage", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "finished_at")))
+
+
+@query(PX.replace("WITH", "WITH RECURSIVE", 1) + """, k AS (SELECT image_id, x, y, y * w + x AS p FROM px WHERE r > 127),
+reach(image_id, p, x, y, l) AS (SELECT image_id, p, x, y, p FROM k UNION
+  SELECT k.image_id, k.p, k.x, k.y, o.l FROM (SELECT r.*, x + dx AS nx, y + dy AS ny FROM reach r, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dx, dy)) o JOIN k ON k.image_id = o.image_id AND k.x = nx AND k.y = ny AND k.p > o.l),
+c AS (SELECT image_id, l, count(*) AS n FROM (SELECT image_id, p, min(l) AS l FROM reach GROUP BY ALL) GROUP BY ALL)
+SELECT image_id, CAST(l AS BIGINT) AS label, n, n >= max(n) OVER (PARTITION BY image_id) * 0.1::DOUBLE AS kept FROM c""")
+def component_sizes(spark, d):
+    return components.sizes(_px(spark, d).withColumn("keep", F.col("r") > 127), 0.1)
