@@ -1,36 +1,7 @@
-"""Connected components over an edge table, as Spark joins and partial minima."""
+"""Connected components over an edge table: the engine's own operator, under the name used here."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from rasterspark.operators.components import connected_components
 
-from rasterspark.llm.common import cut
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Edges (a long, b long) -> (node long, label long), label = least node of the component.
-
-    Each round hooks every node to its least neighbour, follows the hooks to their roots by pointer
-    jumping, and contracts the edges to the roots, so links inside a found group are never joined
-    again. At least half of the nodes with an edge left go each round. Nodes without an edge do not
-    appear; loops are harmless; an empty table gives an empty one. All tables are checkpointed, so a
-    lost executor costs one step, and joins read plain exchanges that adaptive execution can split
-    when one node has very many edges.
-    """
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    labels = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label")))
-    left = cut(edges.filter("a <> b").select(*pair).distinct())
-    while left.limit(1).count():
-        both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-        while True:
-            over = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            jumped = cut(hooks.join(over, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-            hooks = jumped.select("node", "root")
-            if not jumped.filter("moved").limit(1).count():
-                break
-        labels = cut(labels.join(hooks.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
-        half = left.join(hooks, left.a == hooks.node).select(F.col("root").alias("a"), "b")
-        left = cut(half.join(hooks, half.b == hooks.node).select("a", F.col("root").alias("b")).filter("a <> b").select(*pair).distinct())
-    return labels
+__all__ = ["connected_components"]
