@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rasterspark.functions.lineage import cut
+
 
 def dedupe(fills: DataFrame) -> DataFrame:
     """fills (pos, node, hash) -> one row an image: its first node, number of targets and of nodes."""
@@ -79,3 +81,19 @@ def inserted(items: DataFrame, boxes: DataFrame, center_x: float, center_y: floa
 def provenance(original, processed, at):
     """The JSON kept with a layer that was written."""
     return F.to_json(F.struct(original.alias("originalImageHash"), processed.alias("processedImageHash"), at.alias("processedAt")))
+
+
+def scan(nodes: DataFrame) -> DataFrame:
+    """nodes (node, parent, place) -> (node, root, depth, path) of every node below a root (null parent).
+
+    path holds the places from the root down, so ordering by it is a walk from parents to children in
+    order. One join a level; a node that no root reaches, as in a ring of parents, does not appear.
+    """
+    level = cut(nodes.filter(F.col("parent").isNull()).select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), F.array(F.col("place").cast("long")).alias("path")))
+    found = level
+    while level.limit(1).count():
+        above = level.select(F.col("node").alias("parent"), "root", "depth", "path")
+        below = nodes.join(above, "parent").select("node", "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(F.col("place").cast("long"))).alias("path"))
+        level = cut(below)
+        found = found.union(level)
+    return found

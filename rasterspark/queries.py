@@ -618,3 +618,12 @@ c AS (SELECT image_id, l, count(*) AS n FROM (SELECT image_id, p, min(l) AS l FR
 SELECT image_id, CAST(l AS BIGINT) AS label, n, n >= max(n) OVER (PARTITION BY image_id) * 0.1::DOUBLE AS kept FROM c""")
 def component_sizes(spark, d):
     return components.sizes(_px(spark, d).withColumn("keep", F.col("r") > 127), 0.1)
+
+
+@query("""WITH RECURSIVE n AS (SELECT p_partkey AS node, CASE WHEN p_partkey >= 10 THEN p_partkey // 10 END AS parent, (p_partkey * 7) % 10 AS place FROM part),
+t(node, root, depth, path) AS (SELECT node, node, 0, CAST(place AS VARCHAR) FROM n WHERE parent IS NULL UNION ALL SELECT n.node, t.root, t.depth + 1, t.path || '/' || n.place FROM t JOIN n ON n.parent = t.node)
+SELECT node, root, CAST(depth AS INTEGER) AS depth, path FROM t""")
+def scan_selection(spark, d):
+    k = F.col("p_partkey")
+    nodes = _t(spark, d, "part").select(k.alias("node"), F.when(k >= 10, F.floor(k / 10).cast("long")).alias("parent"), (k * 7 % 10).alias("place"))
+    return selection.scan(nodes).select("node", "root", "depth", F.array_join("path", "/").alias("path"))

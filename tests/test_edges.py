@@ -83,3 +83,11 @@ def test_job_state(spark):
     rows = [(1, at(0), 1, "processing", "loading"), (1, at(1), 2, "failed", None), (1, at(2), 3, "processing", None), (2, at(0), 4, "pending", None), (3, at(1), 6, "processing", "resizing"), (3, at(1), 7, "completed", "complete")]
     got = {r.job: (r.status, r.stage, r.started_at, r.finished_at) for r in events.job_state(spark.createDataFrame(rows, "job long, ts timestamp, event_id long, status string, stage string"), "job").collect()}
     assert got == {1: ("processing", "loading", at(2), None), 2: ("pending", None, None, None), 3: ("completed", "complete", at(1), at(1))}
+
+
+def test_scan(spark):
+    rows = [(1, None, 2), (2, None, 1), (3, 1, 1), (4, 1, 0), (5, 4, 0), (8, 9, 0), (9, 8, 0)]
+    nodes = spark.createDataFrame(rows, "node long, parent long, place int")
+    got = [(r.node, r.root, r.depth) for r in selection.scan(nodes).orderBy("path").collect()]
+    assert got == [(2, 2, 0), (1, 1, 0), (4, 1, 1), (5, 1, 2), (3, 1, 1)]
+    assert selection.scan(nodes.limit(0)).count() == 0
