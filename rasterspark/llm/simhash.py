@@ -13,6 +13,9 @@ byte-pair counts are compared as blocks with exclusive-or and bit counts, again
 whose counts differ beyond the radius. A task returns a spanning forest of the links it finds, never
 all pairs. Exact copies share one row, so a group of copies of any size costs one fingerprint.
 
+For the pipeline (near_groups, keep_one) the comparison only proposes pairs, and links are verified
+on the sets of shingles.
+
 Null, empty and blank texts have fingerprint zero and are grouped like any other. Null ids: the row
 keeps its fingerprint and takes part; a component of null ids only has a null id.
 """
@@ -30,37 +33,53 @@ from rasterspark.llm.common import cut, texts_of
 from rasterspark.llm.components import connected_components
 
 
-def fingerprint(text: bytes, width: int = 3, seeds: tuple[int, ...] = (42,)) -> list[int]:
-    """One 64-bit fingerprint for each seed."""
+def shingles(text: bytes, width: int) -> list[bytes]:
+    """The runs of width words, repeats included; the whole sequence if it has fewer; none without words."""
     words = text.lower().split()
     if not words:
-        return [0] * len(seeds)
+        return []
     joined = b" ".join(words)
     if len(words) <= width:
-        shingles = [joined]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[: len(words) - width].tolist()]
-        shingles = [joined[a:b] for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
-    out = []
-    for seed in seeds:
-        packed = np.array([xxhash.xxh64_intdigest(x, seed) for x in shingles], "<u8").view(np.uint8).reshape(-1, 8)
-        votes = np.zeros(64, np.int64)
-        for i in range(0, len(packed), 1 << 16):
-            votes += np.unpackbits(packed[i : i + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(votes * 2 > len(shingles), bitorder="little").view("<u8")[0]))
-    return out
-
-
-def fingerprints(docs: DataFrame, width: int = 3, confirm: bool = False) -> DataFrame:
-    """(doc_id, fp, fp2): signed longs; fp2 is a second, independent fingerprint if confirm, else 0."""
-    seeds = (42, 43) if confirm else (42,)
+        return [joined]
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[: len(words) - width].tolist()]
+    return [joined[a:b] for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The fingerprint of the shingles' hashes."""
+    packed = hashes.view(np.uint8).reshape(-1, 8)
+    votes = np.zeros(64, np.int64)
+    for i in range(0, len(packed), 1 << 16):
+        votes += np.unpackbits(packed[i : i + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(packed), bitorder="little").view("<u8")[0])
+
+
+def _hashes(found, seed: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x, seed) for x in found], "<u8")
+
+
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    found = shingles(text, width)
+    return _majority(_hashes(found, seed)) if found else 0
+
+
+def sketch(text: bytes, width: int) -> list[int]:
+    """Of the set of shingles: fingerprints under two seeds, and the least and the largest hash under each."""
+    found = set(shingles(text, width))
+    if not found:
+        return [0] * 6
+    one, two = _hashes(found, 42), _hashes(found, 43)
+    return [_majority(one), _majority(two), int(one.min()), int(one.max()), int(two.min()), int(two.max())]
+
+
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, fp, fp2): signed longs; fp2 is 0."""
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(x, width, seeds) for x in texts_of(batch)], np.uint64).reshape(-1, len(seeds)).view(np.int64)
-            second = found[:, 1] if confirm else np.zeros(len(found), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found[:, 0]), pa.array(second)], names=["doc_id", "fp", "fp2"])
+            found = np.array([fingerprint(x, width) for x in texts_of(batch)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array(np.zeros(len(found), np.int64))], names=["doc_id", "fp", "fp2"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long, fp2 long")
 
@@ -142,8 +161,9 @@ def bridges(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
     return np.array(kept, np.int64).reshape(-1, 2)
 
 
-def links(distinct: DataFrame, radius: int = 2, tile_rows: int | None = None) -> DataFrame:
-    """Distinct (fp, fp2, node long) -> edges (a, b) between nodes that span the links of the radius.
+def meetings(distinct: DataFrame, radius: int, tile_rows: int | None = None) -> DataFrame:
+    """Distinct (fp, fp2, node long, ...) -> its rows once for each meeting (x, y) of their tile with a tile in
+    reach, first: whether the row is of tile x.
 
     A tile holds about tile_rows fingerprints: if not given, a 64th of all, so that a fingerprint
     goes to about as many tasks whatever the input, but 500,000 at most, so that a task's two tiles
@@ -160,12 +180,12 @@ def links(distinct: DataFrame, radius: int = 2, tile_rows: int | None = None) ->
     else:  # bands of the whole count, wide enough that only neighbours can meet
         tile = F.floor((high + low) / (radius + 1)) * n
         near = [(a, 0) for a in (-1, 0, 1)]
-    tiles = distinct.select("fp", "fp2", "node", tile.cast("int").alias("tile"))
+    tiles = distinct.withColumn("tile", tile.cast("int"))
     # no more rows than there are counts (33 * 33), whatever the input
     sizes = tiles.groupBy("tile").count().select("tile", F.ceil(F.col("count") / tile_rows).cast("int").alias("parts"))
     steps = F.array(*(F.struct(F.lit(a).alias("dh"), F.lit(b).alias("dl")) for a, b in near))
     theirs = sizes.select(F.col("tile").alias("other"), F.col("parts").alias("other_parts"))
-    dealt = (
+    return (
         tiles.join(F.broadcast(sizes), "tile")
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("step", F.explode(steps))
@@ -177,9 +197,13 @@ def links(distinct: DataFrame, radius: int = 2, tile_rows: int | None = None) ->
         .withColumn("other_part", F.explode(F.sequence(F.lit(0), F.col("other_parts") - 1)))
         .withColumn("me", F.col("tile").cast("long") * 1_000_000_000 + F.col("part"))
         .withColumn("you", F.col("other").cast("long") * 1_000_000_000 + F.col("other_part"))
-        .select(F.least("me", "you").alias("x"), F.greatest("me", "you").alias("y"), (F.col("me") <= F.col("you")).alias("first"), "fp", "fp2", "node")
+        .select(F.least("me", "you").alias("x"), F.greatest("me", "you").alias("y"), (F.col("me") <= F.col("you")).alias("first"), *distinct.columns)
     )
 
+
+def links(distinct: DataFrame, radius: int = 2, tile_rows: int | None = None) -> DataFrame:
+    """Distinct (fp, fp2, node long) -> edges (a, b) between nodes that span the links of the radius."""
+
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf[["fp", "fp2"]].to_numpy(np.int64).view(np.uint64)
         node, first = pdf["node"].to_numpy(), pdf["first"].to_numpy()
@@ -192,20 +216,18 @@ def links(distinct: DataFrame, radius: int = 2, tile_rows: int | None = None) ->
             node = np.concatenate([node[first], node[~first]])
         return pd.DataFrame({"a": node[found[:, 0]], "b": node[found[:, 1]]})
 
-    return dealt.groupBy("x", "y").applyInPandas(compare, "a long, b long")
+    return meetings(distinct.select("fp", "fp2", "node"), radius, tile_rows).groupBy("x", "y").applyInPandas(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, confirm: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """documents (doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id, n_links.
 
     component_id is the smallest doc_id of the group. n_links counts the edges of the spanning
-    forest at the document's fingerprint (0: no other fingerprint is near). With confirm, a second
-    fingerprint under another seed must be as near, which keeps chance links away at a large radius.
+    forest at the document's fingerprint (0: no other fingerprint is near).
     """
-    hashed = cut(fingerprints(docs, width, confirm))
-    # a node stands for a distinct fingerprint and is numbered by it, or by both fingerprints' hash
-    node = F.xxhash64("fp", "fp2") if confirm else F.col("fp")
-    distinct = cut(hashed.groupBy("fp", "fp2").agg(F.min("doc_id").alias("least")).withColumn("node", node))
+    hashed = cut(fingerprints(docs, width))
+    # a node stands for a distinct fingerprint and is numbered by it
+    distinct = cut(hashed.groupBy("fp", "fp2").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")))
     edges = cut(links(distinct, radius))
     labels = connected_components(edges)
     degree = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links")))
@@ -216,13 +238,96 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, confirm: b
     return hashed.join(groups, ["fp", "fp2"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 12) -> DataFrame:
-    """Keep, of every group of near duplicates, the document with the smallest doc_id.
+def _pairs(fp: np.ndarray, label: np.ndarray, other: np.ndarray, other_label: np.ndarray, radius: int, total: int, within: bool) -> np.ndarray:
+    """All (row of fp, row of other) of different labels whose first fingerprints are within radius and both together within total."""
+    out = [np.zeros((0, 2), np.int64)]
+    step = max(1, (1 << 18) // max(1, len(other)))
+    for k in range(0, len(fp), step):
+        low = k if within else 0
+        x, y = np.nonzero(np.bitwise_count(fp[k : k + step, 0][:, None] ^ other[low:, 0][None, :]) <= radius)
+        x, y = x + k, y + low
+        near = (label[x] != other_label[y]) & (np.bitwise_count(fp[x, 0] ^ other[y, 0]) + np.bitwise_count(fp[x, 1] ^ other[y, 1]) <= total)
+        near &= (y > x) | (not within)
+        out.append(np.stack([x[near], y[near]], axis=1))
+    return np.concatenate(out)
+
+
+def candidates(distinct: DataFrame, radius: int, total: int, tile_rows: int | None = None) -> DataFrame:
+    """Distinct (fp, fp2, node, label) -> every pair (a, b) of nodes with different labels near by both fingerprints."""
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        fp = pdf[["fp", "fp2"]].to_numpy(np.int64).view(np.uint64)
+        node, label, first = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["first"].to_numpy()
+        if pdf["x"].iat[0] == pdf["y"].iat[0]:
+            mine = theirs = np.arange(len(fp))
+        else:
+            mine, theirs = np.flatnonzero(first), np.flatnonzero(~first)
+        found = _pairs(fp[mine], label[mine], fp[theirs], label[theirs], radius, total, mine is theirs)
+        return pd.DataFrame({"a": node[mine[found[:, 0]]], "b": node[theirs[found[:, 1]]]})
+
+    return meetings(distinct.select("fp", "fp2", "node", "label"), radius, tile_rows).groupBy("x", "y").applyInPandas(compare, "a long, b long")
+
+
+def similar(a: bytes, b: bytes, width: int, share: float) -> bool:
+    """Whether the sets of shingles have that Jaccard similarity; two empty sets are alike."""
+    one, two = set(shingles(a, width)), set(shingles(b, width))
+    return one == two or len(one & two) / len(one | two) >= share
+
+
+def verified(edges: DataFrame, texts: DataFrame, width: int, share: float) -> DataFrame:
+    """Those of the edges (a, b) whose nodes' texts are similar. texts: (node, text), a node may repeat."""
+
+    def run(batches):
+        for batch in batches:
+            alike = [similar(x, y, width, share) for x, y in zip(texts_of(batch, "one"), texts_of(batch, "two"))]
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    needed = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = cut(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]))
+    both = edges.join(held.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("two")), "b")
+    return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+
+
+def near_groups(docs: DataFrame, width: int = 5, share: float = 0.8, radius: int = 22, total: int = 40) -> DataFrame:
+    """docs (text) -> (node, label): the hash of each distinct text that is similar to another, and its group.
+
+    Texts whose sets of shingles have a Jaccard similarity of at least `share` are linked, and linked
+    texts form a group. Every link is verified on the shingles themselves; fingerprints only propose:
+
+    1. Texts that share the least or largest shingle hash (of two seeds) are each proposed with one of
+       them. The groups of the verified links are far fewer than the texts of a large group of copies.
+    2. Every pair of texts from different groups is proposed if the first fingerprints differ in at
+       most `radius` of 64 bits, and both together in at most `total` of 128.
+
+    At a similarity J a bit differs with probability acos(2J / (1 + J)) / pi, 0.148 at 0.8. With the
+    bits taken as independent, a pair at 0.8 is left out of step 2 with a probability of about 3e-6.
+    """
+    texts = docs.select(F.xxhash64("text").alias("node"), F.col("text").cast("binary").alias("text"))
+    names = ["fp", "fp2", "v0", "v1", "v2", "v3"]
+
+    def run(batches):
+        for batch in batches:
+            found = np.array([sketch(x, width) for x in texts_of(batch)], np.uint64).reshape(-1, 6).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(found[:, i]) for i in range(6))], names=["node", *names])
+
+    hashed = cut(texts.mapInArrow(run, "node long, " + ", ".join(f"{x} long" for x in names)).dropDuplicates(["node"]))
+    values = hashed.select("node", F.posexplode(F.array(*names[2:])).alias("k", "v"))
+    leaders = values.groupBy("k", "v").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    stars = cut(values.join(leaders, ["k", "v"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct())
+    sure = cut(verified(stars, texts, width, share))
+    labels = connected_components(sure)
+    grouped = cut(hashed.join(labels, "node", "left").select("fp", "fp2", "node", F.coalesce("label", "node").alias("label")))
+    more = verified(cut(candidates(grouped, radius, total)), texts, width, share)
+    return connected_components(cut(sure.union(more)))
+
+
+def keep_one(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
+    """Keep, of every group of near duplicates (near_groups), the document with the smallest doc_id.
 
-    Two fingerprints of 64 bits must both agree in at least 52 bits, a similarity of 0.8 or more.
     All columns are kept. Rows that repeat a doc_id share its fate; a null id is kept only in a
     group without other ids.
     """
-    found = near_duplicates(docs, width, radius, confirm=True)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
+    labels = near_groups(docs, width, share)
+    ids = docs.select(F.xxhash64("text").alias("node"), F.col("doc_id").cast("long").alias("_kept_id"))
+    kept = ids.join(labels, "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("_kept_id").alias("_kept_id")).select("_kept_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")

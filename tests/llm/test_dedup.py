@@ -192,3 +192,32 @@ def test_repeated_rows(spark):
 def test_text_without_repeats_is_left_alone(spark):
     df = spark.createDataFrame([(1, "a\n\n b\tc "), (2, None)], SCHEMA)
     assert {r.doc_id: r.text for r in substring_dedup.remove(df).collect()} == {1: "a\n\n b\tc ", 2: None}
+
+
+def test_keep_one_meets_the_shingle_similarity(spark):
+    """Planted pairs just above and below 0.8, against all pairs by brute force."""
+    rng = random.Random(6)
+    fresh = iter(range(10**6))
+    texts = []
+    for n in (40, 120, 300):
+        for k in range(40):
+            first = [f"w{next(fresh)}" for _ in range(n)]
+            second = list(first)
+            limit = round(n / 10 / 5 * (0.8 + 0.5 * rng.random())) + 1
+            for i in rng.sample(range(n), limit):
+                second[i] = f"w{next(fresh)}"
+            texts += [" ".join(first), " ".join(second)]
+    texts += ["same line here again now " * 40, "same line here again now " * 3, None, " "]  # one set of shingles whatever the repeats
+    rows = list(enumerate(texts))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for t in texts for w in [(t or "").split()]]
+    label, near = list(range(len(rows))), []
+    for i in range(len(rows)):
+        for j in range(i):
+            both, common = len(sets[i] | sets[j]), len(sets[i] & sets[j])
+            if common and common / both > 0.6:
+                near.append(common / both)
+            if both == 0 or common / both >= 0.8:
+                label = [label[j] if x == label[i] else x for x in label]
+    assert sum(0.8 <= x < 0.85 for x in near) >= 10 and sum(0.75 < x < 0.8 for x in near) >= 10
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept == {min(d for d, x in enumerate(label) if x == g) for g in set(label)}
