@@ -174,7 +174,8 @@ def repeats(docs: DataFrame, width: int = 20) -> tuple[DataFrame, DataFrame]:
             w = Words([texts[i] for i in own])
             cover = np.zeros(len(w.hash) + 1, np.int64)  # windows that contain a listed run start 12 words before it at most
             for k, i in enumerate(own):
-                at = w.first[k] + listed[i].astype(np.int64)
+                # a place may come from a longer text of the same doc_id
+                at = w.first[k] + listed[i][listed[i] < w.first[k + 1] - w.first[k]].astype(np.int64)
                 np.add.at(cover, np.maximum(at - (PERIOD - 1), w.first[k]), 1)
                 np.add.at(cover, at + 1, -1)
             at = np.flatnonzero((np.cumsum(cover)[:-1] > 0) & (w.left >= width))

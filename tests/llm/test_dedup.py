@@ -221,3 +221,11 @@ def test_keep_one_meets_the_shingle_similarity(spark):
     assert sum(0.8 <= x < 0.85 for x in near) >= 10 and sum(0.75 < x < 0.8 for x in near) >= 10
     kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert kept == {min(d for d, x in enumerate(label) if x == g) for g in set(label)}
+
+
+def test_substring_dedup_of_one_id_with_a_short_and_a_long_text(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    long, short = " ".join(f"l{i}" for i in range(200)) + " " + passage, passage
+    rows = [(1, passage), (2, long), (2, short), (3, "x " + passage)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect())
+    assert got == [(1, 60, 0), (2, 60, 60), (2, 260, 60 + 60), (3, 61, 60)]
