@@ -127,32 +127,50 @@ def ranks(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in token): i for token, i in held["model"]["vocab"].items() if token not in special}
 
 
-_encoders: dict[str, object] = {}
+def added(path: str) -> dict[str, int]:
+    """The added tokens of a vocabulary file; a .tiktoken file has none."""
+    if path.endswith(".tiktoken"):
+        return {}
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f).get("added_tokens", [])
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in held):
+        raise ValueError("only added tokens that are taken literally are supported")
+    return {x["content"]: x["id"] for x in held}
 
 
-def encoder(path: str):
-    """A byte-level BPE encoder, built once in each Python worker. Special tokens' strings are ordinary text."""
-    if path not in _encoders:
+_encoders: dict[tuple[str, bool], object] = {}
+
+
+def encoder(path: str, special: bool = False):
+    """A byte-level BPE encoder, built once in each Python worker.
+
+    special: strings of the file's added tokens become these tokens, as the tokenizers library has it
+    if its encode_special_tokens is not set; else they are ordinary text.
+    """
+    if (path, special) not in _encoders:
         import public_tokenizers
         import tiktoken
 
-        _encoders[path] = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
-    return _encoders[path]
+        own = added(path) if special else {}
+        _encoders[path, special] = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens=own)
+    return _encoders[path, special]
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = 0, rows: int = 20_000, most_tokens: int = 1 << 23) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), end_id: int = 0, rows: int = 20_000, most_tokens: int = 1 << 23, special: bool = False) -> DataFrame:
     """documents -> one row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     tokenizer: path of a vocabulary file that all executors have. `rows` documents, or those of
-    `most_tokens` tokens, are packed together. An optional boolean column has_loss says whether a document's tokens bear loss (default: yes).
+    `most_tokens` tokens, are packed together. special: see encoder. An optional boolean column has_loss says whether a document's tokens bear loss (default: yes).
     """
     loss = F.col("has_loss").cast("boolean") if "has_loss" in docs.columns else F.lit(True)
 
     def run(batches):
-        encode = encoder(tokenizer).encode_to_numpy
+        encode = encoder(tokenizer, special).encode_to_numpy
         number = TaskContext.get().partitionId() << 36
         end = np.array([end_id], "<u4")
 
@@ -177,7 +195,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), e
             for d, b, t in zip(own, batch.column("has_loss").to_pylist(), batch.column("text").to_pylist()):
                 doc.append(d)
                 bears.append(b is not False)
-                ids.append(np.concatenate([encode(t or "").astype("<u4"), end]))
+                ids.append(np.concatenate([encode(t or "", allowed_special="all").astype("<u4"), end]))
                 held += len(ids[-1])
                 if len(doc) >= rows or held >= most_tokens:
                     yield flush(doc, ids, bears)

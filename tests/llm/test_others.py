@@ -300,3 +300,20 @@ def test_scores_match_brute_force(spark):
     none = docs.filter("false")
     assert ctw.score(none, none).count() == 0
     assert ctw.score(docs, none).filter("n_known > 0").count() == 0
+
+
+def test_queries_encode_added_tokens_like_the_unmodified_tokenizer(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "x <|endoftext|> y"), (2, "<|endoftext|><|endoftext|>"), (3, "a <|endoftext| > b\n<|endoftext|>\n"), (4, "né <|ENDOFTEXT|>"), (5, None)]
+    own = {d: np.array(plain.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for d, t in rows}
+    assert own[1].tolist() == [87, 220, 50256, 331, 0]
+    docs = frame(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (queries.op9_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        pieces = got.collect()
+        assert {r.doc_id: r.doc_tokens for r in pieces} == {d: len(x) for d, x in own.items()}
+        assert all(r.ids_crc32 == zlib.crc32(own[r.doc_id][r.start : r.start + r.length].tobytes()) for r in pieces)
