@@ -4,7 +4,9 @@ Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lowered. E
 of words is hashed and joined to the pairs of the templates; a hit at word i of a document and
 word t of a template votes for the diagonal i - t. Votes are summed for each diagonal, diagonals no
 more than `slack` apart are merged (they come from inserted or dropped words), and a merged span is
-verified by the share of the template's pairs that it holds.
+verified by the share of the template's pairs that it holds. A diagonal that begins past the words of
+the one before it is the next copy and not merged; where diagonals still merge to more than twice the
+template's length, each is judged on its own.
 
 The templates are a small fixed table (below), so the join is a broadcast of known size. A pair's
 text is compared beside its hash, so a collision can't count. Nothing is shuffled but the hits,
@@ -78,14 +80,17 @@ def scan(docs: DataFrame, slack: int = 3, share: float = 0.6, phrases=PHRASES, t
         "doc_id", "text_hash", "template", "label", "base", F.col("first").alias("start"), (F.col("last") + 2).alias("end"), "votes", F.lit(1.0).alias("share")
     )
     near = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
+    run = Window.partitionBy("doc_id", "text_hash", "template", "run")
+    begun = (F.col("diagonal") - F.lag("diagonal").over(near) > F.least(F.lit(slack), "grams")) | (F.col("first") > F.lag("diagonal").over(near) + F.col("grams"))
     merged = (
         votes.filter(~F.col("base") & ((F.col("votes") > 1) | (F.col("grams") < 4)))
-        .withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(near) > slack).cast("int"), F.lit(1)))
+        .withColumn("new", F.coalesce(begun.cast("int"), F.lit(1)))
         .withColumn("run", F.sum("new").over(near))
-        .groupBy(*key, "run")
+        .withColumn("alone", F.when(F.max("last").over(run) + 2 - F.min("first").over(run) > 2 * (F.col("grams") + 1), F.col("diagonal")))
+        .groupBy(*key, "run", "alone")
         .agg(F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + 2).alias("end"))
         .withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("grams")))
-        .filter((F.col("share") >= share) & (F.col("end") - F.col("start") <= 2 * (F.col("grams") + 1)))
+        .filter(F.col("share") >= share)
         .select("doc_id", "text_hash", "template", "label", "base", "start", "end", "votes", "share")
     )
     return counted, exact.unionByName(merged)

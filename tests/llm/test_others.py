@@ -317,3 +317,19 @@ def test_queries_encode_added_tokens_like_the_unmodified_tokenizer(spark, tmp_pa
         pieces = got.collect()
         assert {r.doc_id: r.doc_tokens for r in pieces} == {d: len(x) for d, x in own.items()}
         assert all(r.ids_crc32 == zlib.crc32(own[r.doc_id][r.start : r.start + r.length].tobytes()) for r in pieces)
+
+
+def test_repeated_short_license_lines_keep_their_label(spark):
+    short = [(x, t) for x, t in licenses.TEMPLATES if len(t.split()) <= 3]
+    assert len(short) == 2
+    rows, want = [], {}
+    for x, t in short:
+        w = t.split()
+        texts = [". ".join([t] * n) for n in (1, 2, 3, 4, 50)] + [" ".join([t, *w[1:], *w[1:], *w[1:]]), " ".join([*w[1:], *w[1:], t, t, t])]
+        for text in texts:
+            want[len(rows)] = x
+            rows.append((len(rows), f"before {text} after"))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(frame(spark, rows)).collect()}
+    assert got == {d: (x, 1.0) for d, x in want.items()}
+    found = licenses.scan(frame(spark, [(1, "all rights reserved " * 5)]))[1].collect()
+    assert sorted((r.start, r.end) for r in found) == [(i, i + 3) for i in range(0, 15, 3)]
