@@ -16,12 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only in local mode (tests)."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = context.getConf().get("spark.checkpoint.dir")
+    if not configured and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="rasterspark-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -39,17 +41,12 @@ def scratch(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def buckets(spark: SparkSession) -> int:
-    """How many groups posting rows are dealt into: as many as shuffle partitions.
-
-    A group may send a row to every other, so more groups would only make more and smaller rows.
+def buckets(docs: DataFrame, each: int = 64 << 20) -> int:
+    """How many groups the rows made from docs (text) are dealt into: one for each 64 MB of text, so that a
+    group fits in a task's memory whatever the input, and as many as shuffle partitions at least.
     """
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def doc_bucket(column, n: int):
-    """Spread documents evenly; a null id has bucket of its hash too."""
-    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 def texts_of(batch: pa.RecordBatch | pa.Table, name: str = "text") -> list[bytes]:
@@ -108,6 +105,16 @@ def posting_schema(*names: str) -> str:
     return "bucket int, " + ", ".join(f"{x} binary" for x in names)
 
 
+def split_runs(*keys: np.ndarray):
+    """(start, end) of each run of rows with equal keys; rows of equal keys stand together."""
+    new = np.zeros(len(keys[0]), bool)
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    new[:1] = True
+    start = np.flatnonzero(new)
+    return zip(start.tolist(), np.append(start[1:], len(new)).tolist())
+
+
 def first_equal(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order rows by keys; return that order and, along it, the number of the group of equal keys."""
     order = np.lexsort(keys[::-1])

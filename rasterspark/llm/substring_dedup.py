@@ -11,13 +11,16 @@ extension in vain).
 
 Extension: documents meet their anchors that occur more than once. Every window that contains one
 is hashed as a whole and these hashes are grouped again, each with its earliest place; all later
-places are repeats. The places come back to their documents, whose words covered by a repeat go.
+places are repeats. These hashes are BLAKE2b digests of 128 bits of the window's words, so windows of
+different words are not taken for equal: the anchors' cheap polynomial hashes only propose. The
+places come back to their documents, whose words covered by a repeat go.
 
-Hashes travel as packed arrays, one row for each batch and bucket of hash values, and places as one
-row for each bucket of documents, so shuffles carry bytes and not millions of small rows. A batch
-first groups its own hashes: of a hash that it holds often, one place (the earliest) goes to the
-hash's bucket; the others are already known to be repeats and are dealt out evenly. A hash that is
-in a third of all documents thus costs a bucket one entry a batch.
+Hashes travel as packed arrays, one row for each batch and bucket of hash values, in as many buckets
+as the text needs for a bucket to fit in memory. A batch first groups its own hashes: of a hash that
+it holds often, one place (the earliest) goes to the hash's bucket; the others are already known to be
+repeats and are dealt out evenly. A hash that is in a third of all documents thus costs a bucket one
+entry a batch. Places are gathered to one row a document and joined to the documents by doc_id, so
+texts pass through tasks as streams of rows and are never gathered.
 
 Null texts have no words; texts of fewer words than a window keep all. Identical rows count as one
 document: none is earlier than the other, and both get the same result. Rows with one doc_id but
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterspark.llm.common import buckets, chunks, first_equal, posting_rows, posting_schema, texts_of, unpack
+from rasterspark.llm.common import buckets, chunks, first_equal, pack, posting_rows, posting_schema, split_runs, texts_of, unpack
 from rasterspark.llm.hashing import byte_values, mix, prefix, spans, windows, word_bounds
 
 PERIOD, COVER, RUN = 13, (0, 1, 3, 9), 8
@@ -64,52 +67,53 @@ class Words:
         return out
 
 
-def _thin(h: np.ndarray, doc: np.ndarray, word: np.ndarray):
+def _digests(text: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the 128-bit digest of each stretch of the text."""
+    view = memoryview(text)
+    found = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())])
+    return tuple(np.frombuffer(found, "<u8").reshape(-1, 2).T)
+
+
+def _thin(h: np.ndarray, g: np.ndarray, doc: np.ndarray, word: np.ndarray):
     """Distinct rows ordered by (hash, place); which is the first of its hash, and of which hash there are more."""
-    order, group = first_equal(h, doc, word)
+    order, group = first_equal(h, g, doc, word)
     order = order[np.flatnonzero(np.diff(group, prepend=-1))]
-    h = h[order]
+    h, g = h[order], g[order]
     first = np.ones(len(h), bool)
-    first[1:] = h[1:] != h[:-1]
+    first[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
     size = np.diff(np.append(np.flatnonzero(first), len(h)))
     return order, first, np.repeat(size > 1, size)
 
 
-def _dealt(n: int, h: np.ndarray, doc: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
+def _dealt(n: int, h: np.ndarray, g: np.ndarray, doc: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
     """Posting rows of a batch: first places to their hash's bucket, the others anywhere, marked as known."""
-    order, first, many = _thin(h, doc, word)
-    h, doc, word = h[order], doc[order], word[order]
+    order, first, many = _thin(h, g, doc, word)
+    h, g, doc, word = h[order], g[order], doc[order], word[order]
     state = np.where(first, many, 2).astype(np.uint8)
     where = np.where(first, h, mix(h + word.astype(np.uint64) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    return posting_rows((where % np.uint64(n)).astype(np.int32), h=h, doc=doc, word=word, state=state)
+    return posting_rows((where % np.uint64(n)).astype(np.int32), h=h, g=g, doc=doc, word=word, state=state)
 
 
-POSTINGS = posting_schema("h", "doc", "word", "state")
+POSTINGS = posting_schema("h", "g", "doc", "word", "state")
 PLACES = posting_schema("doc", "word")
 
 
 def _doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
-    """The same number as bucket_of_id gives."""
-    bits = doc.view(np.uint64)
-    return np.mod((bits ^ (bits >> np.uint64(15)) ^ (bits >> np.uint64(31))).view(np.int64), n).astype(np.int32)
-
-
-def bucket_of_id(column, n: int):
-    return F.pmod(column.bitwiseXOR(F.shiftrightunsigned(column, 15)).bitwiseXOR(F.shiftrightunsigned(column, 31)), F.lit(n)).cast("int")
+    return (mix(doc.view(np.uint64)) % np.uint64(n)).astype(np.int32)
 
 
 def _repeated(postings: DataFrame, n: int, all_places: bool) -> DataFrame:
     """Places of hashes that occur more than once: all of them, or all but each hash's earliest.
 
-    The result has one row for each bucket of documents and task group.
+    The result has one row for each document: doc, and the packed word numbers.
     """
 
     def run(group: pa.Table) -> pa.Table:
-        h, doc, word = unpack(group, "h", np.uint64), unpack(group, "doc", np.int64), unpack(group, "word", np.int32)
+        h, g, doc, word = unpack(group, "h", np.uint64), unpack(group, "g", np.uint64), unpack(group, "doc", np.int64), unpack(group, "word", np.int32)
         state = unpack(group, "state", np.uint8)
         open_ = state < 2
-        ho, do, wo = h[open_], doc[open_], word[open_]
-        order, first, many = _thin(ho, do, wo)
+        order, first, many = _thin(h[open_], g[open_], doc[open_], word[open_])
+        do, wo = doc[open_], word[open_]
         if all_places:  # a hash repeats if two batches have it, or one batch has it often
             start = np.flatnonzero(first)
             often = np.maximum.reduceat(state[open_][order], start) > 0 if len(start) else np.zeros(0, bool)
@@ -119,38 +123,42 @@ def _repeated(postings: DataFrame, n: int, all_places: bool) -> DataFrame:
         d, w = np.concatenate([do[order][keep], doc[~open_]]), np.concatenate([wo[order][keep], word[~open_]])
         return pa.Table.from_batches([posting_rows(_doc_bucket(d, n), doc=d, word=w)])
 
-    return postings.groupBy("bucket").applyInArrow(run, PLACES)
+    def gather(group: pa.Table) -> pa.Table:
+        doc, word = unpack(group, "doc", np.int64), unpack(group, "word", np.int32)
+        order = np.argsort(doc, kind="stable")
+        doc, word = doc[order], word[order]
+        cuts = list(split_runs(doc))
+        return pa.table({"_doc": pa.array([doc[a] for a, _ in cuts], pa.int64()), "_listed": pa.array([pack(word[a:b]) for a, b in cuts], pa.binary())})
 
-
-def _documents(docs: DataFrame, n: int) -> DataFrame:
-    """All columns, text as bytes, and the bucket; rows without an id are spread by their text."""
-    plain = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("binary"))
-    return plain.withColumn("bucket", bucket_of_id(F.coalesce("doc_id", F.xxhash64("text")), n))
+    places = postings.groupBy("bucket").applyInArrow(run, PLACES)
+    return places.groupBy("bucket").applyInArrow(gather, "_doc long, _listed binary")
 
 
 def _ids(batch) -> tuple[np.ndarray, np.ndarray]:
     column = batch.column("doc_id")
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
     known = ~column.is_null().to_numpy(zero_copy_only=False)
     return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), known
 
 
-def _marked(docs: pa.Table, places: pa.Table):
-    """(row number, words of the document that are listed) for each document of a group."""
-    doc, word = unpack(places, "doc", np.int64), unpack(places, "word", np.int32)
-    order = np.argsort(doc, kind="stable")
-    doc, word = doc[order], word[order]
-    ids, known = _ids(docs)
-    low, high = np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right")
-    return [word[a:b] if ok else word[:0] for a, b, ok in zip(low, high, known)]
+def listed(batch: pa.RecordBatch, row: int) -> np.ndarray:
+    """The places that were joined to a row; none if there is no such row."""
+    held = batch.column("_listed")[row]
+    return np.ascontiguousarray(np.frombuffer(held.as_py(), np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1) if held.is_valid else np.zeros(0, np.int32)
+
+
+def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """All documents, and the packed places of each."""
+    return docs.join(places, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
 
 
-def repeats(docs: DataFrame, width: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(documents with buckets, places of repeated windows by bucket of documents)."""
+def repeats(docs: DataFrame, width: int = 20) -> DataFrame:
+    """(doc_id long, text binary, ...) -> (_doc, _listed): the places of repeated windows of each document that has any.
+
+    All columns go to the tasks, so that Spark can use one shuffle of docs here and in `remove`.
+    """
     if width != PERIOD + RUN - 1:
         raise ValueError(f"the cover is made for windows of {PERIOD + RUN - 1} words")
-    n = buckets(docs.sparkSession)
+    n = buckets(docs)
 
     def anchors(batches):
         for batch in batches:
@@ -160,35 +168,39 @@ def repeats(docs: DataFrame, width: int = 20) -> tuple[DataFrame, DataFrame]:
             for a, b in chunks([len(t) for t in texts]):
                 w = Words(texts[a:b])
                 at = np.flatnonzero(_IN_COVER[w.place % PERIOD] & (w.left >= RUN) & (w.place + w.left >= width) & known[a:b][w.doc] if len(w.hash) else [])
-                found.append((w.of(RUN)[at] >> np.uint64(16), ids[a:b][w.doc[at]], w.place[at].astype(np.int32)))
+                found.append((w.of(RUN)[at] >> np.uint64(16), np.zeros(len(at), np.uint64), ids[a:b][w.doc[at]], w.place[at].astype(np.int32)))
             if found:
                 yield _dealt(n, *(np.concatenate(x) for x in zip(*found)))
 
-    def extended(docs: pa.Table, places: pa.Table) -> pa.Table:
-        texts, listed = texts_of(docs), _marked(docs, places)
-        ids, _ = _ids(docs)
-        rows = [i for i in range(len(texts)) if len(listed[i])]
-        found = []
-        for a, b in chunks([len(texts[i]) for i in rows]):
-            own = rows[a:b]
-            w = Words([texts[i] for i in own])
-            cover = np.zeros(len(w.hash) + 1, np.int64)  # windows that contain a listed run start 12 words before it at most
-            for k, i in enumerate(own):
-                # a place may come from a longer text of the same doc_id
-                at = w.first[k] + listed[i][listed[i] < w.first[k + 1] - w.first[k]].astype(np.int64)
-                np.add.at(cover, np.maximum(at - (PERIOD - 1), w.first[k]), 1)
+    def extended(batches):
+        for batch in batches:
+            rows = np.flatnonzero(batch.column("_listed").is_valid().to_numpy(zero_copy_only=False)).tolist()
+            if not rows:
+                continue
+            ids, _ = _ids(batch)
+            texts = batch.column("text")
+            found = []
+            for i in rows:
+                # joined by one space, windows of equal words are equal bytes
+                words = (texts[i].as_py() or b"").split()
+                end = np.cumsum([len(w) + 1 for w in words]) - 1
+                start = np.concatenate([[0], end[:-1] + 1]) if words else end
+                cover = np.zeros(len(words) + 1, np.int64)  # windows that contain a listed run start 12 words before it at most
+                at = listed(batch, i)
+                at = at[at < len(words)].astype(np.int64)  # a place may come from a longer text of the same doc_id
+                np.add.at(cover, np.maximum(at - (PERIOD - 1), 0), 1)
                 np.add.at(cover, at + 1, -1)
-            at = np.flatnonzero((np.cumsum(cover)[:-1] > 0) & (w.left >= width))
-            found.append((w.of(width)[at], ids[own][w.doc[at]], w.place[at].astype(np.int32)))
-        if not found:
-            found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
-        return pa.Table.from_batches([_dealt(n, *(np.concatenate(x) for x in zip(*found)))])
+                at = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
+                at = at[at <= len(words) - width]
+                if len(at):
+                    h, g = _digests(b" ".join(words), start[at], end[at + width - 1])
+                    found.append((h, g, np.full(len(at), ids[i]), at.astype(np.int32)))
+            if found:
+                yield _dealt(n, *(np.concatenate(x) for x in zip(*found)))
 
-    dealt = _documents(docs, n)
-    postings = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(anchors, POSTINGS)
-    places = _repeated(postings, n, all_places=True)
-    whole = dealt.groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(extended, POSTINGS)
-    return dealt, _repeated(whole, n, all_places=False)
+    plain = docs.select("doc_id", "text")
+    places = _repeated(plain.mapInArrow(anchors, POSTINGS), n, all_places=True)
+    return _repeated(with_places(docs, places).mapInArrow(extended, POSTINGS), n, all_places=False)
 
 
 ADDED = ("n_words", "n_removed", "kept_sha256")
@@ -198,34 +210,33 @@ def remove(docs: DataFrame, width: int = 20, with_text: bool = True) -> DataFram
     """All columns of documents, and n_words, n_removed, kept_sha256 (of the kept words, joined by a space).
 
     With with_text, a text that lost words is its kept words joined by a space; any other is as it
-    was. Without, text is left out. An input column of one of the new names, or `bucket`, is dropped.
+    was. Without, text is left out. Input columns of the new names, _doc and _listed are dropped.
     """
-    docs = docs.drop("bucket", *ADDED)
-    dealt, places = repeats(docs, width)
+    docs = docs.drop("_doc", "_listed", *ADDED).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("binary"))
     others = [c for c in docs.columns if c != "text"]
 
-    def kept(docs: pa.Table, places: pa.Table) -> pa.Table:
-        texts, listed = texts_of(docs), _marked(docs, places)
-        out = []
-        for text, starts in zip(texts, listed):
-            words = text.split()
-            if len(starts):
-                edge = np.zeros(len(words) + 1, np.int64)
-                starts = starts[starts < len(words)]
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, np.minimum(starts + width, len(words)), -1)
-                left = [words[i] for i in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
-            else:
-                left = words
-            joined = b" ".join(left)
-            out.append((len(words), len(words) - len(left), hashlib.sha256(joined).hexdigest(), joined if len(left) < len(words) else text))
-        n, gone, sha, text = zip(*out) if out else ((), (), (), ())
-        made = {c: docs.column(c) for c in others} | {"n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-        if with_text:
-            missing = docs.column("text").combine_chunks().is_null().to_pylist()
-            made["text"] = pa.array([None if m else x.decode("utf-8", "replace") for x, m in zip(text, missing)], pa.string())
-        return pa.table(made)
-
-    kinds = dict(docs.dtypes) | {"doc_id": "bigint"}
+    def kept(batches):
+        for batch in batches:
+            out = []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                words = (text or b"").split()
+                starts = listed(batch, i)
+                if len(starts):
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    starts = starts[starts < len(words)]
+                    np.add.at(edge, starts, 1)
+                    np.add.at(edge, np.minimum(starts + width, len(words)), -1)
+                    left = [words[k] for k in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
+                else:
+                    left = words
+                joined = b" ".join(left)
+                out.append((len(words), len(words) - len(left), hashlib.sha256(joined).hexdigest(), joined if len(left) < len(words) else text))
+            n, gone, sha, text = zip(*out) if out else ((), (), (), ())
+            columns = [*(batch.column(c) for c in others), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
+            if with_text:
+                columns.append(pa.array([None if x is None else x.decode("utf-8", "replace") for x in text], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, *ADDED, *["text"] * with_text])
+
+    kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in others] + ["n_words long, n_removed long, kept_sha256 string"] + ["text string"] * with_text)
-    return dealt.groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(kept, schema)
+    return with_places(docs, repeats(docs, width)).select(*docs.columns, "_listed").mapInArrow(kept, schema)

@@ -16,26 +16,31 @@ of the anchor that are equal are read off.
 Contexts that are equal as a whole (copies of a passage, most by far) are counted first, within each
 batch and then for all, and one of them stands for all in the sort, so a group of copies of any size
 costs one context. Where more than `hot` different contexts share a run, in a batch or in all, they
-aren't gathered in one task: their windows are dealt out by the hashes of the windows themselves, two
-independent ones, and counted there.
-
-Packed arrays travel in one row for each batch and bucket. Null texts are empty. Rows are told apart
-by id and text: identical rows are at two places, so both lose what they share. A null id is a value
-like any other.
+aren't gathered in one task: their windows are dealt out and counted one by one. Contexts and windows
+are told apart here by BLAKE2b digests of 128 bits of their bytes, and windows found by the sort are
+compared byte by byte, so polynomial hashes only ever propose.
+
+Packed arrays travel in one row for each batch and bucket, in as many buckets as the text needs for a
+bucket to fit in memory. Places are gathered to one row a document and joined to the documents, so
+texts pass through tasks as streams of rows; a long text is read in pieces of a megabyte that overlap
+by a window. Null texts are empty. Rows are told apart by a digest of id and text: identical rows are
+at two places, so both lose what they share. A null id is a value like any other. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterspark.llm.common import buckets, chunks, first_equal, pack, posting_rows, split_by, texts_of, unpack
+from rasterspark.llm.common import buckets, chunks, first_equal, pack, posting_rows, posting_schema, split_by, split_runs, texts_of, unpack
 from rasterspark.llm.hashing import byte_values, mix, prefix, spans, windows
-from rasterspark.llm.substring_dedup import _doc_bucket, bucket_of_id
+from rasterspark.llm.substring_dedup import _digests, _doc_bucket
 
 RUN = 64
 _PLACE_BITS = np.uint64(28)
@@ -45,15 +50,21 @@ OFTEN, KNOWN, PART, NOTICE = 1, 2, 4, 8
 FULL, SHIP, HOT = 1, 2, 4
 
 
+def pieces(texts: list[bytes], width: int, limit: int = 1 << 20):
+    """(text number, first byte, bytes) of pieces that hold every window once: a text, or parts of a long one."""
+    for i, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - width + 1), limit):
+            yield i, at, text[at : at + limit + width - 1]
+
+
 def contexts(texts: list[bytes], width: int):
-    """Anchors of the texts: (text number, first window, windows, anchor - first window, run hash, context hash)."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    if len(data) >> int(_PLACE_BITS):
-        raise ValueError("a text is longer than 256 MB")
+    """Anchors of the texts: (text number, first window, windows, anchor - first window, run hash, two halves of the context's digest)."""
+    joined = b"".join(texts)
+    data = np.frombuffer(joined, np.uint8)
     size = np.array([len(t) for t in texts])
     begin = np.cumsum(size) - size
     if len(data) < width:
-        return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
+        return [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 3
     p = prefix(byte_values()[data])
     run = windows(p, RUN)
     least = (run >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(run), dtype=np.uint64)
@@ -77,8 +88,8 @@ def contexts(texts: list[bytes], width: int):
     doc = np.searchsorted(begin, first, "right") - 1
     # texts of no bytes share their begin with the next: the last of them is meant
     at = anchor[first]
-    context = spans(p, first, last + width - 1) + mix((at - first).astype(np.uint64))
-    return [doc, first - begin[doc], last - first, at - first, run[at], context]
+    one, two = _digests(joined, first, last + width - 1)
+    return [doc, first - begin[doc], last - first, at - first, run[at], one, two + (at - first).astype(np.uint64)]
 
 
 def extension(p: np.ndarray, start: np.ndarray, length: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -154,7 +165,8 @@ def repeated_windows(blobs: list[bytes], off: np.ndarray, count: np.ndarray, run
 
     A context that occurs often has all of its windows elsewhere.
     """
-    data = np.frombuffer(b"".join(blobs), np.uint8)
+    raw = b"".join(blobs)
+    data = np.frombuffer(raw, np.uint8)
     size = np.array([len(b) for b in blobs], np.int64)
     begin = np.cumsum(size) - size
     start = begin + off
@@ -170,226 +182,269 @@ def repeated_windows(blobs: list[bytes], off: np.ndarray, count: np.ndarray, run
             continue
         key = mix(spans(p, start_[at] - left, start_[at]) + right[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         by = np.argsort(key, kind="stable")
-        equal = key[by][1:] == key[by][:-1]
+        equal = np.flatnonzero(key[by][1:] == key[by][:-1])
         hit = np.zeros(len(at), bool)
-        hit[by[1:][equal]] = True
-        hit[by[:-1][equal]] = True
+        hit[by[equal]] = hit[by[equal + 1]] = True
+        found = (start_[at] - left).tolist()
+        text = lambda k: raw[found[k] : found[k] + width]
+        if any(text(x) != text(y) for x, y in zip(by[equal].tolist(), by[equal + 1].tolist())):  # a hash misled: by bytes
+            seen = Counter(text(k) for k in np.flatnonzero(hit).tolist())
+            hit[[k for k in np.flatnonzero(hit).tolist() if seen[text(k)] < 2]] = False
         for k in order[at[hit]].tolist():
             mark[k][int(off[k]) - left] = True
     return mark
 
 
-def _postings(n: int, hot: int, row, first, count, off, run, context) -> pa.RecordBatch:
+_POSTINGS = ("row", "twin", "first", "count", "off", "run", "one", "two", "state")
+_KINDS = {"row": np.int64, "twin": np.int64, "first": np.int32, "count": np.int16, "off": np.int16, "run": np.uint64, "one": np.uint64, "two": np.uint64, "state": np.uint8}
+_PLACE = ("row", "twin", "first", "count", "off", "run", "state")
+
+
+def _rows(bucket: np.ndarray, names, values: dict) -> pa.RecordBatch:
+    return posting_rows(bucket.astype(np.int32), **{k: values[k].astype(_KINDS[k]) for k in names})
+
+
+def _heads(x: dict) -> np.ndarray:
+    """Where a new context begins along rows ordered by run and digest."""
+    lead = np.ones(len(x["run"]), bool)
+    lead[1:] = (x["run"][1:] != x["run"][:-1]) | (x["one"][1:] != x["one"][:-1]) | (x["two"][1:] != x["two"][:-1])
+    return lead
+
+
+def _postings(n: int, hot: int, x: dict) -> pa.RecordBatch:
     """Posting rows of a batch, its equal contexts counted."""
-    order, group = first_equal(run, context, row, first)
-    row, first, count, off, run, context = (x[order] for x in (row, first, count, off, run, context))
-    lead = np.ones(len(run), bool)
-    lead[1:] = (run[1:] != run[:-1]) | (context[1:] != context[:-1])
+    order, _ = first_equal(x["run"], x["one"], x["two"], x["row"], x["twin"], x["first"])
+    x = {k: v[order] for k, v in x.items()}
+    lead = _heads(x)
     heads = np.flatnonzero(lead)
-    state = np.full(len(run), KNOWN, np.uint8)
-    state[heads] = np.where(np.diff(np.append(heads, len(run))) > 1, OFTEN, 0)
-    names, at, different = np.unique(run[heads], return_inverse=True, return_counts=True)
-    part = np.zeros(len(run), bool)
+    state = np.full(len(lead), KNOWN, np.uint8)
+    state[heads] = np.where(np.diff(np.append(heads, len(lead))) > 1, OFTEN, 0)
+    names, at, different = np.unique(x["run"][heads], return_inverse=True, return_counts=True)
+    part = np.zeros(len(lead), bool)
     part[heads] = different[at] > hot
     state[part] |= PART
-    spread = mix(run ^ mix(context + np.where(lead, 0, row.view(np.uint64) + first.astype(np.uint64))))
-    bucket = np.where(lead & ~part, run, spread) % np.uint64(n)
+    spread = mix(x["run"] ^ mix(x["one"] + np.where(lead, 0, x["row"].view(np.uint64) + x["first"].astype(np.uint64))))
+    bucket = np.where(lead & ~part, x["run"], spread) % np.uint64(n)
     notice = names[different > hot]
-    more = len(notice)
-    return posting_rows(
-        np.concatenate([bucket, notice % np.uint64(n)]).astype(np.int32),
-        row=np.concatenate([row, np.zeros(more, np.int64)]),
-        first=np.concatenate([first, np.zeros(more)]).astype(np.int32),
-        count=np.concatenate([count, np.zeros(more)]).astype(np.int16),
-        off=np.concatenate([off, np.zeros(more)]).astype(np.int16),
-        run=np.concatenate([run, notice]),
-        context=np.concatenate([context, np.zeros(more, np.uint64)]),
-        state=np.concatenate([state, np.full(more, NOTICE, np.uint8)]),
-    )
-
-
-_PLACES = "bucket int, row binary, first binary, count binary, state binary"
-_NAMED = _PLACES + ", off binary, run binary"
+    x = {k: np.concatenate([v, notice if k == "run" else np.zeros(len(notice), v.dtype)]) for k, v in x.items()}
+    x["state"] = np.concatenate([state, np.full(len(notice), NOTICE, np.uint8)])
+    return _rows(np.concatenate([bucket, notice % np.uint64(n)]), _POSTINGS, x)
 
 
 def _places(postings: DataFrame, n: int, hot: int) -> DataFrame:
     """Places whose windows all are repeats, and places whose contexts have to be compared."""
 
     def run(group: pa.Table) -> pa.Table:
-        kinds = {"row": np.int64, "first": np.int32, "count": np.int16, "off": np.int16, "run": np.uint64, "context": np.uint64, "state": np.uint8}
-        x = {k: unpack(group, k, t) for k, t in kinds.items()}
+        x = {k: unpack(group, k, _KINDS[k]) for k in _POSTINGS}
         noticed = x["run"][x["state"] == NOTICE]
         done = x["state"] == KNOWN
         open_ = np.flatnonzero(~done & (x["state"] != NOTICE))
-        order, same = first_equal(x["run"][open_], x["context"][open_], x["row"][open_], x["first"][open_])
+        order, _ = first_equal(*(x[k][open_] for k in ("run", "one", "two", "row", "twin", "first")))
         y = {k: v[open_][order] for k, v in x.items()}
-        lead = np.ones(len(order), bool)
-        lead[1:] = (y["run"][1:] != y["run"][:-1]) | (y["context"][1:] != y["context"][:-1])
-        heads = np.flatnonzero(lead)
+        heads = np.flatnonzero(_heads(y))
         size = np.diff(np.append(heads, len(order)))
         often = (np.maximum.reduceat(y["state"] & OFTEN, heads) > 0) | (size > 1) if len(heads) else np.zeros(0, bool)
         part = (y["state"][heads] & PART) > 0
-        names, at, different = np.unique(y["run"][heads], return_inverse=True, return_counts=True)
+        _, at, different = np.unique(y["run"][heads], return_inverse=True, return_counts=True)
         as_windows = part | (different[at] > hot) | np.isin(y["run"][heads], noticed)
         ship = as_windows | (different[at] > 1)
         state = np.repeat(np.where(often, FULL, 0), size).astype(np.uint8)
         state[heads] |= np.where(ship, SHIP, 0).astype(np.uint8) | np.where(as_windows, HOT, 0).astype(np.uint8)
         keep = state > 0
-        out = {k: np.concatenate([y[k][keep], x[k][done]]) for k in ("row", "first", "count", "off", "run")}
+        out = {k: np.concatenate([y[k][keep], x[k][done]]) for k in _PLACE}
         out["state"] = np.concatenate([state[keep], np.full(int(done.sum()), FULL, np.uint8)])
-        made = posting_rows(_doc_bucket(out["row"], n), **{k: out[k] for k in ("row", "first", "count", "state", "off", "run")})
-        return pa.Table.from_batches([made])
+        return pa.Table.from_batches([_rows(_doc_bucket(out["row"], n), _PLACE, out)])
+
+    return postings.groupBy("bucket").applyInArrow(run, posting_schema(*_PLACE))
 
-    return postings.groupBy("bucket").applyInArrow(run, _NAMED)
 
+_GATHERED = "_row long, _twin long, " + ", ".join(f"_{k} binary" for k in _PLACE[2:])
 
-def _listed(docs: pa.Table, places: pa.Table, *names: tuple[str, type]):
-    """For each document of the group, the rows of the places that are its own."""
-    row = unpack(places, "row", np.int64)
-    order = np.argsort(row, kind="stable")
-    values = {name: unpack(places, name, kind)[order] for name, kind in names}
-    own = docs.column("row").combine_chunks().to_numpy(zero_copy_only=False) if docs.num_rows else np.zeros(0, np.int64)
-    low, high = np.searchsorted(row[order], own), np.searchsorted(row[order], own, "right")
-    return [{k: v[a:b] for k, v in values.items()} for a, b in zip(low, high)]
 
+def _gathered(places: DataFrame) -> DataFrame:
+    """One row for each document: row, twin, and its packed places."""
 
-_SHIPPED = "bucket int, kind int, row binary, first binary, count binary, off binary, run binary, often binary, size binary, data binary"
+    def run(group: pa.Table) -> pa.Table:
+        x = {k: unpack(group, k, _KINDS[k]) for k in _PLACE}
+        order = np.lexsort((x["twin"], x["row"]))
+        x = {k: v[order] for k, v in x.items()}
+        cuts = list(split_runs(x["row"], x["twin"]))
+        columns = {f"_{k}": pa.array([int(x[k][a]) for a, _ in cuts], pa.int64()) for k in ("row", "twin")}
+        return pa.table(columns | {f"_{k}": pa.array([pack(x[k][a:b]) for a, b in cuts], pa.binary()) for k in _PLACE[2:]})
+
+    return places.groupBy("bucket").applyInArrow(run, _GATHERED)
+
+
+def _listed(batch: pa.RecordBatch, i: int, *names: str) -> dict[str, np.ndarray]:
+    """The places that were joined to a row."""
+    out = {}
+    for k in names:
+        parts = batch.column(f"_{k}")[i].as_py() or []
+        wide = np.dtype(_KINDS[k]).itemsize
+        parts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(wide, -1).T).view(_KINDS[k]).reshape(-1) for x in parts]
+        out[k] = np.concatenate(parts) if parts else np.zeros(0, _KINDS[k])
+    return out
+
+
+def _with_places(docs: DataFrame, gathered: DataFrame, *names: str) -> DataFrame:
+    """All documents, and the packed places of each as arrays of binaries."""
+    listed = gathered.groupBy("_row", "_twin").agg(*(F.collect_list(f"_{k}").alias(f"_{k}") for k in names))
+    return docs.join(listed, (F.col("row") == F.col("_row")) & (F.col("twin") == F.col("_twin")), "left").drop("_row", "_twin")
+
+
+_SHIPPED = "bucket int, kind int, row binary, twin binary, first binary, count binary, off binary, run binary, often binary, size binary, one binary, two binary, data binary"
+
+
+def _packed_rows(kind: int, bucket: np.ndarray, blobs: list[bytes] | None = None, **values: np.ndarray):
+    """Rows of _SHIPPED, one for each bucket."""
+    names = [x.split()[0] for x in _SHIPPED.split(", ")][2:]
+    for b, at in split_by(bucket):
+        data = b"".join(blobs[i] for i in at) if blobs else b""
+        yield (b, kind, *(data if k == "data" else pack(values[k][at]) if k in values else b"" for k in names))
 
 
 def _shipped(width: int, n: int):
-    """Documents and places -> contexts for the suffix sort (kind 0), or windows (kind 1)."""
-
-    def run(docs: pa.Table, places: pa.Table) -> pa.Table:
-        listed = _listed(docs, places, ("first", np.int32), ("count", np.int16), ("off", np.int16), ("run", np.uint64), ("state", np.uint8))
-        sent: set = set()
-        x = {k: [] for k in ("row", "first", "count", "off", "run", "often")}
-        blobs, hot = [], []
-        for row, text, own in zip(docs.column("row").to_pylist(), docs.column("text").to_pylist(), listed):
-            for f, c, o, r, s in zip(*(own[k].tolist() for k in ("first", "count", "off", "run", "state"))):
-                if s & SHIP and (row, f) not in sent:  # identical rows ship once
-                    sent.add((row, f))
-                    blob = text[f : f + c - 1 + width]
-                    if s & HOT:
-                        hot.append((row, f, c, s & FULL, blob))
-                        continue
-                    for k, v in zip(x, (row, f, c, o, r, s & FULL)):
-                        x[k].append(v)
-                    blobs.append(blob)
-        out = []
-        a = {k: np.array(x[k], t) for k, t in (("row", np.int64), ("first", np.int32), ("count", np.int16), ("off", np.int16), ("run", np.uint64), ("often", np.uint8))}
-        for bucket, at in split_by((a["run"] % np.uint64(n)).astype(np.int64)):
-            own = [blobs[i] for i in at]
-            out.append((bucket, 0, *(pack(a[k][at]) for k in a), pack(np.array([len(b) for b in own], np.int32)), b"".join(own)))
-        if hot:
-            data = np.frombuffer(b"".join(h[4] for h in hot), np.uint8)
-            p, q = prefix(byte_values()[data]), prefix(byte_values(2)[data])
-            begin = np.cumsum([0] + [len(h[4]) for h in hot[:-1]])
-            place = np.concatenate([b + np.arange(h[2]) for b, h in zip(begin, hot)])
-            one, two = spans(p, place, place + width), spans(q, place, place + width)
-            row = np.repeat(np.array([h[0] for h in hot], np.int64), [h[2] for h in hot])
-            first = np.concatenate([h[1] + np.arange(h[2]) for h in hot]).astype(np.int32)
-            often = np.repeat(np.array([h[3] for h in hot], np.uint8), [h[2] for h in hot])
-            # of equal windows in this group one goes to the hash's bucket, which learns that there are more
-            order, group = first_equal(one, two)
-            lead = np.diff(group, prepend=-1) > 0
-            size = np.diff(np.append(np.flatnonzero(lead), len(order)))
-            often = np.maximum(often[order], np.repeat(size > 1, size)).astype(np.uint8)
-            often[~lead] = 2
-            one, two, row, first = one[order], two[order], row[order], first[order]
-            where = np.where(lead, one, mix(one + row.view(np.uint64) + first.astype(np.uint64)))
-            for bucket, at in split_by((where % np.uint64(n)).astype(np.int64)):
-                out.append((bucket, 1, pack(row[at]), pack(first[at]), b"", b"", pack(one[at]), pack(often[at]), b"", pack(two[at])))
-        cols = list(zip(*out)) or [[]] * 10
-        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 8
-        return pa.table({f.split()[0]: pa.array(c, t) for f, c, t in zip(_SHIPPED.split(", "), cols, kinds)})
+    """Documents with places -> contexts for the suffix sort (kind 0), or windows (kind 1)."""
+
+    def run(batches):
+        for batch in batches:
+            mine = np.flatnonzero(batch.column("_state").is_valid().to_numpy(zero_copy_only=False)).tolist()
+            x = {k: [] for k in ("row", "twin", "first", "count", "off", "run", "often")}
+            blobs, hot = [], []
+            for i in mine:
+                own = _listed(batch, i, "first", "count", "off", "run", "state")
+                row, twin, text = batch.column("row")[i].as_py(), batch.column("twin")[i].as_py(), batch.column("text")[i].as_py()
+                sent: set[int] = set()
+                for f, c, o, r, s in zip(*(v.tolist() for v in own.values())):
+                    if s & SHIP and f not in sent:
+                        sent.add(f)
+                        if s & HOT:
+                            hot.append((row, twin, f, c, s & FULL, text[f : f + c - 1 + width]))
+                            continue
+                        for k, v in zip(x, (row, twin, f, c, o, r, s & FULL)):
+                            x[k].append(v)
+                        blobs.append(text[f : f + c - 1 + width])
+            out = []
+            a = {k: np.array(v, np.uint8 if k == "often" else _KINDS[k]) for k, v in x.items()}
+            a["size"] = np.array([len(b) for b in blobs], np.int32)
+            out += _packed_rows(0, (a["run"] % np.uint64(n)).astype(np.int64), blobs, **a)
+            if hot:
+                counts = [h[3] for h in hot]
+                row, twin = (np.repeat(np.array([h[k] for h in hot], np.int64), counts) for k in (0, 1))
+                first = np.concatenate([h[2] + np.arange(h[3]) for h in hot]).astype(np.int32)
+                often = np.repeat(np.array([h[4] for h in hot], np.uint8), counts)
+                halves = [_digests(h[5], np.arange(h[3]), np.arange(h[3]) + width) for h in hot]
+                one, two = (np.concatenate([x[k] for x in halves]) for k in (0, 1))
+                # of equal windows in this batch one goes to the digest's bucket, which learns that there are more
+                order, group = first_equal(one, two)
+                lead = np.diff(group, prepend=-1) > 0
+                size = np.diff(np.append(np.flatnonzero(lead), len(order)))
+                often = np.maximum(often[order], np.repeat(size > 1, size)).astype(np.uint8)
+                often[~lead] = 2
+                one, two, row, twin, first = (v[order] for v in (one, two, row, twin, first))
+                where = np.where(lead, one, mix(one + row.view(np.uint64) + first.astype(np.uint64)))
+                out += _packed_rows(1, (where % np.uint64(n)).astype(np.int64), row=row, twin=twin, first=first, often=often, one=one, two=two)
+            if out:
+                columns = list(zip(*out))
+                kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 11
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in _SHIPPED.split(", ")])
 
     return run
 
 
 def _compared(width: int, n: int):
-    """Contexts of the same runs, and windows of the same hashes -> places of repeats."""
+    """Contexts of the same runs, and windows of the same digests -> places of repeats."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = {kind: group.filter(pa.array([k == kind for k in group.column("kind").to_pylist()], pa.bool_())) for kind in (0, 1)}
-        found = []
+        made = {k: [np.zeros(0, _KINDS[k])] for k in ("row", "twin", "first", "count")}
         part = rows[0]
         if part.num_rows:
-            row, first = unpack(part, "row", np.int64), unpack(part, "first", np.int32)
-            count, off = unpack(part, "count", np.int16).astype(np.int64), unpack(part, "off", np.int16).astype(np.int64)
-            run_, often, size = unpack(part, "run", np.uint64), unpack(part, "often", np.uint8), unpack(part, "size", np.int32)
+            x = {k: unpack(part, k, _KINDS[k]) for k in ("row", "twin", "first", "count", "off", "run")}
+            often, size = unpack(part, "often", np.uint8), unpack(part, "size", np.int32)
             data, blobs, at = b"".join(part.column("data").to_pylist()), [], 0
             for s in size.tolist():
                 blobs.append(data[at : at + s])
                 at += s
-            for k, hit in enumerate(repeated_windows(blobs, off, count, run_, often > 0, width)):
+            for k, hit in enumerate(repeated_windows(blobs, x["off"].astype(np.int64), x["count"].astype(np.int64), x["run"], often > 0, width)):
                 if not often[k] and hit.any():
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-                    found += [(row[k], first[k] + a, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
-        made = [np.array([f[i] for f in found], t) for i, t in ((0, np.int64), (1, np.int32), (2, np.int16))]
+                    a, b = edge[::2], edge[1::2]
+                    for name, v in (("row", x["row"][[k] * len(a)]), ("twin", x["twin"][[k] * len(a)]), ("first", x["first"][k] + a), ("count", b - a)):
+                        made[name].append(v)
         part = rows[1]
         if part.num_rows:
-            row, first = unpack(part, "row", np.int64), unpack(part, "first", np.int32)
-            one, two, often = unpack(part, "run", np.uint64), unpack(part, "data", np.uint64), unpack(part, "often", np.uint8)
-            open_ = often < 2
-            order, same = first_equal(one[open_], two[open_])
+            x = {k: unpack(part, k, _KINDS[k]) for k in ("row", "twin", "first", "one", "two")}
+            often = unpack(part, "often", np.uint8)
+            open_ = np.flatnonzero(often < 2)
+            order, same = first_equal(x["one"][open_], x["two"][open_])
             lead = np.flatnonzero(np.diff(same, prepend=-1))
             size = np.diff(np.append(lead, len(order)))
             many = (size > 1) | (np.maximum.reduceat(often[open_][order], lead) > 0) if len(lead) else np.zeros(0, bool)
-            hit = np.concatenate([np.flatnonzero(open_)[order][np.repeat(many, size)], np.flatnonzero(~open_)])
-            made = [np.concatenate(m) for m in zip(made, (row[hit], first[hit], np.ones(len(hit), np.int16)))]
-        out = posting_rows(_doc_bucket(made[0], n), row=made[0], first=made[1], count=made[2], state=np.full(len(made[0]), FULL, np.uint8))
-        return pa.Table.from_batches([out])
+            hit = np.concatenate([open_[order][np.repeat(many, size)], np.flatnonzero(often == 2)])
+            for name in ("row", "twin", "first"):
+                made[name].append(x[name][hit])
+            made["count"].append(np.ones(len(hit), np.int16))
+        out = {k: np.concatenate(v) for k, v in made.items()}
+        none = np.zeros(len(out["row"]), np.int64)
+        return pa.Table.from_batches([_rows(_doc_bucket(out["row"].astype(np.int64), n), _PLACE, out | {"off": none, "run": none, "state": none + FULL})])
 
     return run
 
 
 def repeated_bytes(docs: DataFrame, width: int = 400, hot: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """(documents with row numbers and buckets, places of windows that occur elsewhere too)."""
-    n = buckets(docs.sparkSession)
+    """(documents with row digests, packed places of windows that occur elsewhere too: _row, _twin, _first, _count, _state)."""
+    n = buckets(docs)
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    dealt = docs.select("doc_id", text.alias("text")).withColumn("row", F.xxhash64("doc_id", "text")).withColumn("bucket", bucket_of_id(F.col("row"), n))
+    named = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), F.lit(b"\0"), F.col("text")), 256)
+    half = lambda at: F.conv(F.substring(named, at, 16), 16, -10).cast("long")
+    dealt = docs.select("doc_id", text.alias("text")).withColumns({"row": half(1), "twin": half(17)})
 
     def anchors(batches):
         for batch in batches:
-            texts, found = texts_of(batch), []
-            row = batch.column("row").to_numpy(zero_copy_only=False)
-            for a, b in chunks([len(t) for t in texts]):
-                doc, *rest = contexts(texts[a:b], width)
-                found.append((row[a:b][doc], *rest))
+            row, twin = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "twin"))
+            parts, found = list(pieces(texts_of(batch), width)), []
+            for a, b in chunks([len(t) for _, _, t in parts]):
+                piece, *rest = contexts([t for _, _, t in parts[a:b]], width)
+                doc = np.array([i for i, _, _ in parts[a:b]], np.int64)[piece]
+                rest[0] = rest[0] + np.array([at for _, at, _ in parts[a:b]], np.int64)[piece]
+                found.append((row[doc], twin[doc], *rest))
             if found:
-                yield _postings(n, hot, *(np.concatenate(x) for x in zip(*found)))
+                yield _postings(n, hot, dict(zip(_POSTINGS, (np.concatenate(x) for x in zip(*found)))))
 
-    names = "bucket int, row binary, first binary, count binary, off binary, run binary, context binary, state binary"
-    places = _places(dealt.select("row", "text").mapInArrow(anchors, names), n, hot)
-    shipped = dealt.groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(_shipped(width, n), _SHIPPED)
-    more = shipped.groupBy("bucket").applyInArrow(_compared(width, n), _PLACES)
-    return dealt, places.select("bucket", "row", "first", "count", "state").unionByName(more)
+    places = _gathered(_places(dealt.mapInArrow(anchors, posting_schema(*_POSTINGS)), n, hot))
+    listed = _with_places(dealt, places, "first", "count", "off", "run", "state")
+    more = listed.mapInArrow(_shipped(width, n), _SHIPPED).groupBy("bucket").applyInArrow(_compared(width, n), posting_schema(*_PLACE))
+    names = ["_row", "_twin", "_first", "_count", "_state"]
+    return dealt, places.select(*names).union(_gathered(more).select(*names))
 
 
 def remove_repeated(docs: DataFrame, width: int = 400, hot: int = 2000) -> DataFrame:
     """documents -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start, end in bytes)."""
     dealt, places = repeated_bytes(docs, width, hot)
 
-    def run(docs: pa.Table, places: pa.Table) -> pa.Table:
-        listed = _listed(docs, places, ("first", np.int32), ("count", np.int16), ("state", np.uint8))
-        out = []
-        for text, own in zip(docs.column("text").to_pylist(), listed):
-            full = own["state"] & FULL > 0
-            if not full.any():
-                out.append((len(text), 0, [], hashlib.sha256(text).hexdigest()))
-                continue
-            first, count = own["first"][full].astype(np.int64), own["count"][full].astype(np.int64)
-            edge = np.zeros(len(text) + 1, np.int64)
-            np.add.at(edge, first, 1)
-            np.add.at(edge, first + count - 1 + width, -1)
-            gone = np.cumsum(edge)[:-1] > 0
-            cuts = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
-            out.append((len(text), int(gone.sum()), cuts, hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()))
-        n, removed, cuts, sha = zip(*out) if out else ((), (), (), ())
-        return pa.table({
-            "doc_id": docs.column("doc_id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array([len(c) for c in cuts], pa.int64()),
-            "kept_sha256": pa.array(sha, pa.string()), "spans": pa.array(cuts, pa.list_(pa.list_(pa.int64()))),
-        })
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                own = _listed(batch, i, "first", "count", "state")
+                full = own["state"] & FULL > 0
+                if not full.any():
+                    out.append((len(text), 0, [], hashlib.sha256(text).hexdigest()))
+                    continue
+                first, count = own["first"][full].astype(np.int64), own["count"][full].astype(np.int64)
+                edge = np.zeros(len(text) + 1, np.int64)
+                np.add.at(edge, first, 1)
+                np.add.at(edge, first + count - 1 + width, -1)
+                gone = np.cumsum(edge)[:-1] > 0
+                cuts = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+                out.append((len(text), int(gone.sum()), cuts, hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()))
+            n, removed, cuts, sha = zip(*out) if out else ((), (), (), ())
+            columns = [
+                batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(c) for c in cuts], pa.int64()),
+                pa.array(sha, pa.string()), pa.array(cuts, pa.list_(pa.list_(pa.int64()))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>"
-    return dealt.groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(run, schema)
+    return _with_places(dealt, places, "first", "count", "state").mapInArrow(run, schema)

@@ -229,3 +229,30 @@ def test_substring_dedup_of_one_id_with_a_short_and_a_long_text(spark):
     rows = [(1, passage), (2, long), (2, short), (3, "x " + passage)]
     got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect())
     assert got == [(1, 60, 0), (2, 60, 60), (2, 260, 60 + 60), (3, 61, 60)]
+
+
+def thue_morse(n):
+    return [bin(i).count("1") & 1 for i in range(n)]
+
+
+def test_equal_hashes_are_not_equal_words(spark):
+    """The Thue-Morse word and its complement have the same polynomial hash modulo 2^64 for every odd base."""
+    one = "".join("ab"[x] for x in thue_morse(2048))
+    two = "".join("ba"[x] for x in thue_morse(2048))
+    head = " ".join(f"w{i}" for i in range(19))
+    got = substring_dedup.remove(spark.createDataFrame([(1, f"{head} {one}"), (2, f"{head} {two}")], SCHEMA), with_text=False)
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got.collect()) == [(1, 20, 0), (2, 20, 0)]
+
+
+def test_equal_hashes_are_not_equal_bytes(spark):
+    one, two = ("".join(x[b] for b in thue_morse(2048)) for x in ("ab", "ba"))
+    rows = [(1, "left " + one), (2, "left " + two)]
+    for hot in (2000, 0):
+        got = suffix_dedup.remove_repeated(spark.createDataFrame(rows, SCHEMA), width=1990, hot=hot)
+        same_by_id(got, brute_bytes(rows, 1990), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def test_pieces_hold_every_window_once():
+    texts = [b"", b"abc", bytes(range(250)) * 3]
+    found = [(i, at + k, t[k : k + 9]) for i, at, t in suffix_dedup.pieces(texts, 9, limit=100) for k in range(len(t) - 8)]
+    assert found == [(i, k, t[k : k + 9]) for i, t in enumerate(texts) for k in range(len(t) - 8)]
