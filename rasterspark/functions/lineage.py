@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the folder that all executors share and forget its lineage.
 
-    The folder is the session's spark.checkpoint.dir; a temporary one only where none is set (tests).
+    The folder is the session's spark.checkpoint.dir; a temporary one only in local mode (tests).
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.getConf().get("spark.checkpoint.dir") and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rasterspark-"))
     return df.checkpoint(eager=True)
