@@ -11,7 +11,8 @@ where a tile is large, by hash into chunks). Two tiles meet in a task only if th
 counts differ by at most the radius, which no linked pair can exceed. In the task, rows of equal
 byte-pair counts are compared as blocks with exclusive-or and bit counts, again skipping blocks
 whose counts differ beyond the radius. A task returns a spanning forest of the links it finds, never
-all pairs. Exact copies share one row, so a group of copies of any size costs one fingerprint.
+all pairs, and the number of links of each fingerprint. Exact copies share one row, so a group of
+copies of any size costs one fingerprint.
 
 For the pipeline (near_groups, keep_one) the comparison only proposes pairs, and links are verified
 on the sets of shingles.
@@ -28,9 +29,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rasterspark.llm.common import cut, texts_of
 from rasterspark.llm.components import connected_components
+from rasterspark.llm.hashing import mix
 
 
 def shingles(text: bytes, width: int) -> list[bytes]:
@@ -46,42 +49,48 @@ def shingles(text: bytes, width: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
 
 
-def _majority(hashes: np.ndarray) -> int:
-    """The fingerprint of the shingles' hashes."""
-    packed = hashes.view(np.uint8).reshape(-1, 8)
-    votes = np.zeros(64, np.int64)
-    for i in range(0, len(packed), 1 << 16):
-        votes += np.unpackbits(packed[i : i + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > len(packed), bitorder="little").view("<u8")[0])
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """Bytes of the bits that are set in more than half of the rows; hashes: one row of 64-bit words for each shingle."""
+    packed = np.ascontiguousarray(hashes).view(np.uint8).reshape(len(hashes), -1)
+    votes = np.zeros(packed.shape[1] * 8, np.int64)
+    for i in range(0, len(packed), 255):  # sums of 255 bits fit a byte
+        votes += np.unpackbits(packed[i : i + 255], axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(votes * 2 > len(packed), bitorder="little")
 
 
-def _hashes(found, seed: int) -> np.ndarray:
+def _hashes(found, seed: int = 42) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x, seed) for x in found], "<u8")
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+def fingerprint(text: bytes, width: int = 3) -> int:
     found = shingles(text, width)
-    return _majority(_hashes(found, seed)) if found else 0
+    return int(_majority(_hashes(found)).view("<u8")[0]) if found else 0
 
 
-def sketch(text: bytes, width: int) -> list[int]:
-    """Of the set of shingles: fingerprints under two seeds, and the least and the largest hash under each."""
+#: Bits of a sketch; its first 64 are the fingerprint of the set of shingles.
+BITS = 1024
+_STEPS = np.arange(BITS // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def sketch(text: bytes, width: int) -> tuple[bytes, int, list[int]]:
+    """Of the set of shingles: a fingerprint of BITS bits, its size, and the least and the largest of four hashes of each shingle."""
     found = set(shingles(text, width))
     if not found:
-        return [0] * 6
-    one, two = _hashes(found, 42), _hashes(found, 43)
-    return [_majority(one), _majority(two), int(one.min()), int(one.max()), int(two.min()), int(two.max())]
+        return bytes(BITS // 8), 0, [0] * 8
+    many = _hashes(found)[:, None] + _STEPS
+    many[:, 1:] = mix(many[:, 1:])
+    return _majority(many).tobytes(), len(found), [*many[:, :4].min(axis=0).tolist(), *many[:, :4].max(axis=0).tolist()]
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp, fp2): signed longs; fp2 is 0."""
+    """(doc_id, fp): signed longs."""
 
     def run(batches):
         for batch in batches:
             found = np.array([fingerprint(x, width) for x in texts_of(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array(np.zeros(len(found), np.int64))], names=["doc_id", "fp", "fp2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long, fp2 long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _blocks(fp: np.ndarray, bits: int):
@@ -92,16 +101,16 @@ def _blocks(fp: np.ndarray, bits: int):
     return np.argsort(number, kind="stable"), distinct, np.append(0, np.cumsum(np.bincount(number)))
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.ndarray:
-    """Pairs of row numbers (right's follow left's) that span the links of left x right, or within left.
-
-    Both are arrays of fingerprint pairs; both halves of a pair must lie within the radius.
+def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of row numbers (right's follow left's) that span the links of left x right, or within left,
+    and the number of links of each row.
     """
     bits = 16 if radius <= 4 else 64
-    lo, lk, lb = _blocks(left[:, 0], bits)
-    ro, rk, rb = (lo, lk, lb) if right is None else _blocks(right[:, 0], bits)
+    lo, lk, lb = _blocks(left, bits)
+    ro, rk, rb = (lo, lk, lb) if right is None else _blocks(right, bits)
     other, shift = (left, 0) if right is None else (right, len(left))
     root, pairs = np.arange(shift + len(other)), []
+    number = np.zeros(len(root), np.int64)
     for i in range(len(lk)):
         mine = lo[lb[i] : lb[i + 1]]
         near = np.flatnonzero(np.abs(rk - lk[i]).sum(axis=1) <= radius)
@@ -112,10 +121,12 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.ndarra
         step = max(1, (1 << 18) // len(theirs))
         for k in range(0, len(mine), step):
             part = mine[k : k + step]
-            x, y = np.nonzero(np.bitwise_count(left[part, 0][:, None] ^ other[theirs, 0][None, :]) <= radius)
-            x, y = part[x], theirs[y]
-            sure = np.bitwise_count(left[x, 1] ^ other[y, 1]) <= radius
-            x, y = x[sure], y[sure] + shift
+            x, y = np.nonzero(np.bitwise_count(left[part][:, None] ^ other[theirs][None, :]) <= radius)
+            # within left, the block of part itself (it stands first) is met from both sides, and a row meets itself
+            seen = (y < len(mine)) & (right is None)
+            x, y = part[x], theirs[y] + shift
+            np.add.at(number, x, 1)
+            np.add.at(number, y[~seen], 1)
             while len(x):
                 high, low = np.maximum(root[x], root[y]), np.minimum(root[x], root[y])
                 apart = high != low
@@ -129,18 +140,19 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.ndarra
                 while (to[to] != to).any():
                     to = to[to]
                 root = to[root]
-    return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64), number - (right is None)
 
 
-def bridges(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
-    """Those of forest(left, right, radius) that join what links within left and within right leave apart.
+def bridges(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs of forest(left, right, radius) that join what links within left and within right leave apart,
+    and the number of links of each row.
 
     The links within a tile are found by the tile's own task, so a group that lies in many tiles
-    costs about one row for each two tiles and not one for each of its members in them.
+    costs about one pair for each two tiles and not one for each of its members in them.
     """
-    found = forest(left, right, radius)
+    found, number = forest(left, right, radius)
     if len(found) < 2:
-        return found
+        return found, number
     shift, root = len(left), {}
 
     def find(x):
@@ -150,7 +162,7 @@ def bridges(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
         return x
 
     for side, rows, offset in ((left, np.unique(found[:, 0]), 0), (right, np.unique(found[:, 1]) - shift, shift)):
-        for x, y in (rows[forest(side[rows], None, radius)] + offset).tolist():
+        for x, y in (rows[forest(side[rows], None, radius)[0]] + offset).tolist():
             root[find(y)] = find(x)
     kept = []
     for x, y in found.tolist():
@@ -158,19 +170,19 @@ def bridges(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
         if a != b:
             root[b] = a
             kept.append((x, y))
-    return np.array(kept, np.int64).reshape(-1, 2)
+    return np.array(kept, np.int64).reshape(-1, 2), number
 
 
-def meetings(distinct: DataFrame, radius: int, tile_rows: int | None = None) -> DataFrame:
-    """Distinct (fp, fp2, node long, ...) -> its rows once for each meeting (x, y) of their tile with a tile in
+def meetings(distinct: DataFrame, radius: int, tile_rows: int | None = None, tiles_of_all: int = 64) -> DataFrame:
+    """Distinct (fp, node long, ...) -> its rows once for each meeting (x, y) of their tile with a tile in
     reach, first: whether the row is of tile x.
 
-    A tile holds about tile_rows fingerprints: if not given, a 64th of all, so that a fingerprint
-    goes to about as many tasks whatever the input, but 500,000 at most, so that a task's two tiles
-    fit in memory.
+    A tile holds about tile_rows fingerprints: if not given, one of tiles_of_all parts, so that a
+    fingerprint goes to about as many tasks whatever the input, but 500,000 at most, so that a task's
+    two tiles fit in memory.
     """
     if tile_rows is None:
-        tile_rows = min(500_000, max(4096 if radius <= 4 else 256, distinct.count() // 64))
+        tile_rows = min(500_000, max(4096 if radius <= 4 else 256, distinct.count() // tiles_of_all))
     low = F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     high = F.bit_count(F.shiftrightunsigned("fp", 32))
     n = 65
@@ -202,70 +214,84 @@ def meetings(distinct: DataFrame, radius: int, tile_rows: int | None = None) ->
 
 
 def links(distinct: DataFrame, radius: int = 2, tile_rows: int | None = None) -> DataFrame:
-    """Distinct (fp, fp2, node long) -> edges (a, b) between nodes that span the links of the radius."""
+    """Distinct (fp, node long) -> (a, b, n): edges a, b between nodes that span the links of the radius, and
+    rows with null b that hold a number n of links of node a, to be summed.
+    """
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf[["fp", "fp2"]].to_numpy(np.int64).view(np.uint64)
+        fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
         node, first = pdf["node"].to_numpy(), pdf["first"].to_numpy()
         if pdf["x"].iat[0] == pdf["y"].iat[0]:
-            found = forest(fp, None, radius)
+            found, number = forest(fp, None, radius)
         elif first.all() or not first.any():
-            found = np.zeros((0, 2), np.int64)
+            found, number = np.zeros((0, 2), np.int64), np.zeros(len(fp), np.int64)
         else:
-            found = bridges(fp[first], fp[~first], radius)
+            found, number = bridges(fp[first], fp[~first], radius)
             node = np.concatenate([node[first], node[~first]])
-        return pd.DataFrame({"a": node[found[:, 0]], "b": node[found[:, 1]]})
+        some = np.flatnonzero(number)
+        edges = pd.DataFrame({"a": node[found[:, 0]], "b": pd.array(node[found[:, 1]], "Int64"), "n": 0})
+        return pd.concat([edges, pd.DataFrame({"a": node[some], "b": pd.array([None] * len(some), "Int64"), "n": number[some]})])
 
-    return meetings(distinct.select("fp", "fp2", "node"), radius, tile_rows).groupBy("x", "y").applyInPandas(compare, "a long, b long")
+    return meetings(distinct.select("fp", "node"), radius, tile_rows).groupBy("x", "y").applyInPandas(compare, "a long, b long, n long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """documents (doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id, n_links.
 
-    component_id is the smallest doc_id of the group. n_links counts the edges of the spanning
-    forest at the document's fingerprint (0: no other fingerprint is near).
+    component_id is the smallest doc_id of the group. n_links counts the other fingerprints of the
+    table that lie within the radius.
     """
     hashed = cut(fingerprints(docs, width))
     # a node stands for a distinct fingerprint and is numbered by it
-    distinct = cut(hashed.groupBy("fp", "fp2").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")))
-    edges = cut(links(distinct, radius))
-    labels = connected_components(edges)
-    degree = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links")))
-    member = cut(labels.join(degree, "node").join(distinct, "node"))
+    distinct = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")))
+    found = cut(links(distinct, radius))
+    labels = connected_components(found.filter("b is not null").select("a", "b"))
+    numbers = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    member = cut(labels.join(numbers, "node").join(distinct, "node"))
     least = cut(member.groupBy("label").agg(F.min("least").alias("component")))
     named = cut(member.join(least, "label").select("node", "component", "n_links"))
-    groups = cut(distinct.join(named, "node", "left").select("fp", "fp2", F.coalesce("component", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return hashed.join(groups, ["fp", "fp2"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    groups = cut(distinct.join(named, "node", "left").select("fp", F.coalesce("component", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    return hashed.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+
+
+#: Bits in which the sketches of texts of a similarity of 0.8 may differ, by the smaller number of shingles.
+FEW, REACH_FEW, REACH = 16, 230, 195
 
 
-def _pairs(fp: np.ndarray, label: np.ndarray, other: np.ndarray, other_label: np.ndarray, radius: int, total: int, within: bool) -> np.ndarray:
-    """All (row of fp, row of other) of different labels whose first fingerprints are within radius and both together within total."""
+def _pairs(mine: dict, theirs: dict, radius: int, share: float, within: bool) -> np.ndarray:
+    """All (row of mine, row of theirs) of different labels whose fingerprints, sizes and sketches allow a similarity of share."""
     out = [np.zeros((0, 2), np.int64)]
-    step = max(1, (1 << 18) // max(1, len(other)))
-    for k in range(0, len(fp), step):
+    step = max(1, (1 << 18) // max(1, len(theirs["fp"])))
+    for k in range(0, len(mine["fp"]), step):
         low = k if within else 0
-        x, y = np.nonzero(np.bitwise_count(fp[k : k + step, 0][:, None] ^ other[low:, 0][None, :]) <= radius)
+        x, y = np.nonzero(np.bitwise_count(mine["fp"][k : k + step][:, None] ^ theirs["fp"][low:][None, :]) <= radius)
         x, y = x + k, y + low
-        near = (label[x] != other_label[y]) & (np.bitwise_count(fp[x, 0] ^ other[y, 0]) + np.bitwise_count(fp[x, 1] ^ other[y, 1]) <= total)
-        near &= (y > x) | (not within)
-        out.append(np.stack([x[near], y[near]], axis=1))
+        small, large = np.minimum(mine["n"][x], theirs["n"][y]), np.maximum(mine["n"][x], theirs["n"][y])
+        near = (mine["label"][x] != theirs["label"][y]) & (small >= share * large) & ((y > x) | (not within))
+        x, y, small = x[near], y[near], small[near]
+        for at in range(0, len(x), 1 << 14):
+            i, j = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+            differ = np.bitwise_count(mine["sketch"][i] ^ theirs["sketch"][j]).sum(axis=1, dtype=np.int64)
+            near = differ <= np.where(small[at : at + (1 << 14)] < FEW, REACH_FEW, REACH)
+            out.append(np.stack([i[near], j[near]], axis=1))
     return np.concatenate(out)
 
 
-def candidates(distinct: DataFrame, radius: int, total: int, tile_rows: int | None = None) -> DataFrame:
-    """Distinct (fp, fp2, node, label) -> every pair (a, b) of nodes with different labels near by both fingerprints."""
+def candidates(distinct: DataFrame, radius: int, share: float, tile_rows: int | None = None) -> DataFrame:
+    """Distinct (fp, sketch, n, node, label) -> every pair (a, b) of nodes with different labels that may be similar (see _pairs)."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf[["fp", "fp2"]].to_numpy(np.int64).view(np.uint64)
-        node, label, first = pdf["node"].to_numpy(), pdf["label"].to_numpy(), pdf["first"].to_numpy()
+        words = np.frombuffer(b"".join(pdf["sketch"]), "<u8").reshape(len(pdf), -1)
+        both = {"fp": pdf["fp"].to_numpy(np.int64).view(np.uint64), "n": pdf["n"].to_numpy(), "label": pdf["label"].to_numpy(), "sketch": words}
+        node, first = pdf["node"].to_numpy(), pdf["first"].to_numpy()
         if pdf["x"].iat[0] == pdf["y"].iat[0]:
-            mine = theirs = np.arange(len(fp))
-        else:
-            mine, theirs = np.flatnonzero(first), np.flatnonzero(~first)
-        found = _pairs(fp[mine], label[mine], fp[theirs], label[theirs], radius, total, mine is theirs)
-        return pd.DataFrame({"a": node[mine[found[:, 0]]], "b": node[theirs[found[:, 1]]]})
+            found = _pairs(both, both, radius, share, True)
+            return pd.DataFrame({"a": node[found[:, 0]], "b": node[found[:, 1]]})
+        found = _pairs({k: v[first] for k, v in both.items()}, {k: v[~first] for k, v in both.items()}, radius, share, False)
+        return pd.DataFrame({"a": node[first][found[:, 0]], "b": node[~first][found[:, 1]]})
 
-    return meetings(distinct.select("fp", "fp2", "node", "label"), radius, tile_rows).groupBy("x", "y").applyInPandas(compare, "a long, b long")
+    met = meetings(distinct.select("fp", "sketch", "n", "node", "label"), radius, tile_rows, tiles_of_all=20)
+    return met.groupBy("x", "y").applyInPandas(compare, "a long, b long")
 
 
 def similar(a: bytes, b: bytes, width: int, share: float) -> bool:
@@ -282,52 +308,67 @@ def verified(edges: DataFrame, texts: DataFrame, width: int, share: float) -> Da
             alike = [similar(x, y, width, share) for x, y in zip(texts_of(batch, "one"), texts_of(batch, "two"))]
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    needed = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = edges.select(F.col("a").alias("node")).distinct().union(edges.select("b").distinct())
     held = cut(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]))
     both = edges.join(held.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("two")), "b")
     return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, width: int = 5, share: float = 0.8, radius: int = 22, total: int = 40) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 5, share: float = 0.8, radius: int = 20) -> DataFrame:
     """docs (text) -> (node, label): the hash of each distinct text that is similar to another, and its group.
 
     Texts whose sets of shingles have a Jaccard similarity of at least `share` are linked, and linked
-    texts form a group. Every link is verified on the shingles themselves; fingerprints only propose:
-
-    1. Texts that share the least or largest shingle hash (of two seeds) are each proposed with one of
-       them. The groups of the verified links are far fewer than the texts of a large group of copies.
-    2. Every pair of texts from different groups is proposed if the first fingerprints differ in at
-       most `radius` of 64 bits, and both together in at most `total` of 128.
-
-    At a similarity J a bit differs with probability acos(2J / (1 + J)) / pi, 0.148 at 0.8. With the
-    bits taken as independent, a pair at 0.8 is left out of step 2 with a probability of about 3e-6.
+    texts form a group. Every link is verified on the shingles themselves; two steps propose:
+
+    1. Texts that share the least or largest of one of four shingle hashes are each proposed with one
+       of them. The groups of the verified links are far fewer than the texts of a large group of copies.
+    2. Tiled comparison: every pair of texts from different groups is proposed if the fingerprints
+       differ in at most `radius` of 64 bits, the numbers of shingles allow the similarity, and sketches
+       of 1,024 bits (the fingerprint continued) differ in at most REACH bits.
+
+    At a similarity J a bit differs with probability acos(2J / (1 + J)) / pi: 0.148 at 0.8, or 152 of
+    1,024. With bits taken as independent a pair at 0.8 is left out of step 2 with a probability of
+    about 2e-4, and out of step 1 with 3e-6 unless its least and largest shingles are also those of other
+    texts. Texts are told apart by 64-bit hashes: an equal hash of different texts would make one of them
+    a copy of the other.
     """
     texts = docs.select(F.xxhash64("text").alias("node"), F.col("text").cast("binary").alias("text"))
-    names = ["fp", "fp2", "v0", "v1", "v2", "v3"]
+    leaders_of = [f"v{i}" for i in range(8)]
 
     def run(batches):
         for batch in batches:
-            found = np.array([sketch(x, width) for x in texts_of(batch)], np.uint64).reshape(-1, 6).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(found[:, i]) for i in range(6))], names=["node", *names])
-
-    hashed = cut(texts.mapInArrow(run, "node long, " + ", ".join(f"{x} long" for x in names)).dropDuplicates(["node"]))
-    values = hashed.select("node", F.posexplode(F.array(*names[2:])).alias("k", "v"))
-    leaders = values.groupBy("k", "v").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+            found = [sketch(x, width) for x in texts_of(batch)]
+            words = np.frombuffer(b"".join(f[0] for f in found), "<u8").reshape(len(found), -1)
+            values = np.array([f[2] for f in found], np.uint64).reshape(-1, 8).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(words[:, 0].view(np.int64)), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64()), *(pa.array(values[:, i]) for i in range(8))],
+                names=["node", "fp", "sketch", "n", *leaders_of],
+            )
+
+    schema = "node long, fp long, sketch binary, n long, " + ", ".join(f"{x} long" for x in leaders_of)
+    hashed = cut(texts.mapInArrow(run, schema).dropDuplicates(["node"]))
+    values = hashed.select("node", F.posexplode(F.array(*leaders_of)).alias("k", "v"))
+    leaders = values.groupBy("k", "v").agg(F.min("node").alias("a"), F.count("*").alias("times")).filter("times > 1").drop("times")
     stars = cut(values.join(leaders, ["k", "v"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct())
     sure = cut(verified(stars, texts, width, share))
     labels = connected_components(sure)
-    grouped = cut(hashed.join(labels, "node", "left").select("fp", "fp2", "node", F.coalesce("label", "node").alias("label")))
-    more = verified(cut(candidates(grouped, radius, total)), texts, width, share)
+    grouped = cut(hashed.join(labels, "node", "left").select("fp", "sketch", "n", "node", F.coalesce("label", "node").alias("label")))
+    more = verified(cut(candidates(grouped, radius, share)), texts, width, share)
     return connected_components(cut(sure.union(more)))
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
-    """Keep, of every group of near duplicates (near_groups), the document with the smallest doc_id.
+    """Keep one document of every group of near duplicates (near_groups): that with the smallest doc_id, one
+    without an id only if no other has one; of rows that repeat both id and text, any one.
 
-    All columns are kept. Rows that repeat a doc_id share its fate; a null id is kept only in a
-    group without other ids.
+    All columns are kept; input columns _node, _id and _nth are dropped. Null, empty and blank texts
+    are alike, so one of them stays. An empty table gives an empty one.
     """
     labels = near_groups(docs, width, share)
-    ids = docs.select(F.xxhash64("text").alias("node"), F.col("doc_id").cast("long").alias("_kept_id"))
-    kept = ids.join(labels, "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min("_kept_id").alias("_kept_id")).select("_kept_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    docs = docs.drop("_node", "_id", "_nth")
+    ids = docs.select(F.xxhash64("text").alias("node"), F.col("doc_id").cast("long").alias("id")).distinct()
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "node")
+    kept = ids.join(labels, "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min(place).alias("kept")).select(F.col("kept.id").alias("_id"), F.col("kept.node").alias("_node"))
+    one = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_node")))
+    nth = F.row_number().over(Window.partitionBy("_id", "_node").orderBy(F.lit(0)))
+    return one.withColumn("_nth", nth).filter("_nth = 1").drop("_nth", "_id", "_node")

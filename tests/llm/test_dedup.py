@@ -80,8 +80,12 @@ def test_tiles_find_every_link(spark, radius):
             fps.add(int(x) ^ sum(1 << int(b) for b in bits))
     values = sorted(fps)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    df = spark.createDataFrame([(s, 0, i) for i, s in enumerate(signed)], "fp long, fp2 long, node long")
-    got = {r["node"]: r["label"] for r in components.connected_components(simhash.links(df, radius, tile_rows=16)).collect()}
+    df = spark.createDataFrame([(s, i) for i, s in enumerate(signed)], "fp long, node long")
+    found = simhash.links(df, radius, tile_rows=16)
+    got = {r["node"]: r["label"] for r in components.connected_components(found.filter("b is not null").select("a", "b")).collect()}
+    numbers = {r["a"]: r["sum(n)"] for r in found.filter("b is null").groupBy("a").sum("n").collect()}
+    true = {i: sum(0 < (a ^ b).bit_count() <= radius for b in values) for i, a in enumerate(values)}
+    assert numbers == {i: n for i, n in true.items() if n}
     label = list(range(len(values)))
     changed = True
     while changed:
@@ -256,3 +260,10 @@ def test_pieces_hold_every_window_once():
     texts = [b"", b"abc", bytes(range(250)) * 3]
     found = [(i, at + k, t[k : k + 9]) for i, at, t in suffix_dedup.pieces(texts, 9, limit=100) for k in range(len(t) - 8)]
     assert found == [(i, k, t[k : k + 9]) for i, t in enumerate(texts) for k in range(len(t) - 8)]
+
+
+def test_keep_one_keeps_one_row_of_repeated_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (1, text), (None, text), (None, "other words " * 9), (None, "other words " * 9), (2, ""), (3, None)]
+    got = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in got) == [(-1, "other words " * 9), (1, text), (2, "")]
