@@ -2,19 +2,21 @@
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lowered. Every rolling pair
 of words is hashed and joined to the pairs of the templates; a hit at word i of a document and
-word t of a template votes for the diagonal i - t. Votes are summed for each diagonal, diagonals no
-more than `slack` apart are merged (they come from inserted or dropped words), and a merged span is
-verified by the share of the template's pairs that it holds. A diagonal that begins past the words of
-the one before it is the next copy and not merged; where diagonals still merge to more than twice the
-template's length, each is judged on its own.
-
-The templates are a small fixed table (below), so the join is a broadcast of known size. A pair's
-text is compared beside its hash, so a collision can't count. Nothing is shuffled but the hits,
-summed for each document and diagonal, and one row for each document.
-
-Null and empty texts have no words and no labels. Rows that repeat a doc_id are told apart by a row
-number made from the hash of the text only for identical rows: such rows get the same result each.
-Other columns are ignored.
+word t of a template votes for the diagonal i - t. Votes are gathered for each diagonal as a set of
+template places (bits of a long), diagonals no more than `slack` apart are merged (they come from
+inserted or dropped words), and a merged span is verified by the share of the template's pairs that it
+holds, each counted once. A diagonal that begins past the words of the one before it is the next copy
+and not merged; where diagonals still merge to more than twice the template's length, each is judged
+on its own.
+
+Documents are read and split once. Pairs that no template has are left out before the rows are made,
+and the templates are a small fixed table (below), so the join is a broadcast of known size; a pair's
+text is compared beside its hash, so a collision can't count. Hits, and one row for each document
+without any, are shuffled once, by a number of their row.
+
+Null and empty texts have no words and no labels. Rows that repeat a doc_id, or are identical, are
+each scanned. An empty table gives an empty one; a long text is a row like any other. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,53 +49,58 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), SEPARATORS), "")
 
 
-def pairs(w: Column) -> Column:
-    """Every two consecutive words, joined by a space."""
-    return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-
-
 def template_table(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
-    """One row for each pair of words of each template; a few hundred rows."""
+    """One row for each pair of words of each template; a few hundred rows. place: the bit of the pair's number."""
     rows = []
     for number, (text, label, base) in enumerate([(t, x, True) for t, x in phrases] + [(t, x, False) for x, t in templates]):
         w = text.split()
-        rows += [(number, label, base, t, len(w) - 1, f"{w[t]} {w[t + 1]}") for t in range(len(w) - 1)]
-    return spark.createDataFrame(rows, "template int, label string, base boolean, t int, grams int, gram string").withColumn("h", F.xxhash64("gram"))
+        if not 2 <= len(w) <= 64:
+            raise ValueError(f"a template has 2 to 64 words: {text}")
+        rows += [(number, label, base, t, 1 << t, len(w) - 1, f"{w[t]} {w[t + 1]}") for t in range(len(w) - 1)]
+    return spark.createDataFrame(rows, "template int, label string, base boolean, t int, place long, grams int, gram string").withColumn("h", F.xxhash64("gram"))
+
+
+def _hits(w: Column, pairs: list[str]) -> Column:
+    """(i, gram) of every two consecutive words, joined by a space, that are one of the pairs."""
+    firsts = sorted({p.split()[0] for p in pairs})
+    pair = lambda x, i: F.when(x.isin(firsts), F.struct(i.alias("i"), F.concat(x, F.lit(" "), F.get(w, i + 1)).alias("gram")))
+    return F.filter(F.transform(w, pair), lambda p: p["gram"].isin(pairs))
 
 
-def scan(docs: DataFrame, slack: int = 3, share: float = 0.6, phrases=PHRASES, templates=TEMPLATES) -> tuple[DataFrame, DataFrame]:
-    """documents -> (n_words of each row, verified spans).
+def runs(docs: DataFrame, slack: int = 3, share: float = 0.6, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
+    """documents -> a row for each merged run of diagonals, and rows that only carry their document.
 
-    Spans: doc_id, text_hash, template, label, base, start, end (words, end exclusive), votes,
-    share. Base phrases count only where all their words stand on one diagonal.
+    row (a number of the document's row), doc_id, n_words, template, label, base, start, end (words,
+    end exclusive), votes (different pairs of the template), share, found (whether it counts). Base
+    phrases count only where all their words stand on one diagonal.
     """
-    spark = docs.sparkSession
-    each = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    counted = each.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"))
-    rolled = each.filter(F.size("w") > 1).select("doc_id", "text_hash", F.posexplode(pairs(F.col("w"))).alias("i", "gram")).withColumn("h", F.xxhash64("gram"))
-    table = template_table(spark, phrases, templates)
-    hits = rolled.join(F.broadcast(table), ["h", "gram"]).withColumn("diagonal", F.col("i") - F.col("t"))
-    key = ["doc_id", "text_hash", "template", "label", "base", "grams"]
-    # identical rows vote alike, so distinct places are counted
-    votes = hits.groupBy(*key, "diagonal").agg(F.count_distinct("i").alias("votes"), F.min("i").alias("first"), F.max("i").alias("last"))
-    exact = votes.filter(F.col("base") & (F.col("votes") == F.col("grams"))).select(
-        "doc_id", "text_hash", "template", "label", "base", F.col("first").alias("start"), (F.col("last") + 2).alias("end"), "votes", F.lit(1.0).alias("share")
-    )
-    near = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
-    run = Window.partitionBy("doc_id", "text_hash", "template", "run")
-    begun = (F.col("diagonal") - F.lag("diagonal").over(near) > F.least(F.lit(slack), "grams")) | (F.col("first") > F.lag("diagonal").over(near) + F.col("grams"))
-    merged = (
-        votes.filter(~F.col("base") & ((F.col("votes") > 1) | (F.col("grams") < 4)))
+    pairs = sorted({f"{a} {b}" for t in [t for t, _ in phrases] + [t for _, t in templates] for a, b in zip(t.split(), t.split()[1:])})
+    each = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
+    rolled = each.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.inline_outer(_hits(F.col("w"), pairs))).withColumn("h", F.xxhash64("gram"))
+    hits = rolled.join(F.broadcast(template_table(docs.sparkSession, phrases, templates)), ["h", "gram"], "left").repartition("row")
+    key = ["row", "doc_id", "n_words", "template", "label", "base", "grams"]
+    votes = hits.groupBy(*key, (F.col("i") - F.col("t")).alias("diagonal")).agg(F.bit_or("place").alias("places"), F.min("i").alias("first"), F.max("i").alias("last"))
+    # single votes for a long template are noise: their rows stay to carry the document
+    counts = F.col("base") | (F.bit_count("places") > 1) | (F.col("grams") < 4)
+    near = Window.partitionBy("row", "template").orderBy("diagonal")
+    run = Window.partitionBy("row", "template", "run")
+    begun = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(near) > F.least(F.lit(slack), "grams")) | (F.col("first") > F.lag("diagonal").over(near) + F.col("grams"))
+    return (
+        votes.withColumn("template", F.when(counts, F.col("template")))
         .withColumn("new", F.coalesce(begun.cast("int"), F.lit(1)))
         .withColumn("run", F.sum("new").over(near))
         .withColumn("alone", F.when(F.max("last").over(run) + 2 - F.min("first").over(run) > 2 * (F.col("grams") + 1), F.col("diagonal")))
         .groupBy(*key, "run", "alone")
-        .agg(F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + 2).alias("end"))
-        .withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("grams")))
-        .filter(F.col("share") >= share)
-        .select("doc_id", "text_hash", "template", "label", "base", "start", "end", "votes", "share")
+        .agg(F.bit_count(F.bit_or("places")).alias("votes"), F.min("first").alias("start"), (F.max("last") + 2).alias("end"))
+        .withColumn("share", F.col("votes") / F.col("grams"))
+        .withColumn("found", F.col("template").isNotNull() & F.when(F.col("base"), F.col("share") == 1).otherwise(F.col("share") >= share))
+        .drop("grams", "run", "alone")
     )
-    return counted, exact.unionByName(merged)
+
+
+def scan(docs: DataFrame, **options) -> DataFrame:
+    """documents -> doc_id, template, label, base, start, end, votes, share of every licence that was found."""
+    return runs(docs, **options).filter("found").drop("row", "n_words", "found")
 
 
 def license_scan(docs: DataFrame, **options) -> DataFrame:
@@ -101,18 +108,17 @@ def license_scan(docs: DataFrame, **options) -> DataFrame:
 
     score is the largest verified share (1 for a base phrase, 0 without any label).
     """
-    counted, found = scan(docs, **options)
-    base = F.col("base")
-    summed = found.groupBy("doc_id", "text_hash").agg(
-        F.count(F.when(base, 1)).alias("n_base"),
-        F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
-        F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
-        F.max("share").alias("score"),
-    )
-    c, s = counted.alias("c"), summed.alias("s")
-    return c.join(s, F.col("c.doc_id").eqNullSafe(F.col("s.doc_id")) & F.col("c.text_hash").eqNullSafe(F.col("s.text_hash")), "left").select(
-        "c.doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
+    base = F.col("found") & F.col("base")
+    return (
+        runs(docs, **options)
+        .groupBy("row", "doc_id", "n_words")
+        .agg(
+            F.count(F.when(base, 1)).alias("n_base"),
+            F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
+            F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),
+            F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
+            F.array_join(F.array_sort(F.collect_set(F.when(F.col("found"), F.col("label")))), ",").alias("labels"),
+            F.coalesce(F.max(F.when(F.col("found"), F.col("share"))), F.lit(0.0)).alias("score"),
+        )
+        .drop("row")
     )

@@ -39,6 +39,11 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_licenses that SQL can express."""
+    return op4_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -69,12 +74,19 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(docs, docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_warc, op4_licenses, op5_decontaminate, op6_langid, op7_substring_dedup, op8_topk, op9_packing, op10_ctw)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_warc, op4_licenses, license_base, op5_decontaminate, op6_langid, op7_substring_dedup, op8_topk, op9_packing, op10_ctw)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _NAMES = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 SQL = {
+    "license_base": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_NAMES}) AS w FROM documents),
+p AS (SELECT * FROM (VALUES ('mit', ['mit', 'license']), ('apache', ['apache', 'license']), ('gpl', ['general', 'public', 'license'])) AS t(label, p)),
+hit AS (SELECT doc_id, label, i - 1 AS i FROM d, p, unnest(generate_series(1, len(w) - len(p) + 1)) AS t(i) WHERE w[i] = p[1] AND w[i:i + len(p) - 1] = p),
+s AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(labels, '') AS base_labels
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id""",
     "op5_decontaminate": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_NAMES}) AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, {_NAMES}) AS w FROM benchmark),

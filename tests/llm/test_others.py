@@ -331,5 +331,66 @@ def test_repeated_short_license_lines_keep_their_label(spark):
             rows.append((len(rows), f"before {text} after"))
     got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(frame(spark, rows)).collect()}
     assert got == {d: (x, 1.0) for d, x in want.items()}
-    found = licenses.scan(frame(spark, [(1, "all rights reserved " * 5)]))[1].collect()
+    found = licenses.scan(frame(spark, [(1, "all rights reserved " * 5)])).collect()
     assert sorted((r.start, r.end) for r in found) == [(i, i + 3) for i in range(0, 15, 3)]
+
+
+def brute_labels(text, slack=3, share=0.6):
+    """Labels and score by the definition, without Spark."""
+    w, labels, score = [x.decode() for x in lowered(text)], set(), 0.0
+    grams = [(w[i], w[i + 1]) for i in range(len(w) - 1)]
+    for phrase, label in licenses.PHRASES:
+        p = phrase.split()
+        if any(w[i : i + len(p)] == p for i in range(len(w))):
+            labels.add(label)
+            score = 1.0
+    for label, template in licenses.TEMPLATES:
+        t = template.split()
+        own = [(t[k], t[k + 1]) for k in range(len(t) - 1)]
+        votes = {}
+        for i, g in enumerate(grams):
+            for k, x in enumerate(own):
+                if g == x:
+                    votes.setdefault(i - k, []).append((i, k))
+        groups, before = [], None
+        for d in sorted(d for d, v in votes.items() if len(v) > 1 or len(own) < 4):
+            if before is None or d - before > min(slack, len(own)) or min(votes[d])[0] > before + len(own):
+                groups.append([])
+            groups[-1].append(d)
+            before = d
+        for group in groups:
+            places = [i for d in group for i, _ in votes[d]]
+            parts = [[d] for d in group] if max(places) + 2 - min(places) > 2 * len(t) else [group]
+            for part in parts:
+                found = len({k for d in part for _, k in votes[d]}) / len(own)
+                if found >= share:
+                    labels.add(label)
+                    score = max(score, found)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_match_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for n in range(150):
+        parts = []
+        for _ in range(rng.integers(1, 4)):
+            w = licenses.TEMPLATES[rng.integers(len(licenses.TEMPLATES))][1].split() * int(rng.integers(1, 3))
+            for _ in range(rng.integers(0, 9)):
+                i = int(rng.integers(len(w)))
+                w[i : i + int(rng.integers(0, 2))] = ["very"] * int(rng.integers(0, 3))
+                w = w or ["all"]
+            parts += [*w, *["the"] * int(rng.integers(0, 5))]
+        rows.append((n, " ".join(parts)))
+    got = {r.doc_id: (r.labels, round(r.score, 9)) for r in licenses.license_scan(frame(spark, rows)).collect()}
+    assert got == {d: (x, round(y, 9)) for d, t in rows for x, y in [brute_labels(t)]}
+    assert len({x for x, _ in got.values()}) > 5
+
+
+def test_license_edges(spark):
+    """An empty table, null ids, identical rows, clashing columns, a long text of one phrase."""
+    assert licenses.license_scan(frame(spark, [])).count() == 0
+    wide = "doc_id long, text string, row string, label int, n_words string, h int, w string, template string"
+    rows = [(None, "mit license"), (1, "mit license"), (1, "mit license"), (2, "mit license " * 50_000), (3, None)]
+    got = licenses.license_scan(frame(spark, [(*r, "x", 1, "y", 2, "z", "t") for r in rows], wide)).collect()
+    assert sorted(((r.doc_id or -1), r.n_words, r.n_base, r.labels) for r in got) == [(-1, 2, 1, "mit"), (1, 2, 1, "mit"), (1, 2, 1, "mit"), (2, 100_000, 50_000, "mit"), (3, 0, 0, "")]
