@@ -91,7 +91,8 @@ def _dealt(n: int, h: np.ndarray, g: np.ndarray, doc: np.ndarray, word: np.ndarr
     h, g, doc, word = h[order], g[order], doc[order], word[order]
     state = np.where(first, many, 2).astype(np.uint8)
     where = np.where(first, h, mix(h + word.astype(np.uint64) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-    return posting_rows((where % np.uint64(n)).astype(np.int32), h=h, g=g, doc=doc, word=word, state=state)
+    near = np.lexsort((word, doc))  # places that follow each other compress
+    return posting_rows((where % np.uint64(n)).astype(np.int32)[near], h=h[near], g=g[near], doc=doc[near], word=word[near], state=state[near])
 
 
 POSTINGS = posting_schema("h", "g", "doc", "word", "state")
