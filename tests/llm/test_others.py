@@ -263,32 +263,45 @@ def brute_ctw(training, text, depth):
     return total
 
 
-@pytest.mark.parametrize("depth", [0, 1, 2])
+def levels_of(training, depth):
+    """All mixtures of the tree, in one process."""
+    key, n = np.unique(ctw.grams(training, depth), return_counts=True)
+    nodes = [ctw.deepest(key, n)]
+    for d in range(depth - 1, -1, -1):
+        nodes.append(ctw.parents(nodes[-1], d))
+    found = [ctw.Mixture.start()]
+    for d in range(depth + 1):
+        found.append(found[-1].deeper(nodes[depth - d], d))
+    return list(enumerate(found[1:]))
+
+
+@pytest.mark.parametrize("depth", [2, 3, 4])
 def test_ctw_matches_recursion(depth):
-    training = [b"abracadabra", b"a cab, a bar", "né né".encode(), b""]
-    key, n = np.unique(ctw.grams([t for t in training if t], depth), return_counts=True)
-    model = ctw.build(key, n, depth)
-    texts = [b"abra", b"", b"zebra", "né!".encode(), b"a" * 30]
-    assert np.allclose(model.score(texts), [brute_ctw(training, t, depth) for t in texts], rtol=1e-4, atol=1e-4)
+    training = [b"abracadabra", b"a cab, a bar", "né né".encode()]
+    held = levels_of(training, depth)
+    for text in [b"abra", b"zebra", "né!".encode(), b"a" * 30]:
+        assert math.isclose(ctw.predict(held, ctw.grams([text], depth)).sum(), brute_ctw(training, text, depth), rel_tol=1e-9)
 
 
 def test_ctw_is_a_distribution():
-    key, n = np.unique(ctw.grams([b"mississippi river"], 2), return_counts=True)
-    model = ctw.build(key, n, 2)
-    assert np.allclose((10.0 ** model.table.astype(float)).sum(axis=1), 1, atol=1e-4)
+    held = levels_of([b"mississippi river"], 3)
+    for context in (b"ssi", b"xxi", b"xyz"):
+        asked = int.from_bytes(context, "big") << 8 | np.arange(256)
+        assert math.isclose((10.0 ** ctw.predict(held, asked)).sum(), 1, rel_tol=1e-9)
 
 
-def test_scores_match_brute_force(spark):
+@pytest.mark.parametrize("depth", [2, 4])
+def test_scores_match_brute_force(spark, depth):
     rows = [(i, " ".join(np.random.default_rng(i).choice(["The", "the", "cat", "sat", "on\n", f"rare{i % 7}"], 30))) for i in range(40)] + [(50, None), (51, ""), (52, "unseen words")]
     docs = frame(spark, [(d, t, d % 5 == 1, "k") for d, t in rows], SCHEMA + ", held_out boolean, word string")
-    got = {r.doc_id: r for r in ctw.score(docs, docs.filter("not held_out"), frequent=2).collect()}
+    got = {r.doc_id: r for r in ctw.score(docs, docs.filter("not held_out"), depth=depth).collect()}
     c = Counter()
     for d, t in rows:
         if d % 5 != 1:
             c.update((t or "").encode().lower().split())
             c[None] += 1
     n, v = sum(c.values()), len(c)
-    train = [(t or "").encode() for d, t in rows if d % 5 != 1]
+    train = [(t or "").encode() + b"\xff" for d, t in rows if d % 5 != 1]
     for d, t in rows:
         tokens = [*(t or "").encode().lower().split(), None]
         base = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in tokens)
@@ -296,7 +309,7 @@ def test_scores_match_brute_force(spark):
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(tokens), sum(c[x] > 0 for x in tokens), n, d % 5 == 1)
         assert math.isclose(r.base_score, base, rel_tol=1e-9)
     for d in (1, 50, 52):
-        assert math.isclose(got[d].score, brute_ctw(train, (dict(rows)[d] or "").encode(), 2), rel_tol=1e-4, abs_tol=1e-6)
+        assert math.isclose(got[d].score, brute_ctw(train, (dict(rows)[d] or "").encode() + b"\xff", depth), rel_tol=1e-9)
     none = docs.filter("false")
     assert ctw.score(none, none).count() == 0
     assert ctw.score(docs, none).filter("n_known > 0").count() == 0
