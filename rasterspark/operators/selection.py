@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterspark.functions.lineage import cut
+from rasterspark.functions.text import crop_key
 
 
 def dedupe(fills: DataFrame) -> DataFrame:
@@ -14,6 +15,24 @@ def dedupe(fills: DataFrame) -> DataFrame:
     return fills.groupBy("hash").agg(F.min_by("node", "pos").alias("first_node"), F.count("*").alias("targets"), F.count_distinct("node").alias("nodes"))
 
 
+def dedupe_crops(fills: DataFrame) -> DataFrame:
+    """fills (pos, node, name, hash, crop: struct(x, y, width, height) or null, full_w, full_h) -> one row an image
+    and crop: its id, hash, first name and size, the size of the crop, and its targets in order.
+    """
+    key = F.when(F.col("crop").isNull(), F.col("hash").cast("string")).otherwise(crop_key(F.col("hash").cast("string"), *(F.col(f"crop.{c}") for c in ("x", "y", "width", "height"))))
+    first = fills.groupBy(key.alias("id")).agg(F.min_by(F.struct("hash", "name", "crop", "full_w", "full_h"), "pos").alias("f"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda t: t["node"]).alias("targets"))
+    side = lambda full, part: F.when(F.col("f.crop").isNull(), F.col(full)).otherwise(F.greatest(F.lit(1), F.floor(F.col(full) * F.col(part) + 0.5))).cast("int")
+    return first.select("id", "f.hash", "f.name", side("f.full_w", "f.crop.width").alias("width"), side("f.full_h", "f.crop.height").alias("height"), "targets")
+
+
+def originals(images: DataFrame, blobs: DataFrame) -> DataFrame:
+    """images (pos, hash, name) and blobs (hash, content) -> one row a hash: its first name, content, and an error if
+    the content is missing. The bytes are as they were.
+    """
+    first = images.groupBy("hash").agg(F.min_by("name", "pos").alias("name"), F.min("pos").alias("pos"))
+    return first.join(blobs, "hash", "left").withColumn("error", F.when(F.col("content").isNull(), F.concat(F.col("name"), F.lit(": not found"))))
+
+
 def with_sizes(images: DataFrame, sizes: DataFrame) -> DataFrame:
     """Unknown sizes stay null."""
     return images.join(sizes, "hash", "left")

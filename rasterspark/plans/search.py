@@ -163,7 +163,7 @@ def running_best(results: DataFrame) -> DataFrame:
         row = F.struct(r["pos"].alias("pos"), r["bytes"].alias("bytes"), s["best"]["bytes"].alias("before"), pruned.alias("pruned"))
         return F.struct(F.when(~pruned & better(r, s["best"], F.lit(False)), r).otherwise(s["best"]).cast(one).alias("best"), F.concat(s["all"], F.array(row.cast(out))).alias("all"))
 
-    ordered = F.array_sort(F.collect_list(F.struct(*(F.col(x.split(":")[0]).cast(x.split(":")[1]) for x in one[7:-1].split(",")))))
+    ordered = F.array_sort(F.collect_list(F.struct(*(F.col(n).cast(kind).alias(n) for n, kind in (x.split(":") for x in one[7:-1].split(","))))))
     return results.groupBy("image_id").agg(ordered.alias("r")).select("image_id", F.inline(F.aggregate("r", start, step, lambda s: s["all"])))
 
 

@@ -334,12 +334,25 @@ def keep_original(spark, d):
     return _t(spark, d, "part").select("p_partkey", compression.keep_original(F.col("p_partkey") % 2 == 0, F.lit("auto"), _kind(), F.lit("high"), o, n).alias("kept"), F.round(o / n, 6).alias("ratio"), F.round(1 - n / o, 6).alias("savings"))
 
 
-@query()
+@query("WITH a AS (" + SQL["analyze_image"] + """),
+t AS (SELECT image_id, CASE image_id % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'webp' WHEN 2 THEN 'avif' WHEN 3 THEN 'jpeg' ELSE 'auto' END AS f, content_type = 'exact-color' AS e, content_type = 'photo' AS p, content_type = 'flat-graphic' OR unique_colors <= 4096 AS k,
+ has_alpha AS al, is_grayscale AND NOT has_alpha AS g, is_grayscale AS gray, image_id % 23 AS mp, image_id % 3 = 0 AS most, image_id % 11 = 0 AS ll, unique_colors AS c FROM a),
+q AS (SELECT *, NOT e OR (c > 64 AND NOT most) AS q, mp <= 16 AS av FROM t),
+r AS (SELECT *, CASE f WHEN 'png' THEN CASE WHEN ll THEN 'png-lossless' WHEN e THEN concat_ws(',', CASE WHEN q THEN 'png-quant' END, 'png-lossless') WHEN q THEN 'png-quant' ELSE 'png-lossless' END
+ WHEN 'webp' THEN CASE WHEN ll THEN 'webp-lossless' WHEN e THEN concat_ws(',', 'webp-lossless', CASE WHEN q THEN 'webp-palette' END) ELSE concat_ws(',', 'webp', CASE WHEN q AND (NOT p OR al) THEN 'webp-palette' END, CASE WHEN k THEN 'webp-lossless' END) END
+ WHEN 'avif' THEN CASE WHEN ll THEN 'avif-lossless' ELSE 'avif' END
+ WHEN 'jpeg' THEN CASE WHEN g THEN 'jpeg-gray' WHEN NOT p OR mp <= 1.5 OR most THEN 'jpeg-420,jpeg-444' ELSE 'jpeg-420' END
+ ELSE CASE WHEN ll THEN 'png-lossless,webp-lossless' WHEN e THEN CASE WHEN q THEN 'png-quant,webp-palette,' ELSE '' END || 'png-lossless,webp-lossless'
+  WHEN p AND NOT al THEN concat_ws(',', 'webp', CASE WHEN gray THEN 'jpeg-gray' ELSE 'jpeg-420' END, CASE WHEN av THEN 'avif' END)
+  WHEN p THEN concat_ws(',', 'webp', CASE WHEN av THEN 'avif' END, CASE WHEN q AND mp <= 4 THEN 'png-quant,webp-palette' END)
+  ELSE concat_ws(',', CASE WHEN q THEN 'png-quant,webp-palette' END, 'webp', CASE WHEN k THEN 'webp-lossless' END, CASE WHEN av THEN 'avif' END) END END AS pr FROM q)
+SELECT image_id, f AS format, pr AS primary, CASE WHEN ll OR e THEN '' WHEN f = 'png' AND q THEN 'png-lossless' WHEN f = 'webp' AND NOT k THEN 'webp-lossless'
+ WHEN f = 'auto' THEN CASE WHEN contains(pr, 'webp-lossless') THEN 'png-lossless' ELSE 'webp-lossless,png-lossless' END ELSE '' END AS fallback FROM r""")
 def choose_candidates(spark, d):
     a = analyze_image(spark, d)
     i = F.col("image_id")
     form = F.element_at(F.array(*(F.lit(x) for x in ("png", "webp", "avif", "jpeg", "auto"))), (i % 5 + 1).cast("int"))
-    primary, fallback = compression.candidates(form, F.col("content_type"), F.col("has_alpha"), F.col("is_grayscale"), F.col("unique_colors"), F.col("width") * F.col("height") / 1e6, F.lit("high"), i % 11 == 0)
+    primary, fallback = compression.candidates(form, F.col("content_type"), F.col("has_alpha"), F.col("is_grayscale"), F.col("unique_colors"), i % 23, F.when(i % 3 == 0, "maximum").otherwise("high"), i % 11 == 0)
     return a.select("image_id", form.alias("format"), F.array_join(primary, ",").alias("primary"), F.array_join(fallback, ",").alias("fallback"))
 
 

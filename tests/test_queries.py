@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from rasterspark import queries
+from rasterspark import catalog as queries
 from rasterspark.functions import text
 from rasterspark.operators import analysis, geometry, planes
 from rasterspark.sources import pixels
