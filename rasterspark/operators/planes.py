@@ -53,7 +53,7 @@ def binomial_blur(plane: DataFrame) -> DataFrame:
         w = _line(across, along)
         return df.withColumn("v", (F.coalesce(F.lag("v").over(w), "v") + 2 * F.col("v") + F.coalesce(F.lead("v").over(w), "v")) / 4)
 
-    return step(step(plane.repartition("image_id"), "y", "x"), "x", "y")
+    return step(step(plane, "y", "x"), "x", "y")
 
 
 def box_blur(plane: DataFrame, radius: float) -> DataFrame:
@@ -61,7 +61,7 @@ def box_blur(plane: DataFrame, radius: float) -> DataFrame:
     if radius <= 0:
         return plane
     r = max(1, int(radius + 0.5))
-    out = plane.repartition("image_id")
+    out = plane
     for across, along in (("y", "x"), ("x", "y")):
         out = out.withColumn("v", F.avg("v").over(_line(across, along).rowsBetween(-r, r)))
     return out
@@ -69,7 +69,7 @@ def box_blur(plane: DataFrame, radius: float) -> DataFrame:
 
 def dilate(mask: DataFrame, radius: int) -> DataFrame:
     """(.., keep boolean) -> keep where any place within the radius, along x then y, is kept."""
-    out = mask.repartition("image_id")
+    out = mask
     for across, along in (("y", "x"), ("x", "y")):
         out = out.withColumn("keep", F.max("keep").over(_line(across, along).rowsBetween(-radius, radius)))
     return out
@@ -77,7 +77,7 @@ def dilate(mask: DataFrame, radius: int) -> DataFrame:
 
 def edge_map(px: DataFrame) -> DataFrame:
     """Dithering weight: 1 on flat ground, down to 0.15 at an edge, from integer luma."""
-    v = px.withColumn("v", F.shiftright(F.col("r") * 54 + F.col("g") * 183 + F.col("b") * 19, 8) * (F.col("a") / 255)).repartition("image_id")
+    v = px.withColumn("v", F.shiftright(F.col("r") * 54 + F.col("g") * 183 + F.col("b") * 19, 8) * (F.col("a") / 255))
     near = [f("v").over(_line(*d)) for d in (("y", "x"), ("x", "y")) for f in (F.lag, F.lead)]
     return v.withColumn("weight", F.greatest(F.lit(0.15), 1 - F.greatest(*(F.coalesce(F.abs(n - F.col("v")), F.lit(0)) for n in near)) / 40.0))
 

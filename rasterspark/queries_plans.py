@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterspark.functions import labels, text
-from rasterspark.operators import batch, geometry, selection
-from rasterspark.plans import compression, rules, search
-from rasterspark.queries import _STATUS, FILL, _fills, _jobs, _t, query
+from rasterspark.operators import batch, geometry, metrics, selection
+from rasterspark.operators.planes import YCBCR
+from rasterspark.plans import rules, search
+from rasterspark.queries import _STATUS, FILL, PX, _fills, _jobs, _px, _px_sql, _t, query
+from rasterspark.sources import pixels
 
 _NAMES = "CASE p_partkey % 11 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(labels.CANDIDATES)) + " ELSE 'other' END"
 
@@ -277,3 +279,48 @@ def compress_search(spark, d):
         "image_id", F.lit(None).cast("double").alias("custom"), F.lit(0.985).alias("min_ssim"), F.lit(0.0).alias("min_worst"), F.array(F.lit(256)).alias("steps"),
         F.array(one("webp", "lossy", 70, 2, 7), one("avif", "lossy", 60, 3, 5)).alias("primary"), F.array(one("png-lossless", "lossless", 0, 0, 0)).alias("fallback"))
     return search.compress(images).select("image_id", "best.candidate", "best.level", "best.bytes", "best.passed", F.size("results").alias("tried"), "warning")
+
+
+# the comparison of images
+
+_LAID = "WITH" + _px_sql(20) + """,
+pair AS (SELECT *, least(255, r + x * y % 5) AS r2, greatest(0, g - x % 3) AS g2, b AS b2, greatest(0, a - y % 4) AS a2 FROM px),
+al AS (SELECT image_id, bool_or(a < 255 OR a2 < 255) AS al, max(abs(a - a2)) AS alpha_error FROM pair GROUP BY image_id),
+o AS (SELECT pair.*, bg FROM pair JOIN al USING (image_id) JOIN (VALUES (-1), (0), (255)) AS v(bg) ON CASE WHEN al THEN bg >= 0 ELSE bg < 0 END),
+flat AS (SELECT image_id, bg, w, h, x, y, """ + ", ".join(f"CASE WHEN bg < 0 THEN {c}{n}::DOUBLE ELSE {c}{n} * (a{n} / 255) + (1 - a{n} / 255) * bg END AS {c}{n}" for n in ("", "2") for c in "rgb") + """ FROM o),
+pl AS (""" + " UNION ALL ".join(
+    f"SELECT image_id, bg, '{name}' AS c, w, h, x, y, " + ", ".join(f"CAST({k[0]}::DOUBLE * r{n} + {k[1]}::DOUBLE * g{n} + {k[2]}::DOUBLE * b{n} + {k[3]}::DOUBLE AS FLOAT) AS {v}" for n, v in (("", "p"), ("2", "q"))) + " FROM flat"
+    for name, k in YCBCR.items()) + """),
+hv AS (SELECT * FROM pl WHERE c = 'luma' OR w < 16 OR h < 16 UNION ALL
+ SELECT image_id, bg, c, w // 2, h // 2, x // 2, y // 2, CAST(avg(p::DOUBLE) AS FLOAT), CAST(avg(q::DOUBLE) AS FLOAT) FROM pl WHERE c <> 'luma' AND w >= 16 AND h >= 16 AND x < w // 2 * 2 AND y < h // 2 * 2 GROUP BY image_id, bg, c, w // 2, h // 2, x // 2, y // 2),
+dim AS (SELECT DISTINCT image_id, c, w, h, least(8, w, h) AS win, CASE WHEN least(8, w, h) < 8 THEN least(8, w, h) ELSE 4 END AS st FROM hv),
+wx AS (SELECT DISTINCT image_id, c, win, s AS wx FROM dim, unnest(list_append(generate_series(0, w - win, st), w - win)) AS t(s)),
+wy AS (SELECT DISTINCT image_id, c, s AS wy FROM dim, unnest(list_append(generate_series(0, h - win, st), h - win)) AS t(s)),
+m AS (SELECT image_id, bg, c, wx, wy, avg(p::DOUBLE) AS mp, avg(q::DOUBLE) AS mq, avg(p::DOUBLE * p::DOUBLE) AS pp, avg(q::DOUBLE * q::DOUBLE) AS qq, avg(p::DOUBLE * q::DOUBLE) AS pq
+      FROM hv JOIN wx USING (image_id, c) JOIN wy USING (image_id, c) WHERE x >= wx AND x < wx + win AND y >= wy AND y < wy + win GROUP BY ALL),
+sc AS (SELECT image_id, bg, c, (2 * mp * mq + 6.5025) * (2 * (pq - mp * mq) + 58.5225) / ((mp * mp + mq * mq + 6.5025) * (greatest(0, pp - mp * mp) + greatest(0, qq - mq * mq) + 58.5225)) AS score FROM m),
+b AS (SELECT image_id, bg, CAST(least(1999, greatest(0, floor((score + 1) / 2 * 2000))) AS INTEGER) AS bin, count(*) AS n FROM sc WHERE c = 'luma' GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY image_id, bg ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY image_id, bg) AS total FROM b),
+wo AS (SELECT image_id, min(worst) AS worst FROM (SELECT image_id, bg, (min(bin) + 0.5) / 2000 * 2 - 1 AS worst FROM u WHERE upto >= greatest(1, floor(total * 0.01)) GROUP BY ALL) GROUP BY image_id),
+me AS (SELECT image_id, bg, c, avg(score) AS mean FROM sc GROUP BY ALL),
+si AS (SELECT image_id, min(s) AS ssim FROM (SELECT image_id, bg, sum(mean * CASE c WHEN 'luma' THEN 0.8::DOUBLE ELSE 0.1::DOUBLE END) AS s FROM me GROUP BY ALL) GROUP BY image_id),
+er AS (SELECT image_id, max(mse) AS mse FROM (SELECT image_id, bg, avg((power(r - r2, 2) + power(g - g2, 2) + power(b - b2, 2)) / 3) AS mse FROM flat GROUP BY ALL) GROUP BY image_id)"""
+
+
+@query(_LAID + """ SELECT image_id, round(least(1, ssim), 6) AS ssim, round(least(1, worst), 6) AS worst_block_ssim, CASE WHEN mse = 0 THEN CAST('inf' AS DOUBLE) ELSE round(10 * log10(65025 / mse), 6) END AS psnr, alpha_error AS max_alpha_error
+FROM si JOIN wo USING (image_id) JOIN er USING (image_id) JOIN al USING (image_id)""")
+def compare_images(spark, d):
+    found = metrics.compare(pixels.degraded(_px(spark, d, 20)))
+    return found.select("image_id", *(F.round(c, 6).alias(c) for c in ("ssim", "worst_block_ssim", "psnr")), "max_alpha_error")
+
+
+@query(PX + """, s AS (SELECT image_id, w, h, count(*) AS n, CAST(sum(r * 3 + a) AS BIGINT) AS total FROM px GROUP BY ALL)
+SELECT image_id, CASE WHEN image_id % 7 > 0 AND image_id % 11 > 0 THEN n END AS n, CASE WHEN image_id % 7 > 0 AND image_id % 11 > 0 THEN total END AS total,
+ CASE WHEN image_id % 11 = 0 THEN 'no candidate' WHEN image_id % 7 = 0 THEN w || '×' || h || ' against ' || (w - 1) || '×' || h END AS error FROM s""")
+def pixel_pairs(spark, d):
+    px = _px(spark, d)
+    narrow = F.when(F.col("image_id") % 7 == 0, F.col("w") - 1).otherwise(F.col("w"))
+    other = px.filter(F.col("image_id") % 11 > 0).withColumn("w", narrow).filter(F.col("x") < F.col("w"))
+    both, errors = metrics.pixel_pairs(px, other)
+    sums = both.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("r") + F.col("r2") * 2 + F.col("a2")).alias("total"))
+    return sums.select("image_id", "n", "total", F.lit(None).cast("string").alias("error")).unionByName(errors, allowMissingColumns=True)
