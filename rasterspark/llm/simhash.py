@@ -72,14 +72,16 @@ BITS = 1024
 _STEPS = np.arange(BITS // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def sketch(text: bytes, width: int) -> tuple[bytes, int, list[int]]:
-    """Of the set of shingles: a fingerprint of BITS bits, its size, and the least and the largest of four hashes of each shingle."""
+def sketch(text: bytes, width: int) -> tuple[list[int], int, list[int]]:
+    """Of the set of shingles: a fingerprint of BITS bits as words of 64, its size, and the least and the largest of
+    four hashes of each shingle.
+    """
     found = set(shingles(text, width))
     if not found:
-        return bytes(BITS // 8), 0, [0] * 8
+        return [0] * (BITS // 64), 0, [0] * 8
     many = _hashes(found)[:, None] + _STEPS
     many[:, 1:] = mix(many[:, 1:])
-    return _majority(many).tobytes(), len(found), [*many[:, :4].min(axis=0).tolist(), *many[:, :4].max(axis=0).tolist()]
+    return _majority(many).view("<u8").tolist(), len(found), [*many[:, :4].min(axis=0).tolist(), *many[:, :4].max(axis=0).tolist()]
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -254,6 +256,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return hashed.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
+SKETCH = [f"s{i}" for i in range(BITS // 64)]
 #: Bits in which the sketches of texts of a similarity of 0.8 may differ, by the smaller number of shingles.
 FEW, REACH_FEW, REACH = 16, 230, 195
 
@@ -278,11 +281,11 @@ def _pairs(mine: dict, theirs: dict, radius: int, share: float, within: bool) ->
 
 
 def candidates(distinct: DataFrame, radius: int, share: float, tile_rows: int | None = None) -> DataFrame:
-    """Distinct (fp, sketch, n, node, label) -> every pair (a, b) of nodes with different labels that may be similar (see _pairs)."""
+    """Distinct (fp, words of the sketch, n, node, label) -> every pair (a, b) of nodes with different labels that may be similar (see _pairs)."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = np.frombuffer(b"".join(pdf["sketch"]), "<u8").reshape(len(pdf), -1)
-        both = {"fp": pdf["fp"].to_numpy(np.int64).view(np.uint64), "n": pdf["n"].to_numpy(), "label": pdf["label"].to_numpy(), "sketch": words}
+        words = np.ascontiguousarray(pdf[SKETCH].to_numpy(np.int64)).view(np.uint64)
+        both = {"fp": np.ascontiguousarray(words[:, 0]), "n": pdf["n"].to_numpy(), "label": pdf["label"].to_numpy(), "sketch": words}
         node, first = pdf["node"].to_numpy(), pdf["first"].to_numpy()
         if pdf["x"].iat[0] == pdf["y"].iat[0]:
             found = _pairs(both, both, radius, share, True)
@@ -290,7 +293,7 @@ def candidates(distinct: DataFrame, radius: int, share: float, tile_rows: int |
         found = _pairs({k: v[first] for k, v in both.items()}, {k: v[~first] for k, v in both.items()}, radius, share, False)
         return pd.DataFrame({"a": node[first][found[:, 0]], "b": node[~first][found[:, 1]]})
 
-    met = meetings(distinct.select("fp", "sketch", "n", "node", "label"), radius, tile_rows, tiles_of_all=20)
+    met = meetings(distinct.select(F.col("s0").alias("fp"), *SKETCH, "n", "node", "label"), radius, tile_rows, tiles_of_all=20).drop("fp")
     return met.groupBy("x", "y").applyInPandas(compare, "a long, b long")
 
 
@@ -300,16 +303,20 @@ def similar(a: bytes, b: bytes, width: int, share: float) -> bool:
     return one == two or len(one & two) / len(one | two) >= share
 
 
-def verified(edges: DataFrame, texts: DataFrame, width: int, share: float) -> DataFrame:
-    """Those of the edges (a, b) whose nodes' texts are similar. texts: (node, text), a node may repeat."""
+def texts_of_nodes(texts: DataFrame, edges: DataFrame) -> DataFrame:
+    """One text of each node of the edges (a, b)."""
+    needed = edges.select(F.col("a").alias("node")).distinct().union(edges.select("b").distinct())
+    return cut(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]))
+
+
+def verified(edges: DataFrame, held: DataFrame, width: int, share: float) -> DataFrame:
+    """Those of the edges (a, b) whose nodes' texts are similar. held: (node, text)."""
 
     def run(batches):
         for batch in batches:
             alike = [similar(x, y, width, share) for x, y in zip(texts_of(batch, "one"), texts_of(batch, "two"))]
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    needed = edges.select(F.col("a").alias("node")).distinct().union(edges.select("b").distinct())
-    held = cut(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]))
     both = edges.join(held.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("two")), "b")
     return both.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
 
@@ -321,7 +328,9 @@ def near_groups(docs: DataFrame, width: int = 5, share: float = 0.8, radius: int
     texts form a group. Every link is verified on the shingles themselves; two steps propose:
 
     1. Texts that share the least or largest of one of four shingle hashes are each proposed with one
-       of them. The groups of the verified links are far fewer than the texts of a large group of copies.
+       of them, the one with the most copies, as that is likely what the others were made from; and, in a
+       second round, those that are not in its group yet with another. The groups of the verified links
+       are far fewer than the texts of a large group of copies.
     2. Tiled comparison: every pair of texts from different groups is proposed if the fingerprints
        differ in at most `radius` of 64 bits, the numbers of shingles allow the similarity, and sketches
        of 1,024 bits (the fingerprint continued) differ in at most REACH bits.
@@ -334,27 +343,35 @@ def near_groups(docs: DataFrame, width: int = 5, share: float = 0.8, radius: int
     """
     texts = docs.select(F.xxhash64("text").alias("node"), F.col("text").cast("binary").alias("text"))
     leaders_of = [f"v{i}" for i in range(8)]
+    names = [*SKETCH, "n", *leaders_of]
 
     def run(batches):
         for batch in batches:
             found = [sketch(x, width) for x in texts_of(batch)]
-            words = np.frombuffer(b"".join(f[0] for f in found), "<u8").reshape(len(found), -1)
-            values = np.array([f[2] for f in found], np.uint64).reshape(-1, 8).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(words[:, 0].view(np.int64)), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64()), *(pa.array(values[:, i]) for i in range(8))],
-                names=["node", "fp", "sketch", "n", *leaders_of],
-            )
-
-    schema = "node long, fp long, sketch binary, n long, " + ", ".join(f"{x} long" for x in leaders_of)
-    hashed = cut(texts.mapInArrow(run, schema).dropDuplicates(["node"]))
-    values = hashed.select("node", F.posexplode(F.array(*leaders_of)).alias("k", "v"))
-    leaders = values.groupBy("k", "v").agg(F.min("node").alias("a"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    stars = cut(values.join(leaders, ["k", "v"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct())
-    sure = cut(verified(stars, texts, width, share))
-    labels = connected_components(sure)
-    grouped = cut(hashed.join(labels, "node", "left").select("fp", "sketch", "n", "node", F.coalesce("label", "node").alias("label")))
-    more = verified(cut(candidates(grouped, radius, share)), texts, width, share)
-    return connected_components(cut(sure.union(more)))
+            columns = np.array([[*words, n, *values] for words, n, values in found], np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array(columns[:, i]) for i in range(len(names)))], names=["node", *names])
+
+    sketched = texts.mapInArrow(run, "node long, " + ", ".join(f"{x} long" for x in names))
+    hashed = cut(sketched.groupBy("node").agg(*(F.max(x).alias(x) for x in names), F.count("*").alias("copies")))
+    values = hashed.select("node", "copies", F.posexplode(F.array(*leaders_of)).alias("k", "v"))
+    shared = values.groupBy("k", "v").agg(F.count("*").alias("times")).filter("times > 1").select("k", "v")
+    values = cut(values.join(shared, ["k", "v"]))
+    links_so_far, labels = None, None
+    for order in (F.struct(-F.col("copies"), "node"), F.xxhash64("node")):
+        own = values
+        if labels is not None:
+            own = values.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        leaders = own.groupBy("k", "v").agg(F.min_by("node", order).alias("a"))
+        stars = own.join(leaders, ["k", "v"]).filter("node <> a")
+        if labels is not None:
+            stars = stars.join(labels.select(F.col("node").alias("a"), F.col("label").alias("_label")), "a", "left").filter(F.col("label") != F.coalesce("_label", "a"))
+        stars = cut(stars.select("a", F.col("node").alias("b")).distinct())
+        sure = verified(stars, texts_of_nodes(texts, stars), width, share)
+        links_so_far = cut(sure if links_so_far is None else links_so_far.union(sure))
+        labels = connected_components(links_so_far)
+    grouped = cut(hashed.join(labels, "node", "left").select(*SKETCH, "n", "node", F.coalesce("label", "node").alias("label")))
+    pairs = cut(candidates(grouped, radius, share))
+    return connected_components(cut(links_so_far.union(verified(pairs, texts_of_nodes(texts, pairs), width, share))))
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
