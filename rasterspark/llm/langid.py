@@ -6,24 +6,28 @@ the language. Both layers are trained together by stochastic gradient descent wi
 numpy. Confidence is calibrated on labelled rows kept from training: a temperature is fitted to
 them, and texts whose confidence is below almost all correctly named ones are rejected.
 
-Training takes about `per_language` rows of each language, chosen by a hash of doc_id: the
-documented bound on what reaches the driver. Prediction reads whole texts of all rows, in place.
-
-Null texts and texts without a letter are `und`, score 0, rejected. Rows with null text, language or
-id are never learned from. Without any labelled row everything is `und`.
+Training takes about `per_language` rows of each language, chosen by a hash of doc_id, of at most
+`languages` languages, those with the most rows: the documented bounds on what reaches the driver.
+Tasks send the shares of the hashed runs and not the texts, so a row is of bounded size however long
+its text is. Prediction reads whole texts of all rows, in place.
+
+Null texts and texts without a letter (Unicode category L) are `und`, score 0, rejected. Rows with null
+text, language or id are never learned from. Without any labelled row everything is `und`. Repeated
+rows are learned from and named each; equal confidences go to the first language in order. Input
+columns lang_pred, score and rejected are replaced; all others are kept.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: A-Z lowered, white space alike, other bytes as they are.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
@@ -68,26 +72,33 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def features(texts: list[str], buckets: int) -> np.ndarray:
-    x = np.zeros((len(texts), buckets), np.float32)
-    for i, text in enumerate(texts):
-        rows = subwords(text, buckets)
-        x[i] = np.bincount(rows, minlength=buckets) / len(rows)
+def shares(text: str, buckets: int) -> tuple[bytes, bytes]:
+    """The buckets of a text's runs (little-endian 4-byte numbers) and the share of each (4-byte floats)."""
+    rows = subwords(text, buckets)
+    at, n = np.unique(rows, return_counts=True)
+    return at.astype("<u4").tobytes(), (n / len(rows)).astype("<f4").tobytes()
+
+
+def features(rows, buckets: int) -> np.ndarray:
+    """Rows of shares as a matrix."""
+    x = np.zeros((len(rows), buckets), np.float32)
+    for i, (at, share) in enumerate(rows):
+        x[i, np.frombuffer(at, "<u4")] = np.frombuffer(share, "<f4")
     return x
 
 
-def train(rows: list[tuple[str, str]], buckets: int = 8192, dims: int = 16, epochs: int = 60, rate: float = 0.4, batch: int = 64, seed: int = 7, false_rejects: float = 0.001) -> Model:
-    """rows: (text, language). Every fifth row is kept from training, to calibrate on."""
-    rows = [r for r in sorted(rows) if LETTER.search(r[0])]
-    languages = sorted({r[1] for r in rows})
+def train(rows: list[tuple[bytes, bytes, str]], buckets: int = 8192, dims: int = 16, epochs: int = 60, rate: float = 0.4, batch: int = 64, seed: int = 7, false_rejects: float = 0.001) -> Model:
+    """rows: (buckets, shares, language). Every fifth row is kept from training, to calibrate on."""
+    rows = sorted(rows)
+    languages = sorted({r[2] for r in rows})
     if not rows:
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
     rows = [rows[i] for i in rng.permutation(len(rows))]
     kept = rows[::5] if len(rows) >= 10 * len(languages) else []
     used = [r for i, r in enumerate(rows) if i % 5 or not kept]
-    x = features([t for t, _ in used], buckets) * np.float32(np.sqrt(buckets))
-    y = np.array([languages.index(lang) for _, lang in used])
+    scale = np.float32(np.sqrt(buckets))
+    y = np.array([languages.index(r[2]) for r in used])
     share = np.bincount(y, minlength=len(languages)) / len(y)
     weight = (1 / np.maximum(share, 1e-9) / len(languages)).astype(np.float32)
     embed = rng.normal(0, 0.1, (buckets, dims)).astype(np.float32)
@@ -96,20 +107,21 @@ def train(rows: list[tuple[str, str]], buckets: int = 8192, dims: int = 16, epoc
     moments = [np.zeros_like(v) for v in (embed, layer, bias)]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
-            hidden = x[at] @ embed
+        for at in np.array_split(rng.permutation(len(used)), max(1, len(used) // batch)):
+            x = features([used[i][:2] for i in at], buckets) * scale
+            hidden = x @ embed
             error = softmax(hidden @ layer + bias)
             error[np.arange(len(at)), y[at]] -= 1
             error *= (weight[y[at]] / len(at))[:, None]
-            grads = (x[at].T @ (error @ layer.T), hidden.T @ error, error.sum(axis=0))
+            grads = (x.T @ (error @ layer.T), hidden.T @ error, error.sum(axis=0))
             for value, moment, grad in zip((embed, layer, bias), moments, grads):
                 moment *= 0.9
                 moment += grad
                 value -= step * 0.1 * moment
     model = Model(languages, np.ascontiguousarray(embed @ layer * np.float32(np.sqrt(buckets))), bias.astype(np.float64))
     if kept:
-        logits = np.log(np.maximum(np.stack([model.confidences(t) for t, _ in kept]), 1e-12))
-        truth = np.array([languages.index(lang) for _, lang in kept])
+        logits = np.concatenate([features([r[:2] for r in kept[i : i + 512]], buckets) @ model.table for i in range(0, len(kept), 512)]).astype(np.float64) + model.bias
+        truth = np.array([languages.index(r[2]) for r in kept])
         scales = np.geomspace(0.05, 20, 60)
         model.temperature = float(min(scales, key=lambda s: -np.log(np.maximum(softmax(logits / s)[np.arange(len(truth)), truth], 1e-12)).mean()))
         p = softmax(logits / model.temperature)
@@ -118,24 +130,32 @@ def train(rows: list[tuple[str, str]], buckets: int = 8192, dims: int = 16, epoc
     return model
 
 
-def training_rows(docs: DataFrame, per_language: int) -> list[tuple[str, str]]:
-    """About per_language labelled rows of each language, those of the smallest hashes of doc_id."""
-    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}  # one row a language
+def training_rows(docs: DataFrame, per_language: int, languages: int, buckets: int) -> list[tuple[bytes, bytes, str]]:
+    """About per_language labelled rows of each language, those of the smallest hashes of doc_id, as shares."""
+    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return []
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))))
     hashed = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1_000_000
-    return [(r.text, r.lang) for r in docs.filter(hashed < F.element_at(share, F.col("lang"))).select("text", "lang").collect()]
+
+    def run(batches):
+        for b in batches:
+            held = [(*shares(t, buckets), lang) for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()) if LETTER.search(t)]
+            at, share, lang = zip(*held) if held else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(share, pa.binary()), pa.array(lang, pa.string())], names=["at", "share", "lang"])
+
+    chosen = docs.filter(F.col("lang").isin(*counts)).filter(hashed < F.element_at(share, F.col("lang"))).select("text", "lang")
+    return [(bytes(r.at), bytes(r.share), r.lang) for r in chosen.mapInArrow(run, "at binary, share binary, lang string").collect()]
 
 
-def fit(docs: DataFrame, per_language: int = 400, **options) -> Model:
+def fit(docs: DataFrame, per_language: int = 400, languages: int = 200, buckets: int = 8192, **options) -> Model:
     """Learn from rows with doc_id, text and lang."""
     usable = docs.select("doc_id", "text", "lang").filter("doc_id is not null and text is not null and lang is not null")
-    return train(training_rows(usable, per_language), **options)
+    return train(training_rows(usable, per_language, languages, buckets), buckets, **options)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, and lang_pred, score (0 to 1) and rejected; whole texts, no shuffle."""
+    """All columns of docs but any lang_pred, score and rejected, and these anew; whole texts, no shuffle."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # a fixed number of buckets times the languages
 

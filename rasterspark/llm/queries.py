@@ -30,7 +30,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.derive(warc.responses_of_pages(table(spark, sf_dir, "pages")))
     return made.select(
         "record_id", "warc_type", "refers_to", "target_uri", "date", "content_type", "source_digest", "payload_digest", "block_digest",
-        F.array_join(F.array_sort(F.transform(F.map_entries("source_headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "; ").alias("source_headers"),
+        F.array_join(F.transform("source_headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "; ").alias("source_headers"),
         F.decode("block", "UTF-8").alias("block"),
     )
 
@@ -69,12 +69,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special=True)
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data under three limits that differ: tokens, segments and the tokens of the answers."""
+    import public_tokenizers
+
+    return packing.pack_conversations(table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", _remainder(5, 1).alias("held_out"))
     return ctw.score(docs, docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_warc, op4_licenses, license_base, op5_decontaminate, op6_langid, op7_substring_dedup, op8_topk, op9_packing, op10_ctw)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_warc, op4_licenses, license_base, op5_decontaminate, op6_langid, op7_substring_dedup, op8_topk, op9_packing, conversation_packing, op10_ctw)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _NAMES = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"

@@ -1,13 +1,20 @@
 """WARC derivatives: response records into linked metadata and plain-text conversion records.
 
-Records are rows (record_id, warc_type, target_uri, date, headers map, block). For each response,
+Records are rows (record_id, warc_type, target_uri, date, headers, block). For each response,
 `derive` gives a `metadata` record (application/warc-fields: page title, charset, counts, the
 payload's digest) and a `conversion` record (text/plain), both with the response's id in
-WARC-Refers-To, its URI and date, its digest, and the source's headers kept. `write` and `parse` are
-exact inverses for single records of the WARC/1.1 format.
+WARC-Refers-To, its URI and date, its block and payload digests, and all of the source's HTTP headers
+in order, repeated ones included. `write` and `parse` are exact inverses for single records of the
+WARC/1.1 format, `record_headers` and `record_fields` for what a derivative keeps of its source.
+
+The text is made by one forward scan over the page, linear in its length whatever it holds. Bodies
+with chunked transfer or gzip or deflate content encoding are decoded; one that can't be, or that
+unpacks to more than `MOST` bytes, is taken as it is. Digests are of the bytes as archived.
 
 A null block counts as empty; a null URI leaves WARC-Target-URI out. Rows that repeat an id are each
-derived and get the same derivative ids. Other columns are ignored.
+derived and get the same derivative ids; where the id is null, ids come from URI and digest. An
+empty table gives an empty one. Other columns are ignored, whatever their names. `parse` raises
+ValueError where a file is cut off or no record begins.
 """
 
 from __future__ import annotations
@@ -17,17 +24,20 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VERSION = b"WARC/1.1"
-_DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<!doctype[^>]*>")
-_BREAK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|nav|header|footer|pre|blockquote|title|head|body)\b[^>]*>")
-_TAG = re.compile(r"<[^>]*>")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
+#: Elements whose content is no text, and those that stand on lines of their own.
+_RAW = {"script", "style", "noscript", "template"}
+_BLOCK = set("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article nav header footer pre blockquote title head body".split())
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 _SPACE = re.compile(r"[ \t\r\f\v\xa0]+")
+#: The most bytes that an encoded body may unpack to.
+MOST = 1 << 28
 
 
 def digest(data: bytes) -> str:
@@ -38,20 +48,112 @@ def derived_id(record_id: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{record_id} {kind}')}>"
 
 
+def scan(page: str) -> tuple[str, str]:
+    """(text, title) of an HTML page: scripts, styles and comments dropped, blocks on lines of their own.
+
+    Every find starts where the last one ended, and what was not found once is not looked for again.
+    An element or comment that is never closed runs to the end of the page; a "<" that begins no tag is text.
+    """
+    low = page.lower() if page.isascii() else "".join(c.lower() if c.isascii() else c for c in page)
+    parts, at, title, begun, none = [], 0, None, None, set()
+
+    def find(what, start):
+        if what in none:
+            return -1
+        found = low.find(what, start)
+        if found < 0:
+            none.add(what)
+        return found
+
+    while True:
+        start = find("<", at)
+        if start < 0:
+            parts.append(page[at:])
+            break
+        parts.append(page[at:start])
+        if low.startswith("<!--", start):
+            end = find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+        else:
+            tag = _NAME.match(low, start)
+            end = find(">", start) if tag or low.startswith(("<!", "<?"), start) else -1
+            if end < 0:
+                parts.append("<")
+                at = start + 1
+            else:
+                at, name = end + 1, tag and tag[1]
+                closing = low.startswith("</", start)
+                if name in _BLOCK:
+                    parts.append("\n")
+                if name == "title" and title is None:
+                    if not closing:
+                        begun = len(parts) if begun is None else begun
+                    elif begun is not None:
+                        title = "".join(parts[begun:])
+                if name in _RAW and not closing:
+                    close = find(f"</{name}", at)
+                    end = find(">", close) if close >= 0 else -1
+                    at = len(page) if end < 0 else end + 1
+        if at >= len(page):
+            break
+    return _lines("".join(parts), "\n"), _lines(title or "", " ")
+
+
+def _lines(text: str, between: str) -> str:
+    lines = (_SPACE.sub(" ", line).strip() for line in html.unescape(text).split("\n"))
+    return between.join(line for line in lines if line)
+
+
 def plain_text(page: str) -> str:
-    """Text of an HTML page: scripts, styles and comments dropped, blocks on lines of their own."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _DROP.sub("", page))))
-    lines = (_SPACE.sub(" ", line).strip() for line in text.split("\n"))
-    return "\n".join(line for line in lines if line)
+    return scan(page)[0]
+
+
+def _unchunked(body: bytes) -> bytes:
+    parts, at = [], 0
+    while True:
+        end = body.index(b"\r\n", at)
+        size = int(body[at:end].split(b";")[0], 16)
+        if not size:
+            return b"".join(parts)
+        if end + 2 + size > len(body):
+            raise ValueError("a chunk is cut off")
+        parts.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def _unpacked(body: bytes, coding: str) -> bytes:
+    for window in ((31,) if coding in ("gzip", "x-gzip") else (15, -15)):
+        try:
+            made = zlib.decompressobj(window)
+            out = made.decompress(body, MOST)
+            if made.eof:
+                return out
+        except zlib.error:
+            pass
+    raise ValueError(f"not {coding}, cut off, or too large")
 
 
-def payload(block: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and body of an HTTP response; a block without a status line is all body."""
+def payload(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
+    """Headers in order (names in lower case) and body of an HTTP response; a block without a status line is all body."""
     if not block.startswith(b"HTTP/"):
-        return {}, block
+        return [], block
     head, _, body = block.partition(b"\r\n\r\n")
     fields = (line.partition(":") for line in head.decode("latin-1").split("\r\n")[1:])
-    return {k.strip().lower(): v.strip() for k, _, v in fields}, body
+    return [(k.strip().lower(), v.strip()) for k, _, v in fields], body
+
+
+def decoded(fields: list[tuple[str, str]], body: bytes) -> bytes:
+    """The body without its transfer and content encoding; as it is if that fails."""
+    held = dict(fields)
+    try:
+        if "chunked" in held.get("transfer-encoding", "").lower():
+            body = _unchunked(body)
+        for coding in reversed([x.strip().lower() for x in held.get("content-encoding", "").split(",")]):
+            if coding in ("gzip", "x-gzip", "deflate"):
+                body = _unpacked(body, coding)
+    except ValueError:
+        pass
+    return body
 
 
 def write(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -63,61 +165,77 @@ def parse(data: bytes):
     """(headers, block) of each record of an uncompressed WARC file."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].split(b"\r\n")
+        end = data.find(b"\r\n\r\n", at)
+        lines = data[at : max(at, end)].split(b"\r\n")
         if not lines[0].startswith(b"WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         headers = [(k.decode(), v.decode().strip()) for k, _, v in (x.partition(b":") for x in lines[1:])]
-        size = int(dict((k.lower(), v) for k, v in headers)["content-length"])
+        size = int(dict((k.lower(), v) for k, v in headers).get("content-length", "-1"))
+        if size < 0 or end + 4 + size + 4 > len(data):
+            raise ValueError(f"the record at byte {at} is cut off or has no length")
         yield headers, data[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
 
 
-SCHEMA = "record_id string, warc_type string, refers_to string, target_uri string, date string, content_type string, source_headers map<string,string>, source_digest string, payload_digest string, block_digest string, block binary"
+_FIELD = "struct<name:string,value:string>"
+SCHEMA = f"record_id string, warc_type string, refers_to string, target_uri string, date string, content_type string, source_headers array<{_FIELD}>, source_digest string, payload_digest string, block_digest string, block binary"
 
 
 def derive(responses: DataFrame) -> DataFrame:
     """Response rows (record_id, target_uri, date, block) -> two derivative rows each."""
 
     def one(record_id, uri, date, block):
-        fields, body = payload(block)
-        charset = re.search(r"charset=([\w-]+)", fields.get("content-type", ""))
+        fields, archived = payload(block)
+        held, body = dict(fields), decoded(fields, archived)
+        charset = re.search(r"charset=[\"']?([\w-]+)", held.get("content-type", ""), re.I)
         try:
             page = body.decode(charset[1] if charset else "utf-8", "replace")
         except LookupError:
             page = body.decode("utf-8", "replace")
-        text = plain_text(page)
-        title = _TITLE.search(page)
+        text, title = scan(page)
         facts = [
-            ("title", plain_text(title[1]).replace("\n", " ") if title else ""),
+            ("title", title),
             ("charset", charset[1] if charset else "utf-8"),
             ("payload-bytes", len(body)),
-            ("text-bytes", len(text.encode())),
-            ("payload-digest", digest(body)),
-            *((f"source-{k}", v) for k, v in sorted(fields.items())),
+            ("text-bytes", len(text.encode("utf-8", "replace"))),
+            ("payload-digest", digest(archived)),
+            *((f"source-{k}", v) for k, v in fields),
         ]
-        about = "".join(f"{k}: {v}\r\n" for k, v in facts).encode()
-        for kind, mime, made in (("metadata", "application/warc-fields", about), ("conversion", "text/plain; charset=utf-8", text.encode())):
-            yield (derived_id(record_id or "", kind), kind, record_id, uri, date, mime, list(fields.items()), digest(block), digest(body), digest(made), made)
+        about = "".join(f"{k}: {v}\r\n" for k, v in facts).encode("utf-8", "replace")
+        source = record_id if record_id is not None else f"{uri} {digest(block)}"
+        for kind, mime, made in (("metadata", "application/warc-fields", about), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
+            pairs = [{"name": k, "value": v} for k, v in fields]
+            yield (derived_id(source, kind), kind, record_id, uri, date, mime, pairs, digest(block), digest(archived), digest(made), made)
 
     def run(batches):
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("record_id", "target_uri", "date", "block")]
             out = [row for r, u, d, b in zip(*columns) for row in one(r, u, d, b or b"")]
-            kinds = [pa.string()] * 6 + [pa.map_(pa.string(), pa.string())] + [pa.string()] * 3 + [pa.binary()]
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
+            kinds = [pa.string()] * 6 + [pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))] + [pa.string()] * 3 + [pa.binary()]
+            names = "record_id warc_type refers_to target_uri date content_type source_headers source_digest payload_digest block_digest block".split()
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(list(zip(*out)) or [[]] * len(kinds), kinds)], names=names)
 
     return responses.select("record_id", "target_uri", "date", "block").mapInArrow(run, SCHEMA)
 
 
+#: WARC header names of a derivative's columns; the extension fields keep what the standard has no name for.
+_HEADERS = [
+    ("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"),
+    ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("WARC-Source-Block-Digest", "source_digest"), ("WARC-Source-Payload-Digest", "payload_digest"),
+]
+
+
 def record_headers(row) -> list[tuple[str, str]]:
     """Headers of a derivative row, in the order they are written."""
-    pairs = [
-        ("WARC-Type", row["warc_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Refers-To", row["refers_to"]), ("WARC-Target-URI", row["target_uri"]),
-        ("WARC-Date", row["date"]), ("WARC-Block-Digest", row["block_digest"]), ("Content-Type", row["content_type"]),
-    ]
-    return [(k, v) for k, v in pairs if v is not None]
+    pairs = [(name, row[column]) for name, column in _HEADERS if row[column] is not None]
+    return pairs + [("WARC-Source-Header", f"{h['name']}: {h['value']}") for h in row["source_headers"] or []]
+
+
+def record_fields(headers: list[tuple[str, str]]) -> dict:
+    """The columns of a derivative row from the headers of its record."""
+    held = dict(headers)
+    sources = [v.partition(":") for k, v in headers if k == "WARC-Source-Header"]
+    return {column: held.get(name) for name, column in _HEADERS} | {"source_headers": [{"name": k, "value": v.strip()} for k, _, v in sources]}
 
 
 def encode(records: DataFrame) -> DataFrame:

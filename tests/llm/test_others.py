@@ -1,10 +1,13 @@
 """The other operators against brute force, round trips and held-out accuracy."""
 
+import gzip
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -108,12 +111,14 @@ def test_language_accuracy_on_held_out(spark, small):
 
 def test_language_edge_rows(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 12)]
-    rows += [(90, None, "en"), (91, "12 34 ...", "fr"), (92, "", None), (93, "the dog", None)]
+    rows += [(90, None, "en"), (91, "12 34 ... ½ ²", "fr"), (92, "", None), (93, "the dog " * 100_000, None), (94, "the dog", "en"), (94, "the dog", "en")]
     docs = frame(spark, rows, SCHEMA + ", lang string")
     model = langid.fit(docs)
     got = {r.doc_id: r for r in langid.identify(docs.withColumn("score", docs.doc_id), model).collect()}
     assert [got[i].lang_pred for i in (90, 91, 92, 93)] == ["und", "und", "und", "en"]
-    assert got[90].score == 0 and got[90].rejected
+    assert got[90].score == 0 and got[90].rejected and len(got) == len(rows) - 1
+    assert langid.identify(docs.selectExpr("*", "1 AS lang_pred", "2 AS rejected", "3 AS other"), model).columns == ["doc_id", "text", "lang", "other", "lang_pred", "score", "rejected"]
+    assert langid.fit(docs, languages=1).languages == ["en"]
     empty = frame(spark, [], SCHEMA + ", lang string")
     assert langid.identify(empty, langid.fit(empty)).count() == 0
     assert {r.lang_pred for r in langid.identify(docs, langid.fit(empty)).collect()} == {"und"}
@@ -182,6 +187,34 @@ def test_packing_covers_every_token(spark, small):
     assert packing.pack_documents(frame(spark, []), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_conversations_are_packed_whole_under_three_limits(spark, small):
+    import public_tokenizers
+
+    turns = spark.read.parquet(f"{small}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    extra = [(10**6, 0, "user", None), (10**6, 1, None, "x"), (10**6 + 1, 0, "assistant", "word " * 5000), (None, 0, "assistant", "lost")]
+    turns = turns.union(frame(spark, extra, "conv_id long, turn int, role string, text string"))
+    got = packing.pack_conversations(turns, public_tokenizers.path("byte_bpe_50k.json")).toPandas()
+    tok, own = tokenizer(), {}
+    tok.encode_special_tokens = True
+    for r in sorted(turns.collect(), key=lambda r: (r.turn, r.role or "", r.text or "")):
+        ids = tok.encode(f"{r.role or ''}: {r.text or ''}\n", add_special_tokens=False).ids
+        held = own.setdefault(-1 if r.conv_id is None else r.conv_id, ([], []))
+        held[0].extend(ids)
+        held[1].extend([r.role == "assistant"] * len(ids))
+    got["doc_id"] = got.doc_id.fillna(-1).astype(int)
+    for d, pieces in got.groupby("doc_id"):
+        ids, loss = [*own[d][0], 0], [*own[d][1], own[d][1][-1]]
+        at = 0
+        for p in pieces.sort_values("start").itertuples():
+            assert p.start == at and p.ids_crc32 == zlib.crc32(np.array(ids[at : at + p.length], "<u4").tobytes()) and p.loss_tokens == sum(loss[at : at + p.length])
+            at += p.length
+        assert at == len(ids)
+    assert set(got.doc_id) == set(own)
+    sums = got.groupby("sequence_id").agg(n=("length", "sum"), k=("length", "size"), loss=("loss_tokens", "sum"))
+    assert sums.n.max() <= 1024 and sums.k.max() <= 16 and 500 < sums.loss.max() <= 512
+    assert packing.pack_conversations(turns.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
 def test_packing_respects_all_limits():
     rng = np.random.default_rng(2)
     limits = packing.Limits(1000, 6, 500)
@@ -206,12 +239,71 @@ def test_warc_round_trip_and_links(spark, small):
     for r in rows:
         s = source[r.refers_to]
         assert r.target_uri == s.target_uri and r.source_digest == warc.digest(bytes(s.block)) and r.block_digest == warc.digest(bytes(r.block))
-        assert r.source_headers["content-type"] == "text/html; charset=utf-8"
+        assert [(h.name, h.value) for h in r.source_headers][0] == ("content-type", "text/html; charset=utf-8")
     assert next(bytes(r.block) for r in rows if r.refers_to == "<urn:page:>" and r.warc_type == "conversion") == b"a&b"
     written = b"".join(bytes(r.record) for r in warc.encode(made).collect())
     back = list(warc.parse(written))
     assert sorted(b for _, b in back) == sorted(bytes(r.block) for r in rows)
     assert b"".join(warc.write(h, b) for h, b in back) == written
+    fields = {x["record_id"]: x for x in (warc.record_fields(h) for h, _ in back)}
+    for r in rows:
+        own = r.asDict(recursive=True)
+        assert fields[r.record_id] == {k: own[k] for k in fields[r.record_id]}
+    with pytest.raises(ValueError):
+        list(warc.parse(written[:-9]))
+
+
+class Reader(HTMLParser):
+    """Text by the standard library's parser, as an independent reading."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.skip = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in warc._RAW
+        self.out.append("\n" * (tag in warc._BLOCK))
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in warc._RAW
+        self.out.append("\n" * (tag in warc._BLOCK))
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.out.append(data)
+
+
+def test_text_of_pages_matches_an_independent_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
+    for r in pages:
+        reader = Reader()
+        reader.feed(r.html or "")
+        reader.close()
+        want = "\n".join(x for x in (re.sub(r"[ \t\r\f\v\xa0]+", " ", line).strip() for line in "".join(reader.out).split("\n")) if x)
+        assert warc.plain_text(r.html or "") == want
+
+
+def test_text_of_hostile_pages_is_linear():
+    for page in ("<script>" * 200_000, "<" * 400_000, "<!--" * 200_000, "<a" * 300_000, "<p title=" * 100_000, "<noscript></x>" * 100_000):
+        begun = time.process_time()
+        warc.plain_text(page)
+        assert time.process_time() - begun < 3
+    assert warc.scan("a<b c>d <3 e<!-- x > y -->f<SCRIPT>g</ScRiPt>h<title>t&amp;u</title>") == ("ad <3 efh\nt&u", "t&u")
+
+
+def test_warc_headers_bodies_and_edges(spark):
+    zipped = gzip.compress(b"<p>inside</p>")
+    head = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\n"
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(x), x) for x in (zipped[:7], zipped[7:])) + b"0\r\n\r\n"
+    blocks = [head + b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked, head + b"Content-Encoding: gzip\r\n\r\n<p>not zipped", None, b"plain <b>body</b>", b"<p>" + b"long text " * 300_000]
+    rows = [(None if i == 3 else f"<r{i}>", f"u{i}", "2024-01-01T00:00:00Z", b, "x", 1) for i, b in enumerate(blocks)]
+    rows += [rows[0], (None, "other", None, None, "x", 1)]
+    schema = "record_id string, target_uri string, date string, block binary, block_digest string, title int"
+    made = warc.derive(frame(spark, rows, schema)).filter("warc_type = 'conversion'").collect()
+    assert [bytes(r.block)[:20] for r in made[:4]] == [b"inside", b"not zipped", b"", b"plain body"] and len(made[4].block) == 10 * 300_000 - 1
+    assert [(h.name, h.value) for h in made[0].source_headers][:2] == [("set-cookie", "a=1"), ("set-cookie", "b=2")]
+    assert made[5].record_id == made[0].record_id and made[3].record_id != made[6].record_id
+    assert warc.derive(frame(spark, [], schema)).count() == 0
 
 
 # scores
