@@ -6,13 +6,16 @@ windows, joined by one space and framed by spaces, go into one automaton; every
 normalised the same way and scanned once. The end of a match is mapped back to word numbers and, in
 `spans`, to byte offsets of the original text.
 
-The automaton is built from the distinct windows of the benchmark table on the driver and sent to
-the tasks, so its size is checked: where the windows hold more than `block_bytes` they are split
-into as many automata as needed, used one after the other for each batch of documents. Documents
-aren't shuffled.
+The windows are made and grouped by tasks and read from them partition by partition. Blocks of about
+`block_bytes` of windows become one automaton each; one block at a time is held by the driver and
+broadcast, so memory does not grow with the benchmark. A benchmark of one block, the usual case, takes
+one scan of the documents; with more, what is found so far is written beside the documents in the
+shared folder after every block but the last. Documents aren't shuffled.
 
 Null and empty texts have no words; repeated benchmark items count under each item_id; items with a
-null item_id are ignored, as are other columns.
+null item_id are ignored, as are other columns, whatever their names. Rows that repeat a doc_id are each
+scanned. An empty documents table gives an empty one; an empty benchmark leaves all documents clean. A
+long text is scanned whole, in one task.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterspark.llm.common import texts_of
+from rasterspark.llm.common import scratch, texts_of
 
 #: Byte for byte: A-Z lowered, separators to spaces, the rest as it is.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -40,11 +43,8 @@ def windows(text: bytes, width: int) -> set[bytes]:
     return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 
-def item_windows(benchmark: DataFrame, width: int, block_bytes: int) -> list[dict[bytes, list[str]]]:
-    """Window -> item ids, in blocks of about block_bytes.
-
-    The windows are made by tasks and read one partition after the other.
-    """
+def item_windows(benchmark: DataFrame, width: int, block_bytes: int):
+    """Window -> item ids, in blocks of about block_bytes, one after the other; at least one."""
 
     def run(batches):
         for batch in batches:
@@ -53,14 +53,14 @@ def item_windows(benchmark: DataFrame, width: int, block_bytes: int) -> list[dic
 
     rows = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "item_id string, window binary")
     grouped = rows.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    blocks, size = [{}], 0
+    block, size = {}, 0
     for row in grouped.toLocalIterator():
         if size > block_bytes:
-            blocks.append({})
-            size = 0
-        blocks[-1][bytes(row.window)] = row["items"]
-        size += len(row.window)
-    return blocks
+            yield block
+            block, size = {}, 0
+        block[bytes(row.window)] = row["items"]
+        size += len(row.window) + sum(map(len, row["items"]))
+    yield block
 
 
 def automaton(block: dict[bytes, list[str]]):
@@ -102,72 +102,87 @@ def spans(text: bytes, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _hit(n: int, places: list[tuple[int, int]]) -> bytes:
-    mark = np.zeros(n, bool)
-    for a, b in places:
-        mark[a:b] = True
-    return np.packbits(mark).tobytes()
+def _merged(places: list[tuple[int, int]]) -> list[list[int]]:
+    """Disjoint (first word, end), in order."""
+    out: list[list[int]] = []
+    for a, b in sorted(places):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+_FOUND = "_places array<array<int>>, _items array<string>"
+_PAIRS = pa.list_(pa.list_(pa.int32()))
+
+
+def _scanned(docs: DataFrame, block: dict[bytes, list[str]]) -> DataFrame:
+    """(doc_id, text, _places, _items) with what the block adds to the last two."""
+    held = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        found = automaton(held.value)
+        for batch in batches:
+            places, items = [], []
+            for text, p, i in zip(texts_of(batch), batch.column("_places").to_pylist(), batch.column("_items").to_pylist()):
+                _, more, names = matches(found, text)
+                places.append(_merged([*map(tuple, p), *more]) if more else p)
+                items.append(sorted(names | set(i)) if names else i)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(places, _PAIRS), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "_places", "_items"])
+
+    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text binary, {_FOUND}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
-    """documents, benchmark -> doc_id, n_words, n_hit, n_items, items (sorted), contaminated."""
+    """documents, benchmark -> doc_id, n_words, n_hit, n_items, items (sorted), spans, contaminated.
+
+    spans: start and end, in bytes of the original text, of each stretch of hit words.
+    """
+    state = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.array().cast("array<array<int>>").alias("_places"), F.array().cast("array<string>").alias("_items"))
     blocks = item_windows(benchmark, width, block_bytes)
-    held = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
+    block = next(blocks)
+    for after in blocks:
+        state, block = scratch(_scanned(state, block)), after
 
     def run(batches):
-        built = [None]
-
-        def passes(texts):
-            """For each text: words, marks and items over all blocks, one automaton at a time."""
-            out = [(0, [], set())] * len(texts)
-            for k, block in enumerate(held):
-                if built[0] is None or built[0][0] != k:
-                    built[0] = (k, automaton(block.value))
-                for i, x in enumerate(texts):
-                    n, places, items = matches(built[0][1], x)
-                    out[i] = (n, out[i][1] + places, out[i][2] | items)
-            return out
-
         for batch in batches:
-            found = passes(texts_of(batch))
-            hit = [sum(x.bit_count() for x in _hit(n, places)) if places else 0 for n, places, _ in found]
+            texts, places = texts_of(batch), batch.column("_places").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([n for n, _, _ in found], pa.int64()),
-                    pa.array(hit, pa.int64()),
-                    pa.array([len(i) for _, _, i in found], pa.int64()),
-                    pa.array([sorted(i) for _, _, i in found], pa.list_(pa.string())),
+                    pa.array([len(words(x)) for x in texts], pa.int64()),
+                    pa.array([sum(b - a for a, b in p) for p in places], pa.int64()),
+                    pa.array([len(i) for i in batch.column("_items").to_pylist()], pa.int64()),
+                    batch.column("_items"),
+                    pa.array([spans(x, p) if p else [] for x, p in zip(texts, places)], pa.list_(pa.list_(pa.int64()))),
                 ],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items"],
+                names=["doc_id", "n_words", "n_hit", "n_items", "items", "spans"],
             )
 
-    return (
-        docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-        .mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_hit long, n_items long, items array<string>")
-        .withColumn("contaminated", F.col("n_hit") > 0)
-    )
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_hit long, n_items long, items array<string>, spans array<array<bigint>>"
+    return _scanned(state, block).mapInArrow(run, schema).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
     """The documents without any window of the benchmark, with all their columns, unshuffled."""
-    blocks = item_windows(benchmark, width, block_bytes)
-    held = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
 
-    def run(batches):
-        built: dict[int, object] = {}
-        for batch in batches:
-            texts = [x.encode() if isinstance(x, str) else x or b"" for x in batch.column("text").to_pylist()]
-            keep = np.ones(len(texts), bool)
-            for k, block in enumerate(held):
-                if k not in built:
-                    built.clear()
-                    built[k] = automaton(block.value)
-                for i in np.flatnonzero(keep):
-                    keep[i] = not matches(built[k], texts[i])[1]
-            yield batch.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    def without(docs: DataFrame, block: dict[bytes, list[str]]) -> DataFrame:
+        held = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches):
+            found = automaton(held.value)
+            for batch in batches:
+                texts = (x.encode() if isinstance(x, str) else x or b"" for x in batch.column("text").to_pylist())
+                yield batch.filter(pa.array([not matches(found, x)[1] for x in texts], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    blocks = item_windows(benchmark, width, block_bytes)
+    block = next(blocks)
+    for after in blocks:
+        docs, block = scratch(without(docs, block)), after
+    return without(docs, block)
 
 
 def items_sha256(items: list[str]) -> str:

@@ -137,13 +137,30 @@ def test_topk_matches_brute_force(spark):
         best = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:5]
         mine = got[got.query_id == q].sort_values("rank")
         assert list(zip(-mine.score, mine.vec_id)) == best and mine["rank"].tolist() == list(range(1, len(best) + 1))
+    wide = frame(spark, [(i, v, 1, 2.0) for i, v in [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [])]], "vec_id long, embedding array<float>, cell int, score double")
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(wide).orderBy("rank").collect()] == [(0, 1, 1, 1024 * 512), (0, 2, 1, 1024 * 512)]
     assert topk.top_k(frame(spark, [], "vec_id long, embedding array<float>")).count() == 0
 
 
 def test_topk_of_huge_components():
     q = np.array([[3e15, 1.0]])
     x = np.array([[3e3, 5.0], [3e3, 4.0], [-1.0, 0.0]])
-    assert topk.search(q, np.array([9]), x, np.array([1, 2, 3]), 2) == [(0, 1, 1, 9 * 10**18 + 5), (0, 2, 2, 9 * 10**18 + 4)]
+    none = lambda v: np.zeros((len(v), 1))
+    assert topk.search(q, np.array([9]), none(q), x, np.array([1, 2, 3]), none(x), 2)[0] == [(0, 1, 9 * 10**18 + 5), (0, 2, 9 * 10**18 + 4)]
+
+
+def test_pivots_rule_out_rows_of_other_clusters(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (20, 16))
+    v = np.floor(1024 * np.concatenate([c / np.linalg.norm(c) + rng.normal(0, 0.02, (200, 16)) for c in centres]))
+    ids, pivots = np.arange(len(v)), topk.farthest_first(v, 32)
+    table = topk.distances(v, pivots)
+    q = v[::100]
+    found, evaluated = topk.search(q, ids[::100], table[::100], v, ids, table, 10, step=64)
+    assert evaluated < 0.25 * len(q) * len(v)
+    for i in range(len(q)):
+        best = sorted((-int(q[i] @ x), j) for j, x in enumerate(v) if j != ids[::100][i])[:10]
+        assert [(-s, j) for k, j, s in found if k == i] == best
 
 
 # packing
@@ -499,3 +516,19 @@ def test_license_edges(spark):
     rows = [(None, "mit license"), (1, "mit license"), (1, "mit license"), (2, "mit license " * 50_000), (3, None)]
     got = licenses.license_scan(frame(spark, [(*r, "x", 1, "y", 2, "z", "t") for r in rows], wide)).collect()
     assert sorted(((r.doc_id or -1), r.n_words, r.n_base, r.labels) for r in got) == [(-1, 2, 1, "mit"), (1, 2, 1, "mit"), (1, 2, 1, "mit"), (2, 100_000, 50_000, "mit"), (3, 0, 0, "")]
+
+
+def test_contamination_edges_and_offsets(spark):
+    """Spans in the original, an empty benchmark, empty documents, clashing columns, repeated rows, a long text."""
+    item = "one two three four five six seven eight nine ten"
+    text = "É x, ONE--two three four\nfive six seven eight nine TEN! end"
+    rows = [(1, text), (1, text), (None, text), (2, "word " * 200_000 + item), (3, None)]
+    docs = frame(spark, [(*r, "n", 5) for r in rows], SCHEMA + ", items string, _places int")
+    benchmark = frame(spark, [(7, item, "x")], "item_id long, text string, window string")
+    got = decontaminate.contamination(docs, benchmark).collect()
+    raw = text.encode()
+    assert [raw[a:b] for r in got[:3] for a, b in r.spans] == [b"ONE--two three four\nfive six seven eight nine TEN"] * 3
+    assert [(r.n_words, r.n_hit, r.contaminated) for r in got] == [(13, 10, True)] * 3 + [(200_010, 10, True), (0, 0, False)]
+    assert [r.doc_id for r in decontaminate.clean(docs, benchmark).collect()] == [3]
+    assert not any(r.contaminated for r in decontaminate.contamination(docs, benchmark.limit(0)).collect())
+    assert decontaminate.contamination(docs.limit(0), benchmark).count() == 0 and decontaminate.clean(docs, benchmark.limit(0)).count() == 5
