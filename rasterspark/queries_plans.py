@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterspark.functions import labels, text
-from rasterspark.operators import batch, geometry, metrics, selection
+from rasterspark.functions import labels, metadata, text
+from rasterspark.operators import batch, geometry, metrics, resample, selection
 from rasterspark.operators.planes import YCBCR
 from rasterspark.plans import rules, search
 from rasterspark.queries import _STATUS, FILL, PX, _fills, _jobs, _px, _px_sql, _t, query
@@ -324,3 +324,48 @@ def pixel_pairs(spark, d):
     both, errors = metrics.pixel_pairs(px, other)
     sums = both.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("r") + F.col("r2") * 2 + F.col("a2")).alias("total"))
     return sums.select("image_id", "n", "total", F.lit(None).cast("string").alias("error")).unionByName(errors, allowMissingColumns=True)
+
+
+# resampling and metadata
+
+
+def _kernel_sql(x: str) -> str:
+    near, far = f"(1.5::DOUBLE * pow({x}, 3) - 2.5::DOUBLE * pow({x}, 2) + 1)", f"(-0.5::DOUBLE * pow({x}, 3) + 2.5::DOUBLE * pow({x}, 2) - 4 * {x} + 2)"
+    lanczos = f"CASE WHEN {x} < 1e-9 THEN 1 WHEN {x} < 3 THEN sin({x} * pi()) / ({x} * pi()) * sin({x} / 3 * pi()) / ({x} / 3 * pi()) ELSE 0 END"
+    return f"CASE WHEN up THEN CASE WHEN {x} < 1 THEN {near} WHEN {x} < 2 THEN {far} ELSE 0 END ELSE {lanczos} END"
+
+
+def _taps_sql(name: str, n: str, size: str) -> str:
+    return f"""{name} AS (SELECT DISTINCT i AS image_id, {n} AS n, {size} AS m, i % 2 = 1 AS up FROM img),
+{name}t AS (SELECT image_id, up, k, j, abs((j + 0.5 - (k + 0.5) * (n / m)) / greatest(n / m, 1))::DOUBLE AS t FROM {name}, unnest(generate_series(0, m - 1)) AS a(k), unnest(generate_series(0, n - 1)) AS b(j)),
+{name}w AS (SELECT image_id, k, j, {_kernel_sql('t')} AS wt FROM {name}t)"""
+
+
+@query(PX + ", " + _taps_sql("tx", "w", "CASE WHEN i % 2 = 1 THEN w + 3 ELSE w * 2 // 3 END") + ", " + _taps_sql("ty", "h", "CASE WHEN i % 2 = 1 THEN h + 2 ELSE h // 2 END") + """,
+hz AS (SELECT px.image_id, y, k AS x, sum(wt * r) / sum(wt) AS v FROM px JOIN txw ON txw.image_id = px.image_id AND j = x GROUP BY px.image_id, y, k),
+o AS (SELECT hz.image_id, x, k AS y, sum(wt * v) / sum(wt) AS v FROM hz JOIN tyw ON tyw.image_id = hz.image_id AND j = y GROUP BY hz.image_id, x, k)
+SELECT image_id, count(*) AS n, round(sum(v * (1 + x + 2 * y)), 3) AS sum_v FROM o GROUP BY image_id""")
+def resample_planes(spark, d):
+    px = _px(spark, d).withColumn("v", F.col("r").cast("double"))
+    up = F.col("image_id") % 2 == 1
+    grown = resample.resample_planes(px.filter(up), F.col("w") + 3, F.col("h") + 2, "catrom")
+    shrunk = resample.resample_planes(px.filter(~up), F.floor(F.col("w") * 2 / 3).cast("int"), F.floor(F.col("h") / 2).cast("int"), "lanczos3")
+    return grown.unionByName(shrunk).groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("v") * (1 + F.col("x") + 2 * F.col("y"))), 3).alias("sum_v"))
+
+
+@query("""SELECT p_partkey AS id, CAST(CASE WHEN p_partkey % 3 = 0 THEN 1 + p_size % 8 ELSE 1 END AS INTEGER) AS orientation, p_partkey % 2 = 0 AS has_profile, CASE WHEN p_partkey % 2 = 0 THEN p_brand || CASE WHEN p_partkey % 4 = 0 THEN ' sRGB' ELSE '' END END AS description,
+ p_partkey % 4 <> 2 AS looks_srgb, CAST(2 + CASE WHEN p_partkey % 2 = 0 THEN 18 + 168 + length(p_brand) + CASE WHEN p_partkey % 4 = 0 THEN 5 ELSE 0 END ELSE 0 END + 2 + length(p_type)
+ + CASE WHEN p_partkey % 3 = 0 AND p_size % 8 > 0 THEN 36 + 4 + length(p_name) ELSE 0 END AS BIGINT) AS n_bytes FROM part""")
+def jpeg_metadata(spark, d):
+    """Files of a comment, EXIF and a colour profile in front of the scan."""
+    k, utf8 = F.col("p_partkey"), lambda c: F.encode(c, "UTF-8")
+    u = lambda v, n: F.unhex(F.lpad(F.hex(v.cast("long")), 2 * n, "0"))
+    part = lambda marker, data: F.concat(F.unhex(F.lit(f"FF{marker:02X}")), u(F.length(data) + 2, 2), data)
+    nothing = F.lit(b"")
+    exif = part(0xE1, F.concat(F.lit(b"Exif\0\0MM\0*\0\0\0\x08\0\x01\x01\x12\0\x03\0\0\0\x01"), u(1 + F.col("p_size") % 8, 2), F.lit(b"\0\0"), F.lit(b"\0\0\0\0")))
+    name = utf8(F.concat("p_brand", F.when(k % 4 == 0, " sRGB").otherwise("")))
+    icc = F.concat(F.lit(bytes(128) + b"\0\0\0\x01desc\0\0\0\x90\0\0\0\0desc\0\0\0\0"), u(F.length(name) + 1, 4), name, F.lit(bytes(12)))
+    profile = part(0xE2, F.concat(F.lit(b"ICC_PROFILE\0\x01\x01"), icc))
+    content = F.concat(F.lit(b"\xff\xd8"), part(0xFE, utf8("p_name")), F.when(k % 3 == 0, exif).otherwise(nothing), F.when(k % 2 == 0, profile).otherwise(nothing), F.lit(b"\xff\xda"), utf8("p_type"))
+    found = metadata.inspect(_t(spark, d, "part").select(k.cast("long").alias("id"), content.alias("content")))
+    return found.select("id", "orientation", "has_profile", "description", "looks_srgb", F.length("stripped").cast("long").alias("n_bytes"))
