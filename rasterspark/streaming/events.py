@@ -1,9 +1,18 @@
-"""Event operators that run on batch and streaming DataFrames alike."""
+"""Event operators. Each says how it runs on a stream; all run on batches.
+
+debounce (append mode with `lateness`, else update), latest and job_state (update mode) and answered
+(append mode with `lateness`) are the same code for both. drop_stale needs all events of a key, so
+streams have drop_stale_stream, which keeps the newest generation of each key as state.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from rasterspark.functions.text import sniff_format
 
 
 def debounce(events: DataFrame, gap: str, key: str = "user_id", lateness: str | None = None) -> DataFrame:
@@ -24,6 +33,27 @@ def drop_stale(events: DataFrame, key: str, generation: str) -> DataFrame:
     return events.join(newest, key).filter(F.col(generation) == F.col("_newest")).drop("_newest")
 
 
+def drop_stale_stream(events: DataFrame, key: str, generation: str) -> DataFrame:
+    """Events of a stream, in append mode, but for those of a generation older than one already seen for their key.
+
+    In a micro-batch the newest generation counts, as in drop_stale; an event let through by an earlier
+    micro-batch can't be taken back. The state is one value a key. Null generations are dropped.
+    """
+    kinds = dict(events.dtypes)
+
+    def run(_, batches, state):
+        rows = pd.concat(list(batches))
+        newest = rows[generation].max()
+        if state.exists:
+            held = state.get[0]
+            newest = held if pd.isna(newest) else max(newest, held)
+        if not pd.isna(newest):
+            state.update((newest,))
+        yield rows[rows[generation] == newest]
+
+    return events.groupBy(key).applyInPandasWithState(run, events.schema, f"newest {kinds[generation]}", "append", GroupStateTimeout.NoTimeout)
+
+
 def answered(requests: DataFrame, responses: DataFrame, timeout: str, lateness: str | None = None) -> DataFrame:
     """requests (request_id, ts) with the response's time, if one came within the timeout (left outer join).
 
@@ -50,3 +80,15 @@ def job_state(changes: DataFrame, key: str) -> DataFrame:
         F.max(F.when(F.col("status") == "processing", at)).alias("began"), F.max(F.when(over, at)).alias("ended"),
     )
     return s.select(key, "status", "stage", F.col("began.ts").alias("started_at"), F.when(F.col("began").isNull() | (F.col("ended") > F.col("began")), F.col("ended.ts")).alias("finished_at"))
+
+
+FILE = "path string, modificationTime timestamp, length long, content binary"
+
+
+def arriving(spark: SparkSession, folder: str, files_a_trigger: int = 1000) -> DataFrame:
+    """A stream of the files that arrive in a folder: path, arrived, n_bytes, format (by their first bytes), content.
+
+    Spark passes over empty files.
+    """
+    files = spark.readStream.format("binaryFile").schema(FILE).option("maxFilesPerTrigger", files_a_trigger).option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", F.col("modificationTime").alias("arrived"), F.col("length").alias("n_bytes"), sniff_format(F.col("content")).alias("format"), "content")
