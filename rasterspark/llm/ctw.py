@@ -154,6 +154,13 @@ def predict(levels: list[tuple[int, Mixture]], asked: np.ndarray) -> np.ndarray:
     return out
 
 
+def bucket_of(suffix, n: int):
+    """Which of n buckets holds the contexts that end with these two bytes; suffix: an array of numbers or a column."""
+    if isinstance(suffix, np.ndarray):
+        return (suffix * 2654435761 >> 12) % n
+    return F.pmod(F.shiftright(suffix.cast("long") * F.lit(2654435761), 12), F.lit(n))
+
+
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     names, at = np.unique(np.concatenate(keys), return_inverse=True)
     return names, np.bincount(at, np.concatenate(counts), len(names)).astype(np.int64)
@@ -235,7 +242,7 @@ def tree(sequences: DataFrame, depth: int, n: int) -> tuple[DataFrame, list[Mixt
     def middle(group: pa.Table) -> pa.Table:
         return _tree_rows([(0, None, parents(_nodes(group), 1).columns())])
 
-    dealt = sequences.withColumn("bucket", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(0xFFFF)), F.lit(n)))
+    dealt = sequences.withColumn("bucket", bucket_of(F.shiftright("key", 8).bitwiseAND(0xFFFF), n))
     held = scratch(dealt.groupBy("bucket").applyInArrow(below, _TREE))
     heads = held.filter("head is not null")
     top = heads.groupBy("head").applyInArrow(middle, _TREE).toArrow()  # 256 rows of 255 nodes at most
@@ -251,7 +258,7 @@ def tree(sequences: DataFrame, depth: int, n: int) -> tuple[DataFrame, list[Mixt
     mixtures = heads.groupBy("head").applyInArrow(down, _TREE)
     # a context of two bytes is a little-endian long here
     context = sum((F.conv(F.hex(F.substring("a", k + 1, 1)), 16, 10).cast("long") * (1 << 8 * k) for k in range(2)), F.lit(0).cast("long"))
-    mixtures = mixtures.withColumn("bucket", F.pmod(F.xxhash64(context), F.lit(n)))
+    mixtures = mixtures.withColumn("bucket", bucket_of(context, n))
     return held.filter("head is null").drop("head", "e").union(mixtures.drop("head", "e")), levels
 
 
@@ -312,16 +319,14 @@ def score(docs: DataFrame, training: DataFrame, depth: int = 4) -> DataFrame:
             for x in texts[a:b]:
                 words.update(x.lower().split())
             found.append(np.unique(grams([x + END for x in texts[a:b]], depth)))
-        rows = [(None, suffix, key.tobytes()) for suffix, key in by_suffix(np.unique(np.concatenate(found)))]
+        all_ = np.unique(np.concatenate(found))
+        rows = [(None, bucket, all_[at].tobytes()) for bucket, at in split_by(bucket_of(all_ >> 8 & 0xFFFF, n))]
         rows += [(w.decode("utf-8", "replace"), None, None) for w in words]
-        word, suffix, keys = zip(*rows)
-        return pa.table({"batch": pa.array([group.column("batch")[0].as_py()] * len(rows), pa.int64()), "word": pa.array(word, pa.string()), "suffix": pa.array(suffix, pa.int64()), "keys": pa.array(keys, pa.binary())})
-
-    def by_suffix(keys):
-        return ((s, keys[at]) for s, at in split_by(keys >> 8 & 0xFFFF))
+        word, bucket, keys = zip(*rows)
+        return pa.table({"batch": pa.array([group.column("batch")[0].as_py()] * len(rows), pa.int64()), "word": pa.array(word, pa.string()), "bucket": pa.array(bucket, pa.int64()), "keys": pa.array(keys, pa.binary())})
 
-    asked = scratch(dealt.groupBy("batch").applyInArrow(ask, "batch long, word string, suffix long, keys binary"))
-    questions = asked.filter("word is null").select("batch", F.pmod(F.xxhash64("suffix"), F.lit(n)).alias("bucket"), "keys")
+    asked = scratch(dealt.groupBy("batch").applyInArrow(ask, "batch long, word string, bucket long, keys binary"))
+    questions = asked.filter("word is null").select("batch", "bucket", "keys")
     known = asked.filter("word is not null").join(words, "word").select("batch", "word", "c", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("logs"))
     answers = answered(parts, levels, questions, depth, n).select("batch", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("c"), "keys", "logs").union(known)
 
