@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterspark.functions import labels, metadata, text
-from rasterspark.operators import batch, geometry, metrics, resample, selection
+from rasterspark.operators import batch, geometry, metrics, quantize, resample, selection
+from rasterspark.operators.palette import coordinates
 from rasterspark.operators.planes import YCBCR
 from rasterspark.plans import rules, search
-from rasterspark.queries import _STATUS, FILL, PX, _fills, _jobs, _px, _px_sql, _t, query
+from rasterspark.queries import _STATUS, FILL, PALETTE, PX, _fills, _jobs, _palette, _px, _px_sql, _sums, _sums_sql, _t, query
 from rasterspark.sources import pixels
 
 _NAMES = "CASE p_partkey % 11 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(labels.CANDIDATES)) + " ELSE 'other' END"
@@ -369,3 +370,40 @@ def jpeg_metadata(spark, d):
     content = F.concat(F.lit(b"\xff\xd8"), part(0xFE, utf8("p_name")), F.when(k % 3 == 0, exif).otherwise(nothing), F.when(k % 2 == 0, profile).otherwise(nothing), F.lit(b"\xff\xda"), utf8("p_type"))
     found = metadata.inspect(_t(spark, d, "part").select(k.cast("long").alias("id"), content.alias("content")))
     return found.select("id", "orientation", "has_profile", "description", "looks_srgb", F.length("stripped").cast("long").alias("n_bytes"))
+
+
+# palettes
+
+
+@query(PALETTE + """, least AS (SELECT image_id, arg_min(r, (a, idx)) AS lr, arg_min(g, (a, idx)) AS lg, arg_min(b, (a, idx)) AS lb, arg_min(a, (a, idx)) AS la FROM pal GROUP BY image_id),
+o AS (SELECT px.image_id, x, y, """ + ", ".join(f"CASE WHEN px.a = 0 THEN l{c} ELSE pal.{c} END AS {c}" for c in "rgba") + """ FROM px JOIN near ON near.image_id = px.image_id AND near.r = px.r AND near.g = px.g AND near.b = px.b AND near.a = px.a
+ JOIN pal ON pal.image_id = px.image_id AND pal.idx = near.idx JOIN least ON least.image_id = px.image_id) """ + _sums_sql("o", "r", "g", "b", "a"))
+def remap_palette(spark, d):
+    return _sums(quantize.remap(_px(spark, d), _palette(spark, d)), "r", "g", "b", "a")
+
+
+_MOVED = """{0} AS (SELECT c.image_id, c.idx, {means} FROM {1} c LEFT JOIN (SELECT image_id, idx, {sums} FROM
+ (SELECT d.*, k.idx FROM dc d JOIN {1} k ON k.image_id = d.image_id QUALIFY row_number() OVER (PARTITION BY d.image_id, d.cr, d.cg, d.cb, d.ca ORDER BY round(pow(d.cr - k.cr, 2) + pow(d.cg - k.cg, 2) + pow(d.cb - k.cb, 2) + pow(d.ca - k.ca, 2), 6), k.idx) = 1) GROUP BY image_id, idx) m
+ ON m.image_id = c.image_id AND m.idx = c.idx)"""
+
+
+def _moved(name: str, before: str) -> str:
+    return _MOVED.format(name, before, means=", ".join(f"coalesce(m{c}, c.c{c}) AS c{c}" for c in "rgba"), sums=", ".join(f"sum(c{c} * n) / sum(n) AS m{c}" for c in "rgba"))
+
+
+_SPACE = "{0}r * ({0}a / 255) * 0.6378::DOUBLE AS cr, {0}g * ({0}a / 255) * 2.1456::DOUBLE AS cg, {0}b * ({0}a / 255) * 0.2166::DOUBLE AS cb, {0}a * 1.5::DOUBLE AS ca"
+
+
+@query(PALETTE + ", dc AS (SELECT image_id, sum(n) AS n, cr, cg, cb, ca FROM (SELECT image_id, n, " + _SPACE.format("") + " FROM col) GROUP BY image_id, cr, cg, cb, ca), k0 AS (SELECT image_id, idx, " + _SPACE.format("") + " FROM pal), " + ", ".join((_moved("k1", "k0"), _moved("k2", "k1"), _moved("k3", "k2")))
+       + " SELECT image_id, idx, " + ", ".join(f"round(c{c}, 4) AS c{c}" for c in "rgba") + " FROM k3")
+def kmeans_three(spark, d):
+    colours = coordinates(_px(spark, d).groupBy("image_id", "r", "g", "b", "a").agg(F.count("*").alias("n"))).select("image_id", *quantize.COORDS, "n")
+    found = quantize.lloyd(colours, coordinates(_palette(spark, d)).select("image_id", "idx", *quantize.COORDS))
+    return found.select("image_id", "idx", *(F.round(c, 4).alias(c) for c in quantize.COORDS))
+
+
+@query()
+def quantize_images(spark, d):
+    """Palettes of 16 entries and the images redrawn with them, with error diffusion; tests hold the steps against plain loops."""
+    px = _px(spark, d)
+    return _sums(quantize.remap_dithered(px, quantize.quantize(px, 16), 0.9), "r", "g", "b", "a")
