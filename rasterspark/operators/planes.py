@@ -126,13 +126,13 @@ def _resized(values: Column, size: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), size - 1), at)
 
 
-def bilinear_resize(plane: DataFrame, width: Column, height: Column) -> DataFrame:
-    """(image_id, w, h, x, y, v) -> (image_id, x, y, v) at width x height places (columns of image_id's row).
+def bilinear_resize(plane: DataFrame, width: Column, height: Column, by=("image_id",)) -> DataFrame:
+    """(by, w, h, x, y, v) -> (by, x, y, v) at width x height places (columns of the row's w, h or by).
 
     Rows of an image are resized as arrays, then its columns; no array is longer than a side.
     """
     line = lambda at: F.transform(F.array_sort(F.collect_list(F.struct(at, "v"))), lambda s: s["v"].cast("double"))
-    rows = plane.groupBy("image_id", "w", "h", "y").agg(line("x").alias("line"))
-    wide = rows.select("image_id", "w", "h", "y", F.posexplode(_resized(F.col("line"), width)).alias("x", "v"))
-    columns = wide.groupBy("image_id", "w", "h", "x").agg(line("y").alias("line"))
-    return columns.select("image_id", "x", F.posexplode(_resized(F.col("line"), height)).alias("y", "v")).select("image_id", "x", "y", F.col("v").cast("float").alias("v"))
+    rows = plane.groupBy(*by, "w", "h", "y").agg(line("x").alias("line"))
+    wide = rows.select(*by, "w", "h", "y", F.posexplode(_resized(F.col("line"), width)).alias("x", "v"))
+    columns = wide.groupBy(*by, "w", "h", "x").agg(line("y").alias("line"))
+    return columns.select(*by, "x", F.posexplode(_resized(F.col("line"), height)).alias("y", "v")).select(*by, "x", "y", F.col("v").cast("float").alias("v"))

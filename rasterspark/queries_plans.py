@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterspark.functions import labels, metadata, text
-from rasterspark.operators import batch, geometry, metrics, quantize, resample, selection
+from rasterspark.operators import batch, geometry, matte, metrics, planes, quantize, resample, selection
 from rasterspark.operators.palette import coordinates
 from rasterspark.operators.planes import YCBCR
 from rasterspark.plans import rules, search
@@ -407,3 +407,42 @@ def quantize_images(spark, d):
     """Palettes of 16 entries and the images redrawn with them, with error diffusion; tests hold the steps against plain loops."""
     px = _px(spark, d)
     return _sums(quantize.remap_dithered(px, quantize.quantize(px, 16), 0.9), "r", "g", "b", "a")
+
+
+# mattes
+
+_PAIRS = ["rr", "rg", "rb", "gg", "gb", "bb", "rp", "gp", "bp"]
+
+
+def _box_sql(name: str, source: str, columns) -> str:
+    mean = lambda c, part: f"avg({c}) OVER ({part} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS {c}"
+    return f"""{name}x AS (SELECT image_id, x, y, {', '.join(mean(c, 'PARTITION BY image_id, y ORDER BY x') for c in columns)} FROM {source}),
+{name} AS (SELECT image_id, x, y, {', '.join(mean(c, 'PARTITION BY image_id, x ORDER BY y') for c in columns)} FROM {name}x)"""
+
+
+@query(PX + ", c AS (SELECT image_id, x, y, r / 255 AS r, g / 255 AS g, b / 255 AS b, ((x * 37 + y * 11) % 256) / 255 AS p FROM px), c2 AS (SELECT *, " + ", ".join(f"{k[0]} * {k[1]} AS {k}" for k in _PAIRS) + " FROM c), " + _box_sql("m", "c2", [*"rgbp", *_PAIRS]) + """,
+v AS (SELECT image_id, x, y, r, g, b, p, """ + ", ".join(f"{k} - {k[0]} * {k[1]} + {'1e-2' if k[0] == k[1] else '0'}::DOUBLE AS v{k}" for k in _PAIRS) + """ FROM m),
+i AS (SELECT *, vgg * vbb - vgb * vgb AS irr, vgb * vrb - vrg * vbb AS irg, vrg * vgb - vgg * vrb AS irb, vrr * vbb - vrb * vrb AS igg, vrb * vrg - vrr * vgb AS igb, vrr * vgg - vrg * vrg AS ibb FROM v),
+d AS (SELECT *, vrr * irr + vrg * irg + vrb * irb AS det FROM i),
+k AS (SELECT image_id, x, y, r, g, b, p, (irr * vrp + irg * vgp + irb * vbp) / det AS kr, (irg * vrp + igg * vgp + igb * vbp) / det AS kg, (irb * vrp + igb * vgp + ibb * vbp) / det AS kb FROM d),
+k2 AS (SELECT image_id, x, y, kr, kg, kb, p - kr * r - kg * g - kb * b AS k FROM k), """ + _box_sql("o", "k2", ["kr", "kg", "kb", "k"]) + " " + _sums_sql("o", "kr", "kg", "kb", "k").replace(", 4)", ", 3)"))
+def guided_filter(spark, d):
+    px = matte.colour_planes(_px(spark, d)).withColumn("p", (F.col("x") * 37 + F.col("y") * 11) % 256 / 255)
+    out = matte.guided_coefficients(px, F.lit(2), 1e-2)
+    return out.groupBy("image_id").agg(F.count("*").alias("n"), *(F.round(F.sum(F.col(c) * (1 + F.col("x") + 2 * F.col("y"))), 3).alias(f"sum_{c}") for c in ("kr", "kg", "kb", "k")))
+
+
+@query()
+def clean_matte(spark, d):
+    """Mattes made from the pixels' opacity and place, cleaned; a test holds it against plain loops."""
+    px = _px(spark, d).withColumn("alpha", F.col("a") / 255 * ((F.col("x") * 53 + F.col("y") * 29) % 11 / 10))
+    return _sums(matte.clean(px, halo=F.lit(1), least_share=0.2), "alpha")
+
+
+@query()
+def refine_edges(spark, d):
+    """Coarse masks raised to the image's size along its edges, and the colours of soft pixels made the foreground's."""
+    px = _px(spark, d)
+    coarse = planes.area_downsample(px, 5, 4).select("image_id", F.lit(5).alias("w"), F.lit(4).alias("h"), F.col("cx").alias("x"), F.col("cy").alias("y"), *((F.col(c) / 255).alias(c) for c in "rgb"), (F.col("a") / 255).alias("p"))
+    alpha = matte.guided_upsample(coarse, px, F.lit(2), 1e-4)
+    return _sums(matte.estimate_foreground(px.join(alpha, ["image_id", "x", "y"])), "r", "g", "b", "alpha")
