@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterspark.functions import labels, metadata, text
-from rasterspark.operators import batch, geometry, matte, metrics, planes, quantize, resample, selection
+from rasterspark.operators import analysis, batch, geometry, matte, metrics, planes, quantize, resample, selection
 from rasterspark.operators.palette import coordinates
 from rasterspark.operators.planes import YCBCR
 from rasterspark.plans import rules, search
 from rasterspark.queries import _STATUS, FILL, PALETTE, PX, _fills, _jobs, _palette, _px, _px_sql, _sums, _sums_sql, _t, query
-from rasterspark.sources import pixels
+from rasterspark.sources import pixels, synthetic
 
 _NAMES = "CASE p_partkey % 11 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(labels.CANDIDATES)) + " ELSE 'other' END"
 
@@ -446,3 +446,19 @@ def refine_edges(spark, d):
     coarse = planes.area_downsample(px, 5, 4).select("image_id", F.lit(5).alias("w"), F.lit(4).alias("h"), F.col("cx").alias("x"), F.col("cy").alias("y"), *((F.col(c) / 255).alias(c) for c in "rgb"), (F.col("a") / 255).alias("p"))
     alpha = matte.guided_upsample(coarse, px, F.lit(2), 1e-4)
     return _sums(matte.estimate_foreground(px.join(alpha, ["image_id", "x", "y"])), "r", "g", "b", "alpha")
+
+
+# synthetic images
+
+
+@query("""WITH g AS (SELECT x, y, round_even(255 * (x / 127), 0) AS r, round_even(200 * (y / 63) + 30, 0) AS g, round_even(255 - 180 * (x / 127), 0) AS b, 255 AS a FROM range(128) AS t(x), range(64) AS u(y)),
+p AS (SELECT x, y, ((x >> 3) * 7 + (y >> 3) * 3 + (xor(x, y) & 1)) % 16 AS i FROM range(64) AS t(x), range(64) AS u(y)),
+o AS (SELECT 0 AS image_id, * FROM g UNION ALL SELECT 1, x, y, i * 53 % 256, i * 97 % 256, i * 151 % 256, CASE WHEN i = 0 THEN 0 ELSE 255 END FROM p) """ + _sums_sql("o", "r", "g", "b", "a"))
+def synthetic_plain(spark, d):
+    return _sums(synthetic.catalogue(spark).filter("image_id < 2"), "r", "g", "b", "a")
+
+
+@query()
+def synthetic_analysis(spark, d):
+    """What the analysis makes of the synthetic images; a test knows what each of them is."""
+    return analysis.analyze(synthetic.catalogue(spark))
