@@ -9,7 +9,7 @@ from rasterspark.functions import labels, metadata, text
 from rasterspark.operators import analysis, batch, geometry, matte, metrics, planes, quantize, resample, selection
 from rasterspark.operators.palette import coordinates
 from rasterspark.operators.planes import YCBCR
-from rasterspark.plans import rules, search
+from rasterspark.plans import process, rules, search
 from rasterspark.queries import _STATUS, FILL, PALETTE, PX, _fills, _jobs, _palette, _px, _px_sql, _sums, _sums_sql, _t, query
 from rasterspark.sources import pixels, synthetic
 
@@ -462,3 +462,23 @@ def synthetic_plain(spark, d):
 def synthetic_analysis(spark, d):
     """What the analysis makes of the synthetic images; a test knows what each of them is."""
     return analysis.analyze(synthetic.catalogue(spark))
+
+
+# the pipeline of an image
+
+
+@query()
+def process_images(spark, d):
+    """Crop, resize, padding and encoder plan of every image; tests hold single images against what must come out."""
+    options = process.Options(remove_background=False, padding=1, max_width=7, max_height=7, format="auto")
+    px = _px(spark, d)
+    sources = _t(spark, d, "part").select(F.col("p_partkey").cast("long").alias("image_id"), F.lit("png").alias("source_format"))
+    _, rows = process.process(px, sources, options)
+    return rows.withColumns({c: F.concat_ws(",", c) for c in ("warnings", "primary", "fallback")}).withColumn("region", F.to_json("region"))
+
+
+@query(PX + """, t AS (SELECT image_id, w, h, CASE WHEN w <= 6 AND h <= 6 THEN w ELSE CAST(greatest(1, floor(w * least(1, 6::DOUBLE / greatest(w, h)) + 0.5)) AS INTEGER) END AS tw,
+ CASE WHEN w <= 6 AND h <= 6 THEN h ELSE CAST(greatest(1, floor(h * least(1, 6::DOUBLE / greatest(w, h)) + 0.5)) AS INTEGER) END AS th FROM px GROUP BY image_id, w, h)
+SELECT image_id, tw AS w, th AS h, CAST(tw * th AS BIGINT) AS n FROM t""")
+def thumbnails(spark, d):
+    return resample.thumbnail(_px(spark, d), 6).groupBy("image_id", "w", "h").agg(F.count("*").alias("n"))
