@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterspark.llm.common import cut, texts_of
+from rasterspark.llm.common import cut, scratch, texts_of
 from rasterspark.llm.components import connected_components
 from rasterspark.llm.hashing import mix
 
@@ -306,7 +306,7 @@ def similar(a: bytes, b: bytes, width: int, share: float) -> bool:
 def texts_of_nodes(texts: DataFrame, edges: DataFrame) -> DataFrame:
     """One text of each node of the edges (a, b)."""
     needed = edges.select(F.col("a").alias("node")).distinct().union(edges.select("b").distinct())
-    return cut(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]))
+    return scratch(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]))
 
 
 def verified(edges: DataFrame, held: DataFrame, width: int, share: float) -> DataFrame:
@@ -328,9 +328,8 @@ def near_groups(docs: DataFrame, width: int = 5, share: float = 0.8, radius: int
     texts form a group. Every link is verified on the shingles themselves; two steps propose:
 
     1. Texts that share the least or largest of one of four shingle hashes are each proposed with one
-       of them, the one with the most copies, as that is likely what the others were made from; and, in a
-       second round, those that are not in its group yet with another. The groups of the verified links
-       are far fewer than the texts of a large group of copies.
+       of them, the one with the most copies, as that is likely what the others were made from. The groups
+       of the verified links are far fewer than the texts of a large group of copies.
     2. Tiled comparison: every pair of texts from different groups is proposed if the fingerprints
        differ in at most `radius` of 64 bits, the numbers of shingles allow the similarity, and sketches
        of 1,024 bits (the fingerprint continued) differ in at most REACH bits.
@@ -356,22 +355,12 @@ def near_groups(docs: DataFrame, width: int = 5, share: float = 0.8, radius: int
     values = hashed.select("node", "copies", F.posexplode(F.array(*leaders_of)).alias("k", "v"))
     shared = values.groupBy("k", "v").agg(F.count("*").alias("times")).filter("times > 1").select("k", "v")
     values = cut(values.join(shared, ["k", "v"]))
-    links_so_far, labels = None, None
-    for order in (F.struct(-F.col("copies"), "node"), F.xxhash64("node")):
-        own = values
-        if labels is not None:
-            own = values.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        leaders = own.groupBy("k", "v").agg(F.min_by("node", order).alias("a"))
-        stars = own.join(leaders, ["k", "v"]).filter("node <> a")
-        if labels is not None:
-            stars = stars.join(labels.select(F.col("node").alias("a"), F.col("label").alias("_label")), "a", "left").filter(F.col("label") != F.coalesce("_label", "a"))
-        stars = cut(stars.select("a", F.col("node").alias("b")).distinct())
-        sure = verified(stars, texts_of_nodes(texts, stars), width, share)
-        links_so_far = cut(sure if links_so_far is None else links_so_far.union(sure))
-        labels = connected_components(links_so_far)
-    grouped = cut(hashed.join(labels, "node", "left").select(*SKETCH, "n", "node", F.coalesce("label", "node").alias("label")))
+    leaders = values.groupBy("k", "v").agg(F.min_by("node", F.struct(-F.col("copies"), "node")).alias("a"))
+    stars = cut(values.join(leaders, ["k", "v"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct())
+    sure = cut(verified(stars, texts_of_nodes(texts, stars), width, share))
+    grouped = cut(hashed.join(connected_components(sure), "node", "left").select(*SKETCH, "n", "node", F.coalesce("label", "node").alias("label")))
     pairs = cut(candidates(grouped, radius, share))
-    return connected_components(cut(links_so_far.union(verified(pairs, texts_of_nodes(texts, pairs), width, share))))
+    return connected_components(cut(sure.union(verified(pairs, texts_of_nodes(texts, pairs), width, share))))
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:
