@@ -18,7 +18,9 @@ For the pipeline (near_groups, keep_one) the comparison only proposes pairs, and
 on the sets of shingles.
 
 Null, empty and blank texts have fingerprint zero and are grouped like any other. Null ids: the row
-keeps its fingerprint and takes part; a component of null ids only has a null id.
+keeps its fingerprint and takes part; a component of null ids only has a null id. Rows that repeat an
+id each have their row. An empty table gives an empty one. A long text is hashed whole, in one task.
+Other columns are ignored, whatever their names (keep_one keeps them).
 """
 
 from __future__ import annotations

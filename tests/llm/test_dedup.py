@@ -172,17 +172,22 @@ def test_difference_cover_aligns_all_shifts():
     assert all(any((i + s) % v in cover and (j + s) % v in cover for s in range(v)) for i in range(v) for j in range(v))
 
 
-@pytest.mark.parametrize("run", [
-    lambda df: simhash.near_duplicates(df), lambda df: suffix_dedup.remove_repeated(df), lambda df: substring_dedup.remove(df), lambda df: simhash.keep_one(df),
-])
-def test_edge_rows(spark, run):
+def test_edge_rows(spark):
     """Empty tables, null ids, repeated rows, clashing columns, one long text."""
-    assert run(spark.createDataFrame([], SCHEMA)).count() == 0
+    runs = (simhash.near_duplicates, suffix_dedup.remove_repeated, substring_dedup.remove, simhash.keep_one)
+    assert all(run(spark.createDataFrame([], SCHEMA)).count() == 0 for run in runs)
     long = " ".join(str(i * i) for i in range(40_000))
     rows = [(None, "a b"), (None, None), (5, long), (5, long), (6, ""), (7, None), (-3, "x")]
-    wide = spark.createDataFrame([(*r, 1, "k") for r in rows], SCHEMA + ", bucket int, row string")
-    got = run(wide).collect()
-    assert len(got) >= 4 and {5, 6, -3} <= {r.doc_id for r in got} | {6}
+    names = ", bucket int, row string, fp long, node long, label string, n_links int, twin int, n_bytes int, _listed string"
+    wide = spark.createDataFrame([(*r, 1, "k", 2, 3, "l", 4, 5, 6, "m") for r in rows], SCHEMA + names)
+    near, bytes_, words, one = (run(wide).collect() for run in runs)
+    key = lambda v: (v is None, v or 0)
+    ids = sorted((d for d, _ in rows), key=key)
+    assert sorted(((r.doc_id, r.component_id) for r in near), key=lambda x: (key(x[0]), key(x[1]))) == [(-3, -3), (5, 5), (5, 5), (6, 6), (7, 6), (None, 6), (None, None)]
+    assert sorted((r.doc_id for r in bytes_), key=key) == sorted((r.doc_id for r in words), key=key) == ids
+    assert [(r.n_bytes, r.n_removed, r.n_spans) for r in bytes_ if r.doc_id == 5] == [(len(long), len(long), 1)] * 2 and sum(r.n_removed for r in bytes_) == 2 * len(long)
+    assert [(r.n_words, r.n_removed) for r in words if r.doc_id == 5] == [(40_000, 0)] * 2 and all(r.n_removed == 0 and r.bucket == 1 for r in words)
+    assert sorted((r.doc_id for r in one), key=key) == [-3, 5, 6, None]
 
 
 def test_repeated_rows(spark):
