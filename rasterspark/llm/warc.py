@@ -34,6 +34,7 @@ VERSION = b"WARC/1.1"
 #: Elements whose content is no text, and those that stand on lines of their own.
 _RAW = {"script", "style", "noscript", "template"}
 _BLOCK = set("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article nav header footer pre blockquote title head body".split())
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 _SPACE = re.compile(r"[ \t\r\f\v\xa0]+")
 #: The most bytes that an encoded body may unpack to.
@@ -54,7 +55,9 @@ def scan(page: str) -> tuple[str, str]:
     Every find starts where the last one ended, and what was not found once is not looked for again.
     An element or comment that is never closed runs to the end of the page; a "<" that begins no tag is text.
     """
-    low = page.lower() if page.isascii() else "".join(c.lower() if c.isascii() else c for c in page)
+    low = page.lower()
+    if len(low) != len(page):  # some capitals become two characters
+        low = page.translate(_LOWER)
     parts, at, title, begun, none = [], 0, None, None, set()
 
     def find(what, start):
@@ -100,7 +103,7 @@ def scan(page: str) -> tuple[str, str]:
 
 
 def _lines(text: str, between: str) -> str:
-    lines = (_SPACE.sub(" ", line).strip() for line in html.unescape(text).split("\n"))
+    lines = (line.strip() for line in _SPACE.sub(" ", html.unescape(text)).split("\n"))
     return between.join(line for line in lines if line)
 
 
