@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the driver's tables, with DuckDB SQL where SQL can express them.
+"""The queries op1 to op13 over the driver's tables, with DuckDB SQL where SQL can express them.
 
 Each applies its operator with production parameters to the whole table and derives the columns of
 its contract from the operator's output.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterspark.llm import ctw, decontaminate, langid, licenses, packing, simhash, substring_dedup, suffix_dedup, topk, warc
+from rasterspark.llm import bpe, ctw, decontaminate, filter_audit, langid, licenses, packing, repair, simhash, substring_dedup, suffix_dedup, topk, warc
 from rasterspark.llm.common import table
 
 
@@ -81,7 +81,21 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(docs, docs.filter(~F.col("held_out") & F.col("doc_id").isNotNull()))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_warc, op4_licenses, license_base, op5_decontaminate, op6_langid, op7_substring_dedup, op8_topk, op9_packing, conversation_packing, op10_ctw)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audit(table(spark, sf_dir, "conversations"), damage=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_suffix_dedup, op3_warc, op4_licenses, license_base, op5_decontaminate, op6_langid, op7_substring_dedup, op8_topk, op9_packing, conversation_packing, op10_ctw, op11_bpe, op12_filter_audit, op13_repair)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _NAMES = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -117,6 +131,30 @@ kept AS (SELECT word.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY word.p) A
          LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.p = gone.p WHERE gone.p IS NULL GROUP BY word.doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+    "op12_filter_audit": r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+low AS (SELECT text, min(doc_id) AS least FROM t GROUP BY text),
+w AS (SELECT t.*, least, regexp_extract_all(t.text, '[^\x20\x09-\x0D]+') AS words FROM t JOIN low ON t.text = low.text),
+m AS (SELECT doc_id, part, CAST(len(words) < 200 AS INT) AS a, CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INT) AS b,
+             CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS INT) AS c,
+             CAST(regexp_matches(text, '[#$%&*|]') AS INT) AS d, CAST(coalesce(doc_id > least, false) AS INT) AS e FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+v AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+      FROM m LEFT JOIN l ON m.doc_id = l.doc_id GROUP BY ALL),
+f AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(name, bit)),
+o AS (SELECT p.name || q.name || r.name || s.name || t.name AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits FROM f p, f q, f r, f s, f t
+      WHERE p.bit | q.bit | r.bit | s.bit | t.bit = 31),
+x AS (SELECT filter_order, step, bits[step] AS bit, CAST(list_sum(bits[1:step - 1]) AS INT) AS before FROM o, range(1, 6) AS r(step)),
+s AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (bit | coalesce(before, 0)) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0) = 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0) > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0) = 0 THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN mask & bit > 0 AND mask & coalesce(before, 0) = 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM v, x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM s""",
     "op8_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
