@@ -40,13 +40,15 @@ def regions(mask: DataFrame) -> DataFrame:
     """(image_id, w, x, y, keep) -> (image_id, x0, y, n, label) for each horizontal run of kept pixels.
 
     Runs that touch in neighbouring rows (4-connected) share a label, the least place y * w + x of
-    the region. Only runs and the links between them are joined, not pixels. A place must be below
-    2^27 (134 megapixels) and an image_id from 0 to below 2^36.
+    the region. Only runs and the links between them are joined, not pixels. Nodes are numbered by image and
+    place; a place of 2^27 (134 megapixels) or more, or an image_id outside 0 to 2^36 - 1, ends the job.
     """
     row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
     kept = mask.filter("keep").withColumn("run", F.col("x") - F.row_number().over(row))
     begun = kept.withColumn("x0", F.min("x").over(Window.partitionBy("image_id", "y", "run")))
-    node = F.shiftleft(F.col("image_id").cast("long"), 27) + F.col("y") * F.col("w") + F.col("x0")
+    image, spot = F.col("image_id").cast("long"), F.col("y").cast("long") * F.col("w") + F.col("x0")
+    fits = image.between(0, (1 << 36) - 1) & (spot < 1 << 27)
+    node = F.when(fits, F.shiftleft(image, 27) + spot).otherwise(F.raise_error(F.concat(F.lit("no node number for image "), image.cast("string"), F.lit(", place "), spot.cast("string"))).cast("long"))
     linked = cut(begun.withColumn("node", node).withColumn("above", F.when(F.lag("y").over(column) == F.col("y") - 1, F.lag("node").over(column))).select("image_id", "x0", "y", "node", "above"))
     labels = connected_components(linked.filter(F.col("above").isNotNull()).select(F.col("above").alias("a"), F.col("node").alias("b")).distinct())
     runs = linked.groupBy("image_id", "x0", "y", "node").agg(F.count("*").alias("n"))

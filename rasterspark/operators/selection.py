@@ -78,9 +78,9 @@ def unsupported(roots: DataFrame, fills: DataFrame) -> DataFrame:
     """
     kind = F.col("kind")
     plain = (
-        F.when(F.col("has_children"), "Contains no image fills").when(kind == "SLICE", "Slices cannot contain images")
-        .when(kind.isin("CONNECTOR", "LINE"), F.concat(F.upper(F.substring(kind, 1, 1)), F.lower(F.substring(kind, 2, 99)), F.lit(" layers cannot contain images")))
-        .when(kind == "TEXT", "Text without an image fill").otherwise("No image fill")
+        F.when(F.col("has_children"), "no layer inside has an image").when(kind == "SLICE", "a slice holds no image")
+        .when(kind.isin("CONNECTOR", "LINE"), F.concat(F.lit("a "), F.lower(kind), F.lit(" holds no image")))
+        .when(kind == "TEXT", "text that no image fills").otherwise("no image fills it")
     )
     return roots.join(fills.select("root").distinct(), "root", "left_anti").select("root", "kind", F.coalesce("problem", plain).alias("reason"))
 

@@ -107,6 +107,15 @@ def better(a: Column, b: Column, custom: Column) -> Column:
     return F.when(b.isNull(), True).when(custom, fixed).otherwise(searched)
 
 
+def fixed_quality(custom: Column) -> Column:
+    return F.greatest(F.lit(1), F.least(F.lit(100), F.floor(custom + 0.5))).cast("int")
+
+
+def fixed_colours(custom: Column) -> Column:
+    """A palette's size at a fixed quality."""
+    return F.greatest(F.lit(2), F.least(F.lit(256), F.floor(F.pow(F.lit(2.0), 1 + fixed_quality(custom) / 100 * 7) + 0.5))).cast("int")
+
+
 RESULT = OUTCOME.replace("struct<", "struct<candidate:string,")
 
 
@@ -119,14 +128,12 @@ def compress(images: DataFrame) -> DataFrame:
     passed. The best size so far decides which later candidates are given up early.
     """
     custom, ssim, worst = F.col("custom"), F.col("min_ssim"), F.col("min_worst")
-    quality = F.greatest(F.lit(1), F.least(F.lit(100), F.floor(custom + 0.5))).cast("int")
-    colours = F.greatest(F.lit(2), F.least(F.lit(256), F.floor(F.pow(F.lit(2.0), 1 + quality / 100 * 7) + 0.5))).cast("int")
     start = F.struct(F.lit(None).cast(RESULT).alias("best"), F.array().cast(f"array<{RESULT}>").alias("results"))
 
     def outcome(c, best):
         s = Search(c["attempts"], ssim, worst, F.coalesce(best["bytes"] * MARGIN, F.lit(float("inf"))))
         return (
-            F.when(custom.isNotNull(), s.fixed(F.when(c["kind"] == "palette", colours).otherwise(quality)))
+            F.when(custom.isNotNull(), s.fixed(F.when(c["kind"] == "palette", fixed_colours(custom)).otherwise(fixed_quality(custom))))
             .when(c["kind"] == "lossless", s.lossless()).when(c["kind"] == "palette", s.palette(F.col("steps")))
             .otherwise(s.lossy(c["lo"], c["hi"], c["tolerance"], c["most"]))
         )
@@ -167,12 +174,16 @@ def running_best(results: DataFrame) -> DataFrame:
     return results.groupBy("image_id").agg(ordered.alias("r")).select("image_id", F.inline(F.aggregate("r", start, step, lambda s: s["all"])))
 
 
-def ladder(images: DataFrame, candidates: DataFrame) -> DataFrame:
+def ladder(images: DataFrame, candidates: DataFrame, most: int = 64) -> DataFrame:
     """images (image_id, unique_colors, min_palette) x candidates (candidate, kind, lo, hi) -> every level to measure.
 
-    candidates is the engine's own small table of encoders; it is broadcast.
+    candidates is the engine's own table of encoders, at most `most` rows: it becomes an array that every
+    image is exploded by, without a join.
     """
+    known = candidates.limit(most + 1).collect()
+    if len(known) > most:
+        raise ValueError(f"more than {most} candidates")
+    listed = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in ("candidate", "kind", "lo", "hi"))) for r in known))
     levels = F.when(F.col("kind") == "lossless", F.array(F.lit(100))).when(F.col("kind") == "palette", palette_steps(F.col("min_palette"), F.col("unique_colors"), F.lit(False))).otherwise(F.sequence("lo", "hi"))
-    # the key keeps it an equality join; candidates is a few rows
-    met = images.withColumn("_k", F.lit(1)).join(F.broadcast(candidates.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    met = images.select("*", F.inline(listed))
     return met.select("image_id", "candidate", F.explode(levels).alias("level"))

@@ -210,7 +210,7 @@ def palette_population(spark, d):
     return palette.population(_px(spark, d), _palette(spark, d))
 
 
-@query(PALETTE + """, mean AS (SELECT image_id, idx, sum(r * (a / 255) * n) / sum(n) AS r, sum(g * (a / 255) * n) / sum(n) AS g, sum(b * (a / 255) * n) / sum(n) AS b, sum(a * n) / sum(n) AS a FROM near GROUP BY ALL)
+@query(PALETTE + """, mean AS (SELECT image_id, idx, sum(r * a * n) / sum(n) / 255 AS r, sum(g * a * n) / sum(n) / 255 AS g, sum(b * a * n) / sum(n) / 255 AS b, sum(a * n) / sum(n) AS a FROM near GROUP BY ALL)
 SELECT pal.image_id, pal.idx, round(coalesce(mean.r, pal.r * (pal.a / 255)), 4) AS mr, round(coalesce(mean.g, pal.g * (pal.a / 255)), 4) AS mg, round(coalesce(mean.b, pal.b * (pal.a / 255)), 4) AS mb, round(coalesce(mean.a, pal.a), 4) AS ma
 FROM pal LEFT JOIN mean ON pal.image_id = mean.image_id AND pal.idx = mean.idx""")
 def kmeans_step(spark, d):
@@ -319,7 +319,7 @@ def _kind():
 
 
 @query(f"""WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN {_KIND} ELSE CASE p_partkey % 2 WHEN 0 THEN 'jpeg' ELSE 'auto' END END AS f, p_partkey % 4 = 0 AS al FROM part)
-SELECT p_partkey, CASE WHEN f = 'jpeg' AND al THEN 'png' WHEN f IN ('gif', 'bmp', 'unknown') THEN 'png' ELSE f END AS format FROM t""")
+SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN f WHEN f = 'jpeg' AND al OR f NOT IN ('png', 'jpeg', 'webp', 'avif') THEN 'png' ELSE f END AS format FROM t""")
 def resolve_format(spark, d):
     k = F.col("p_partkey")
     wanted = F.when(k % 3 == 0, "original").when(k % 2 == 0, "jpeg").otherwise("auto")
@@ -529,8 +529,8 @@ def meets_target(spark, d):
 
 
 @query(f"""WITH t AS (SELECT p_partkey, {_KIND} AS f, CASE WHEN p_partkey % 6 = 0 THEN 'unknown' ELSE {_KIND} END AS found, p_size, p_partkey % 4 > 0 AS alpha FROM part)
-SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN 'Encoder produced an empty file' WHEN found <> f THEN 'Output is not a valid ' || upper(f) || ' file (detected ' || found || ')'
- WHEN p_partkey % 10 = 1 THEN 'Output size ' || (p_size + 1) || '×' || p_size || ' does not match expected ' || p_size || '×' || p_size WHEN f <> 'jpeg' AND NOT alpha THEN 'Transparency was lost during encoding' END AS error FROM t""")
+SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN 'the encoded file is empty' WHEN found <> f THEN 'asked for ' || f || ', but the file is ' || found
+ WHEN p_partkey % 10 = 1 THEN 'the file has ' || (p_size + 1) || '×' || p_size || ' pixels, not ' || p_size || '×' || p_size WHEN f <> 'jpeg' AND NOT alpha THEN 'the file has lost its transparency' END AS error FROM t""")
 def validation_error(spark, d):
     k, s = F.col("p_partkey"), F.col("p_size")
     error = compression.validation_error(s % 9, F.when(k % 6 == 0, "unknown").otherwise(_kind()), _kind(), F.when(k % 10 == 1, s + 1).otherwise(s), s, s, s, k % 4 > 0, F.lit(True))
@@ -562,8 +562,8 @@ def png_chunks(spark, d):
 
 
 @query("""WITH r AS (SELECT o_orderkey AS root, CASE o_orderkey % 5 WHEN 0 THEN 'SLICE' WHEN 1 THEN 'CONNECTOR' WHEN 2 THEN 'TEXT' WHEN 3 THEN 'LINE' ELSE 'FRAME' END AS kind, o_orderkey % 3 = 0 AS ch, CASE WHEN o_orderkey % 7 = 0 THEN o_orderpriority END AS problem FROM orders)
-SELECT root, kind, CASE WHEN problem IS NOT NULL THEN problem WHEN ch THEN 'Contains no image fills' WHEN kind = 'SLICE' THEN 'Slices cannot contain images' WHEN kind = 'CONNECTOR' THEN 'Connector layers cannot contain images'
- WHEN kind = 'LINE' THEN 'Line layers cannot contain images' WHEN kind = 'TEXT' THEN 'Text without an image fill' ELSE 'No image fill' END AS reason FROM r WHERE root NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)""")
+SELECT root, kind, CASE WHEN problem IS NOT NULL THEN problem WHEN ch THEN 'no layer inside has an image' WHEN kind = 'SLICE' THEN 'a slice holds no image' WHEN kind = 'CONNECTOR' THEN 'a connector holds no image'
+ WHEN kind = 'LINE' THEN 'a line holds no image' WHEN kind = 'TEXT' THEN 'text that no image fills' ELSE 'no image fills it' END AS reason FROM r WHERE root NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)""")
 def unsupported_roots(spark, d):
     k = F.col("o_orderkey")
     kind = F.element_at(F.array(*(F.lit(x) for x in ("SLICE", "CONNECTOR", "TEXT", "LINE", "FRAME"))), (k % 5 + 1).cast("int"))

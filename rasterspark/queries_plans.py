@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from rasterspark.functions import labels, metadata, text
 from rasterspark.operators import analysis, batch, geometry, matte, metrics, planes, quantize, resample, selection
-from rasterspark.operators.palette import coordinates
+from rasterspark.operators.palette import WEIGHTS, coordinates
 from rasterspark.operators.planes import YCBCR
 from rasterspark.plans import process, rules, search
 from rasterspark.queries import _STATUS, FILL, PALETTE, PX, _fills, _jobs, _palette, _px, _px_sql, _sums, _sums_sql, _t, query
@@ -383,23 +383,22 @@ def remap_palette(spark, d):
 
 
 _MOVED = """{0} AS (SELECT c.image_id, c.idx, {means} FROM {1} c LEFT JOIN (SELECT image_id, idx, {sums} FROM
- (SELECT d.*, k.idx FROM dc d JOIN {1} k ON k.image_id = d.image_id QUALIFY row_number() OVER (PARTITION BY d.image_id, d.cr, d.cg, d.cb, d.ca ORDER BY round(pow(d.cr - k.cr, 2) + pow(d.cg - k.cg, 2) + pow(d.cb - k.cb, 2) + pow(d.ca - k.ca, 2), 6), k.idx) = 1) GROUP BY image_id, idx) m
+ (SELECT d.*, k.idx FROM dc d JOIN {1} k ON k.image_id = d.image_id QUALIFY row_number() OVER (PARTITION BY d.image_id, d.r, d.g, d.b, d.a ORDER BY round(pow(d.cr - k.cr, 2) + pow(d.cg - k.cg, 2) + pow(d.cb - k.cb, 2) + pow(d.ca - k.ca, 2), 6), k.idx) = 1) GROUP BY image_id, idx) m
  ON m.image_id = c.image_id AND m.idx = c.idx)"""
 
 
 def _moved(name: str, before: str) -> str:
-    return _MOVED.format(name, before, means=", ".join(f"coalesce(m{c}, c.c{c}) AS c{c}" for c in "rgba"), sums=", ".join(f"sum(c{c} * n) / sum(n) AS m{c}" for c in "rgba"))
+    return _MOVED.format(name, before, means=", ".join(f"coalesce(m{c}, c.c{c}) AS c{c}" for c in "rgba"), sums=", ".join(f"sum({c} * a * n) / sum(n) / 255 * {w}::DOUBLE AS m{c}" if c != "a" else f"sum(a * n) / sum(n) * {w}::DOUBLE AS ma" for c, w in WEIGHTS.items()))
 
 
 _SPACE = "{0}r * ({0}a / 255) * 0.6378::DOUBLE AS cr, {0}g * ({0}a / 255) * 2.1456::DOUBLE AS cg, {0}b * ({0}a / 255) * 0.2166::DOUBLE AS cb, {0}a * 1.5::DOUBLE AS ca"
 
 
-@query(PALETTE + ", dc AS (SELECT image_id, sum(n) AS n, cr, cg, cb, ca FROM (SELECT image_id, n, " + _SPACE.format("") + " FROM col) GROUP BY image_id, cr, cg, cb, ca), k0 AS (SELECT image_id, idx, " + _SPACE.format("") + " FROM pal), " + ", ".join((_moved("k1", "k0"), _moved("k2", "k1"), _moved("k3", "k2")))
-       + " SELECT image_id, idx, " + ", ".join(f"round(c{c}, 4) AS c{c}" for c in "rgba") + " FROM k3")
+@query(PALETTE + ", dc AS (SELECT image_id, n, r, g, b, a, " + _SPACE.format("") + " FROM col), k0 AS (SELECT image_id, idx, " + _SPACE.format("") + " FROM pal), " + ", ".join((_moved("k1", "k0"), _moved("k2", "k1"), _moved("k3", "k2")))
+       + " SELECT image_id, idx, cr, cg, cb, ca FROM k3")
 def kmeans_three(spark, d):
-    colours = coordinates(_px(spark, d).groupBy("image_id", "r", "g", "b", "a").agg(F.count("*").alias("n"))).select("image_id", *quantize.COORDS, "n")
-    found = quantize.lloyd(colours, coordinates(_palette(spark, d)).select("image_id", "idx", *quantize.COORDS))
-    return found.select("image_id", "idx", *(F.round(c, 4).alias(c) for c in quantize.COORDS))
+    colours = coordinates(_px(spark, d).groupBy("image_id", "r", "g", "b", "a").agg(F.count("*").alias("n"))).select("image_id", *"rgba", *quantize.COORDS, "n")
+    return quantize.lloyd(colours, coordinates(_palette(spark, d)).select("image_id", "idx", *quantize.COORDS))
 
 
 @query()
@@ -474,7 +473,7 @@ def process_images(spark, d):
     px = _px(spark, d)
     sources = _t(spark, d, "part").select(F.col("p_partkey").cast("long").alias("image_id"), F.lit("png").alias("source_format"))
     _, rows = process.process(px, sources, options)
-    return rows.withColumns({c: F.concat_ws(",", c) for c in ("warnings", "primary", "fallback")}).withColumn("region", F.to_json("region"))
+    return rows.drop("source_format", "has_alpha", "unique_colors").withColumns({c: F.concat_ws(",", c) for c in ("warnings", "primary", "fallback")}).withColumn("region", F.to_json("region"))
 
 
 @query(PX + """, t AS (SELECT image_id, w, h, CASE WHEN w <= 6 AND h <= 6 THEN w ELSE CAST(greatest(1, floor(w * least(1, 6::DOUBLE / greatest(w, h)) + 0.5)) AS INTEGER) END AS tw,

@@ -75,7 +75,7 @@ def test_selection_cases(spark):
     assert not one(spark, geometry.aspect_differs(F.lit(1000), F.lit(1000), F.lit(1004), F.lit(1000)))
     roots = spark.createDataFrame([(1, "SLICE", False, None), (2, "GROUP", True, None), (3, "LINE", False, "locked"), (4, "TEXT", False, None)], "root long, kind string, has_children boolean, problem string")
     fills = spark.createDataFrame([(4,), (4,)], "root long")
-    assert {(r.root, r.reason) for r in selection.unsupported(roots, fills).collect()} == {(1, "Slices cannot contain images"), (2, "Contains no image fills"), (3, "locked")}
+    assert {(r.root, r.reason) for r in selection.unsupported(roots, fills).collect()} == {(1, "a slice holds no image"), (2, "no layer inside has an image"), (3, "locked")}
 
 
 def test_job_state(spark):
