@@ -32,7 +32,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B**i and B**-i for i < n (at least), kept between calls."""
-    if len(_powers.get("up", ())) < n:
+    if "up" not in _powers or len(_powers["up"]) < n:
         size = max(1 << 21, n)
         for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             values = np.full(size, base, np.uint64)

@@ -15,6 +15,10 @@ places are repeats. These hashes are BLAKE2b digests of 128 bits of the window's
 different words are not taken for equal: the anchors' cheap polynomial hashes only propose. The
 places come back to their documents, whose words covered by a repeat go.
 
+A text of over `BLOCK` bytes is read block by block, cut between words, with the last words of a block carried
+into the next, so besides the text itself a task holds one block and the places found so far. A word of over
+`BLOCK` bytes stands for its digest there.
+
 Hashes travel as packed arrays, one row for each batch and bucket of hash values, in as many buckets
 as the text needs for a bucket to fit in memory. A batch first groups its own hashes: of a hash that
 it holds often, one place (the earliest) goes to the hash's bucket; the others are already known to be
@@ -25,12 +29,13 @@ texts pass through tasks as streams of rows and are never gathered.
 Null texts have no words; texts of fewer words than a window keep all. Identical rows count as one
 document: none is earlier than the other, and both get the same result. Rows with one doc_id but
 different texts are judged together too: what is a repeat at a place of one goes at that place of
-all. Rows with a null doc_id take no part and keep everything.
+all. Rows with a null doc_id take no part and keep everything. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +47,39 @@ from rasterspark.llm.hashing import byte_values, mix, prefix, spans, windows, wo
 
 PERIOD, COVER, RUN = 13, (0, 1, 3, 9), 8
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
+BLOCK = 1 << 20
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def word_blocks(text: bytes):
+    """The words of a text, in lists of about BLOCK bytes."""
+    start = 0
+    while start < len(text):
+        cut = _SPACE.search(text, min(start + BLOCK, len(text)))
+        end = cut.start() if cut else len(text)
+        yield text[start:end].split()
+        start = end
+
+
+def carried(text: bytes, width: int):
+    """(number of the first word, words) by blocks, each after the last width - 1 words of the one before: every
+    window of that width lies in exactly one of them.
+    """
+    held, base = [], 0
+    for words in word_blocks(text):
+        held += words
+        yield base, held
+        keep = held[max(0, len(held) - width + 1) :]
+        base, held = base + len(held) - len(keep), keep
+
+
+def near(places: np.ndarray, before: int, after: int, start: int, end: int) -> np.ndarray:
+    """Which of the numbers from start to end lie within [p - before, p + after] of one of the sorted places."""
+    own = places[np.searchsorted(places, start - after) : np.searchsorted(places, end + before)].astype(np.int64)
+    edge = np.zeros(end - start + 1, np.int32)
+    np.add.at(edge, np.maximum(own - before - start, 0), 1)
+    np.add.at(edge, np.minimum(own + after + 1 - start, end - start), -1)
+    return np.cumsum(edge)[:-1] > 0
 
 
 class Words:
@@ -142,9 +180,9 @@ def _ids(batch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def listed(batch: pa.RecordBatch, row: int) -> np.ndarray:
-    """The places that were joined to a row; none if there is no such row."""
+    """The places that were joined to a row, in order; none if there is no such row."""
     held = batch.column("_listed")[row]
-    return np.ascontiguousarray(np.frombuffer(held.as_py(), np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1) if held.is_valid else np.zeros(0, np.int32)
+    return np.sort(np.ascontiguousarray(np.frombuffer(held.as_py(), np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)) if held.is_valid else np.zeros(0, np.int32)
 
 
 def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -161,15 +199,23 @@ def repeats(docs: DataFrame, width: int = 20) -> DataFrame:
         raise ValueError(f"the cover is made for windows of {PERIOD + RUN - 1} words")
     n = buckets(docs)
 
+    def anchored(w: Words, place: np.ndarray, allowed: np.ndarray, ids: np.ndarray):
+        at = np.flatnonzero(_IN_COVER[place % PERIOD] & (w.left >= RUN) & allowed)
+        return w.of(RUN)[at] >> np.uint64(16), np.zeros(len(at), np.uint64), ids[w.doc[at]], place[at].astype(np.int32)
+
     def anchors(batches):
         for batch in batches:
             texts = texts_of(batch)
             ids, known = _ids(batch)
             found = []
-            for a, b in chunks([len(t) for t in texts]):
-                w = Words(texts[a:b])
-                at = np.flatnonzero(_IN_COVER[w.place % PERIOD] & (w.left >= RUN) & (w.place + w.left >= width) & known[a:b][w.doc] if len(w.hash) else [])
-                found.append((w.of(RUN)[at] >> np.uint64(16), np.zeros(len(at), np.uint64), ids[a:b][w.doc[at]], w.place[at].astype(np.int32)))
+            for a, b in chunks([len(t) for t in texts], BLOCK):
+                if len(texts[a]) <= BLOCK:
+                    w = Words(texts[a:b])
+                    found.append(anchored(w, w.place, (w.place + w.left >= width) & known[a:b][w.doc], ids[a:b]))
+                    continue
+                for base, words in carried(texts[a], RUN) if known[a] else ():
+                    w = Words([b" ".join(x if len(x) <= BLOCK else b"\xff" + hashlib.sha256(x).digest().hex().encode() for x in words)])
+                    yield _dealt(n, *anchored(w, w.place + base, np.ones(len(w.hash), bool), ids[a:b]))
             if found:
                 yield _dealt(n, *(np.concatenate(x) for x in zip(*found)))
 
@@ -180,22 +226,25 @@ def repeats(docs: DataFrame, width: int = 20) -> DataFrame:
                 continue
             ids, _ = _ids(batch)
             texts = batch.column("text")
-            found = []
+            found, held = [], 0
             for i in rows:
-                # joined by one space, windows of equal words are equal bytes
-                words = (texts[i].as_py() or b"").split()
-                end = np.cumsum([len(w) + 1 for w in words]) - 1
-                start = np.concatenate([[0], end[:-1] + 1]) if words else end
-                cover = np.zeros(len(words) + 1, np.int64)  # windows that contain a listed run start 12 words before it at most
-                at = listed(batch, i)
-                at = at[at < len(words)].astype(np.int64)  # a place may come from a longer text of the same doc_id
-                np.add.at(cover, np.maximum(at - (PERIOD - 1), 0), 1)
-                np.add.at(cover, at + 1, -1)
-                at = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
-                at = at[at <= len(words) - width]
-                if len(at):
+                places = listed(batch, i)
+                for base, words in carried(texts[i].as_py() or b"", width):
+                    if len(words) < width:
+                        continue
+                    # windows that contain a listed run start 12 words before it at most; a place may come from a longer text of the same doc_id
+                    at = np.flatnonzero(near(places, PERIOD - 1, 0, base, base + len(words) - width + 1))
+                    if not len(at):
+                        continue
+                    # joined by one space, windows of equal words are equal bytes
+                    end = np.cumsum([len(w) + 1 for w in words]) - 1
+                    start = np.concatenate([[0], end[:-1] + 1])
                     h, g = _digests(b" ".join(words), start[at], end[at + width - 1])
-                    found.append((h, g, np.full(len(at), ids[i]), at.astype(np.int32)))
+                    found.append((h, g, np.full(len(at), ids[i]), (at + base).astype(np.int32)))
+                    held += len(at)
+                    if held >= 1 << 20:
+                        yield _dealt(n, *(np.concatenate(x) for x in zip(*found)))
+                        found, held = [], 0
             if found:
                 yield _dealt(n, *(np.concatenate(x) for x in zip(*found)))
 
@@ -220,18 +269,17 @@ def remove(docs: DataFrame, width: int = 20, with_text: bool = True) -> DataFram
         for batch in batches:
             out = []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                words = (text or b"").split()
-                starts = listed(batch, i)
-                if len(starts):
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    starts = starts[starts < len(words)]
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, np.minimum(starts + width, len(words)), -1)
-                    left = [words[k] for k in np.flatnonzero(np.cumsum(edge)[:-1] == 0)]
-                else:
-                    left = words
-                joined = b" ".join(left)
-                out.append((len(words), len(words) - len(left), hashlib.sha256(joined).hexdigest(), joined if len(left) < len(words) else text))
+                starts, sha, parts, total, left = listed(batch, i), hashlib.sha256(), [], 0, 0
+                for words in word_blocks(text or b""):
+                    stay = words
+                    if len(starts):
+                        stay = [words[k] for k in np.flatnonzero(~near(starts, 0, width - 1, total, total + len(words)))]
+                    total, left = total + len(words), left + len(stay)
+                    if stay:
+                        part = b" " * bool(parts) + b" ".join(stay)
+                        sha.update(part)
+                        parts.append(part if with_text else b" ")
+                out.append((total, total - left, sha.hexdigest(), b"".join(parts) if left < total else text))
             n, gone, sha, text = zip(*out) if out else ((), (), (), ())
             columns = [*(batch.column(c) for c in others), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
             if with_text:

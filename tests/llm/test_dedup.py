@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from rasterspark.llm import components, simhash, substring_dedup, suffix_dedup
+from rasterspark.llm import components, hashing, simhash, substring_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -272,3 +272,43 @@ def test_keep_one_keeps_one_row_of_repeated_and_null_ids(spark):
     rows = [(1, text), (1, text), (None, text), (None, "other words " * 9), (None, "other words " * 9), (2, ""), (3, None)]
     got = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id or -1, r.text) for r in got) == [(-1, "other words " * 9), (1, text), (2, "")]
+
+
+def test_texts_without_words_in_a_fresh_worker(monkeypatch):
+    monkeypatch.setattr(hashing, "_powers", {})
+    for texts in ([b""], [b" \n"], [b"", b""]):
+        monkeypatch.setattr(hashing, "_powers", {})
+        w = substring_dedup.Words(texts)
+        assert len(w.hash) == len(w.of(8)) == 0
+    monkeypatch.setattr(hashing, "_powers", {})
+    assert len(hashing.prefix(np.zeros(0, np.uint64))) == 1 and len(hashing.windows(np.zeros(1, np.uint64), 3)) == 0
+
+
+@pytest.mark.parametrize("block", [1, 40, 300])
+def test_words_by_blocks(monkeypatch, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    rng = random.Random(block)
+    for text in (b"", b" \n", b"one", b"x" * 500, b"  ".join([b"same"] * 60), b" ".join(bytes(rng.choices(b"abc", k=rng.randint(1, 400))) for _ in range(50)) + b" "):
+        words = text.split()
+        assert [w for held in substring_dedup.word_blocks(text) for w in held] == words
+        for width in (1, 3, 20):
+            windows = [(base + i, own[i : i + width]) for base, own in substring_dedup.carried(text, width) for i in range(len(own) - width + 1)]
+            assert windows == [(i, words[i : i + width]) for i in range(len(words) - width + 1)]
+    places = np.array(sorted(rng.sample(range(1000), 40)), np.int32)
+    for before, after in ((12, 0), (0, 19), (3, 3)):
+        for start, end in ((0, 1000), (100, 130), (990, 1100), (5, 5)):
+            assert substring_dedup.near(places, before, after, start, end).tolist() == [any(p - before <= i <= p + after for p in places.tolist()) for i in range(start, end)]
+
+
+def test_long_texts_and_words(spark):
+    """Texts and a word of over a block (1 MB), with passages that repeat in short texts too, across the cuts."""
+    rng = random.Random(8)
+    fill = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, giant = [f"s{i}" for i in range(30)], "x" * (1 << 20) + "y"
+    long_text = sum((fill(9_000) + shared[rng.randrange(8) :] for _ in range(40)), [])
+    texts = [" ".join(fill(30) + shared), " ".join(long_text), " ".join([*fill(25), giant, *shared]), "\n".join([*fill(10), giant, *shared]), None, " ", " ".join(long_text[-500:])]
+    rows = list(enumerate(texts))
+    df = substring_dedup.remove(spark.createDataFrame(rows, SCHEMA)).cache()
+    same_by_id(df, brute_words(rows), "n_words", "n_removed", "kept_sha256")
+    got = df.collect()
+    assert all(hashlib.sha256(" ".join((r.text or "").split()).encode()).hexdigest() == r.kept_sha256 for r in got)
