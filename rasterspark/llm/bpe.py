@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterspark.llm.common import buckets, scratch
+from rasterspark.llm.common import buckets, pack, scratch
 
 #: Whole alphabets that no version of Unicode has added to or reclassed since 5.2.
 _SAFE = [*range(0x530), *range(0x1E00, 0x1F00), *range(0x2000, 0x2065)]
@@ -159,11 +159,28 @@ def pieces_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(values, "<u4").tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+    """Whole numbers below 2**32: all their first bytes, then all second ones and so on, compressed."""
+    return pa.compress(pack(np.asarray(values).astype("<u4")), codec="zstd", asbytes=True) if len(values) else b""
 
 
 def _unpacked(held: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(held, 4 * n, codec="zstd", asbytes=True), "<u4") if n else np.zeros(0, np.uint32)
+    if not n:
+        return np.zeros(0, np.uint32)
+    planes = np.frombuffer(pa.decompress(held, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
+def _packed_words(units: list[str]) -> tuple[bytes, int, bytes]:
+    """Units as one compressed text, its size, and their lengths."""
+    data = [u.encode() for u in units]
+    whole = b"".join(data)
+    return pa.compress(whole, codec="zstd", asbytes=True) if whole else b"", len(whole), _packed(np.array([len(x) for x in data]))
+
+
+def _unpacked_words(held: bytes, size: int, lengths: bytes, n: int) -> list[str]:
+    whole = pa.decompress(held, size, codec="zstd", asbytes=True) if size else b""
+    ends = np.cumsum(_unpacked(lengths, n).astype(np.int64)).tolist()
+    return [whole[a:b].decode() for a, b in zip([0, *ends], ends)]
 
 
 CHUNKS = "chunk long, docs array<long>, lengths array<long>, codes binary, units array<string>"
@@ -212,16 +229,16 @@ def _chunked(docs: DataFrame, column: str, blocks_of, size_of, limit: int) -> Da
         if held.docs:
             yield held.row(number)
 
-    return scratch(docs.select(F.col("doc_id").cast("long"), column).mapInArrow(run, CHUNKS))
+    return scratch(docs.select(F.col("doc_id").cast("long"), column).mapInArrow(run, CHUNKS), "zstd")
 
 
-def split(docs: DataFrame, path: str, chunk_bytes: int = 8 << 20) -> DataFrame:
+def split(docs: DataFrame, path: str, chunk_bytes: int = 16 << 20) -> DataFrame:
     """documents (doc_id, text) -> chunks."""
     return _chunked(docs.withColumn("text", F.col("text").cast("string")), "text", lambda t: vocabulary(path).split(t or ""), lambda t: len(t or ""), chunk_bytes)
 
 
 def encoded_units(chunks: DataFrame, path: str, n: int) -> DataFrame:
-    """chunks -> (chunk, counts, ids): the ids of its units one after the other, and how many each has.
+    """chunks -> (chunk, n, counts, n_ids, ids, distinct_ids): the ids of its units one after the other, and how many each has, packed.
 
     n: buckets of words; each holds the words of one hash value modulo n, of all chunks.
     """
@@ -231,36 +248,43 @@ def encoded_units(chunks: DataFrame, path: str, n: int) -> DataFrame:
         for batch in batches:
             for chunk, units in zip(batch.column("chunk").to_pylist(), batch.column("units").to_pylist()):
                 where = np.array([xxhash.xxh64_intdigest(u.encode()) % n for u in units], np.int64)
+                rows = []
                 for b in np.unique(where).tolist():
                     at = np.flatnonzero(where == b)
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk], pa.int64()), pa.array([_packed(at)], pa.binary()), pa.array([[units[i] for i in at.tolist()]], pa.list_(pa.string()))],
-                                                     names=["bucket", "chunk", "at", "units"])
+                    rows.append((b, chunk, len(at), _packed(np.diff(at, prepend=0)), *_packed_words([units[i] for i in at.tolist()])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(dealt), dealt)], schema=dealt)
 
     def encode(group: pa.Table) -> pa.Table:
         known, own = {}, vocabulary(path)
         out = []
-        for chunk, at, units in zip(group.column("chunk").to_pylist(), group.column("at").to_pylist(), group.column("units")):
+        for r in group.select(["chunk", "n", "at", "words", "size", "lengths"]).to_pylist():
             ids = []
-            for u in units.as_py():
+            for u in _unpacked_words(r["words"], r["size"], r["lengths"], r["n"]):
                 if (found := known.get(u)) is None:
                     found = known[u] = own.encode(u)
                 ids.append(found)
-            out.append((chunk, len(ids), at, _packed(np.array([len(x) for x in ids])), sum(map(len, ids)), _packed(np.array([i for x in ids for i in x]))))
-        return pa.table(dict(zip(("chunk", "n", "at", "counts", "n_ids", "ids"), map(list, zip(*out)))), pa.schema(kinds))
+            out.append((r["chunk"], len(ids), r["at"], _packed(np.array([len(x) for x in ids])), sum(map(len, ids)), _packed(np.array([i for x in ids for i in x]))))
+        return pa.table(dict(zip(encoded.names, map(list, zip(*out)))), encoded)
 
     def gather(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        at = np.concatenate([_unpacked(r["at"], r["n"]) for r in rows])
+        at = np.concatenate([np.cumsum(_unpacked(r["at"], r["n"]).astype(np.int64)) for r in rows])
         counts = np.concatenate([_unpacked(r["counts"], r["n"]) for r in rows]).astype(np.int64)
         ids = np.concatenate([_unpacked(r["ids"], r["n_ids"]) for r in rows])
         order = np.argsort(at)
         ids = ids[_positions(np.cumsum(counts) - counts, counts, order)]
-        return pa.table({"chunk": pa.array([rows[0]["chunk"]], pa.int64()), "counts": pa.array([counts[order].astype(np.int32)], pa.list_(pa.int32())), "ids": pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))})
+        return pa.table({"chunk": [rows[0]["chunk"]], "n": [len(order)], "counts": [_packed(counts[order])], "n_ids": [len(ids)], "ids": [_packed(ids)], "distinct_ids": [np.unique(ids).astype(np.int32)]}, gathered)
+
+    big, raw = pa.int64(), pa.binary()
+    dealt = pa.schema([("bucket", pa.int32()), ("chunk", big), ("n", big), ("at", raw), ("words", raw), ("size", big), ("lengths", raw)])
+    encoded = pa.schema([("chunk", big), ("n", big), ("at", raw), ("counts", raw), ("n_ids", big), ("ids", raw)])
+    gathered = pa.schema([("chunk", big), ("n", big), ("counts", raw), ("n_ids", big), ("ids", raw), ("distinct_ids", pa.list_(pa.int32()))])
+    rows = chunks.select("chunk", "units").mapInArrow(deal, "bucket int, chunk long, n long, at binary, words binary, size long, lengths binary")
+    found = rows.groupBy("bucket").applyInArrow(encode, "chunk long, n long, at binary, counts binary, n_ids long, ids binary")
+    return scratch(found.groupBy("chunk").applyInArrow(gather, UNITS), "zstd")
 
-    kinds = [("chunk", pa.int64()), ("n", pa.int64()), ("at", pa.binary()), ("counts", pa.binary()), ("n_ids", pa.int64()), ("ids", pa.binary())]
-    dealt = chunks.select("chunk", "units").mapInArrow(deal, "bucket int, chunk long, at binary, units array<string>")
-    found = dealt.groupBy("bucket").applyInArrow(encode, "chunk long, n long, at binary, counts binary, n_ids long, ids binary")
-    return scratch(found.groupBy("chunk").applyInArrow(gather, "chunk long, counts array<int>, ids array<int>"))
+
+UNITS = "chunk long, n long, counts binary, n_ids long, ids binary, distinct_ids array<int>"
 
 
 def _positions(start: np.ndarray, counts: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -271,8 +295,8 @@ def _positions(start: np.ndarray, counts: np.ndarray, order: np.ndarray) -> np.n
 
 
 def joined_pieces(units: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(chunk, ids) -> (chunk, names): the id and piece of every distinct id of a chunk; ids without a piece have none."""
-    wanted = units.select("chunk", F.explode(F.array_distinct("ids")).alias("id"))
+    """(chunk, distinct_ids) -> (chunk, names): the id and piece of every distinct id of a chunk; ids without a piece have none."""
+    wanted = units.select("chunk", F.explode("distinct_ids").alias("id"))
     return wanted.join(F.broadcast(pieces), "id").groupBy("chunk").agg(F.collect_list(F.struct("id", "piece")).alias("names"))
 
 
@@ -285,8 +309,8 @@ def _assembled(held: DataFrame, digests: bool, with_ids: bool, with_text: bool)
                 row = {c: batch.column(c)[r] for c in batch.schema.names}
                 lengths = row["lengths"].as_py()
                 codes = _unpacked(row["codes"].as_py(), sum(lengths))
-                counts = row["counts"].values.to_numpy().astype(np.int64) if row["counts"].is_valid else np.zeros(0, np.int64)
-                ids = row["ids"].values.to_numpy() if row["ids"].is_valid else np.zeros(0, np.int32)
+                counts = _unpacked(row["counts"].as_py(), row["n"].as_py() or 0).astype(np.int64)
+                ids = _unpacked(row["ids"].as_py(), row["n_ids"].as_py() or 0).view(np.int32)
                 start = np.cumsum(counts) - counts
                 listed = ids.tolist() if digests or with_text else []
                 ends = list(zip(start.tolist(), (start + counts).tolist()))
@@ -337,15 +361,24 @@ def _lots(lengths: list[int], limit: int = 1 << 20):
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_tokens, ids."""
     chunks = split(docs, path)
-    return _assembled(chunks.drop("units").join(encoded_units(chunks, path, buckets(docs)), "chunk", "left"), False, True, False)
+    units = encoded_units(chunks, path, buckets(docs)).drop("distinct_ids")
+    return _assembled(chunks.drop("units").join(units, "chunk", "left"), False, True, False)
 
 
 def decode(encoded: DataFrame, path: str, chunk_ids: int = 1 << 21) -> DataFrame:
     """(doc_id, ids) -> doc_id, decoded: the pieces joined by a space, as the library does without a decoder; ids of no piece are left out, null ids are none."""
     own = encoded.withColumn("ids", F.coalesce(F.col("ids").cast("array<int>"), F.array().cast("array<int>")))
     chunks = _chunked(own, "ids", lambda ids: [list(map(str, ids))], lambda ids: 1 + len(ids), chunk_ids)
-    units = chunks.select("chunk", F.col("units").cast("array<int>").alias("ids"), F.array_repeat(F.lit(1), F.size("units")).alias("counts"))
-    held = chunks.drop("units").join(units, "chunk").join(joined_pieces(units, pieces_table(encoded.sparkSession, path)), "chunk", "left")
+
+    def numbers(batches):
+        for batch in batches:
+            for chunk, units in zip(batch.column("chunk").to_pylist(), batch.column("units").to_pylist()):
+                ids = np.array(units, np.int32)
+                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "n": [len(ids)], "counts": [_packed(np.ones(len(ids)))], "n_ids": [len(ids)], "ids": [_packed(ids.view(np.uint32))], "distinct_ids": [ids]})
+
+    units = chunks.select("chunk", "units").mapInArrow(numbers, UNITS)
+    names = joined_pieces(units, pieces_table(encoded.sparkSession, path))
+    held = chunks.drop("units").join(units.drop("distinct_ids"), "chunk").join(names, "chunk", "left")
     return _assembled(held, False, False, True).select("doc_id", "decoded")
 
 
@@ -354,4 +387,5 @@ def round_trip(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     chunks = split(docs, path)
     units = encoded_units(chunks, path, buckets(docs))
     names = joined_pieces(units, pieces_table(docs.sparkSession, path))
-    return _assembled(chunks.drop("units").join(units, "chunk", "left").join(names, "chunk", "left"), digests, not digests, True)
+    held = chunks.drop("units").join(units.drop("distinct_ids"), "chunk", "left").join(names, "chunk", "left")
+    return _assembled(held, digests, not digests, True)

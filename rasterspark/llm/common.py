@@ -34,10 +34,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scratch(df: DataFrame) -> DataFrame:
+def scratch(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

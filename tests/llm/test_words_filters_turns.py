@@ -35,9 +35,16 @@ def test_words_encode_as_the_library(library):
         assert [i for block in own.split(text) for u in block for i in own.encode(u)] == held.ids
 
 
-def test_round_trip_of_a_table(spark, library, monkeypatch):
-    monkeypatch.setattr(bpe, "BLOCK", 50)
-    texts = [None, "", " \n", "Hello hello it's <|endoftext|>!", "é" * 300, "word " * 40_000, "x y" * 500, "日本 㐀 " * 200, "Hello hello it's <|endoftext|>!"]
+def test_blocks_of_a_text(library, monkeypatch):
+    own = bpe.Vocabulary(WORDS)
+    for block in (1, 7, 50):
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        for text in ("Hello it's  <|endoftext|> we'll\n\nsee! " * 9, "日本 㐀\u3000b " * 30, "é" * 300, " " * 99):
+            assert [i for held in own.split(text) for u in held for i in own.encode(u)] == library.encode(text, add_special_tokens=False).ids
+
+
+def test_round_trip_of_a_table(spark, library):
+    texts = [None, "", " \n", "Hello hello it's <|endoftext|>!", "é" * 300, "word " * 300_000, "x y" * 500, "日本 㐀 " * 200, "Hello hello it's <|endoftext|>!"]
     rows = [(i if i != 2 else None, t, "x", 1) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, chunk int")
     full = {r.doc_id: r for r in bpe.round_trip(docs, WORDS).collect()}
