@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from rasterspark.operators import snapshot
 from rasterspark.plans import delivery, process, rounds, segmentation
 from rasterspark.queries import _px, _t, query
 from rasterspark.queries_plans import _CURVE, _curves
@@ -161,3 +163,50 @@ def cut_out_images(spark, d):
     options = process.Options(padding=1, max_width=9, max_height=9, format="auto")
     _, rows = process.process(px, sources, options, segment=segment)
     return rows.select("image_id", "status", "error", "width", "height", "cropped", "background_removed", "resized", "format", F.array_join("warnings", "; ").alias("warnings"), F.to_json("region").alias("region"))
+
+
+# one snapshot of a selection
+
+_TREE = """f AS (SELECT *, l_orderkey * 64 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS node, l_partkey * 7 % 5 AS place FROM lineitem),
+nodes AS (SELECT o_orderkey * 64 AS node, CAST(NULL AS BIGINT) AS parent, o_orderkey * 31 % 1009 AS place, FALSE AS mixed, o_orderkey % 5 AS k, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS ch FROM orders
+ UNION ALL SELECT node, CASE WHEN node % 64 = 1 THEN node - 1 ELSE node // 64 * 64 + node % 64 // 2 END, place, l_discount = 0.1, 9, FALSE FROM f),
+t(node, root, path) AS (SELECT node, node, [[place, node]] FROM nodes WHERE parent IS NULL UNION ALL SELECT n.node, t.root, list_append(t.path, [n.place, n.node]) FROM t JOIN nodes n ON n.parent = t.node),
+w AS (SELECT node, root, nth FROM (SELECT node, root, row_number() OVER (ORDER BY path) - 1 AS nth FROM t) WHERE nth < 5000),
+fills AS (SELECT node, CASE WHEN l_quantity > 40 THEN 'IMAGE' WHEN l_quantity < 5 THEN 'VIDEO' ELSE 'SOLID' END AS type, CASE WHEN l_tax <> 0.08 THEN l_partkey END AS hash FROM f),
+s AS (SELECT w.*, mixed, type, hash FROM w JOIN nodes USING (node) LEFT JOIN fills USING (node)),
+img AS (SELECT * FROM s WHERE NOT mixed AND type = 'IMAGE' AND hash IS NOT NULL),
+pr AS (SELECT root, arg_min(CASE WHEN mixed THEN 'mixed fills' WHEN type = 'VIDEO' THEN 'a video fill' ELSE 'an image without data' END, nth) AS problem FROM s WHERE mixed OR type = 'VIDEO' OR (type = 'IMAGE' AND hash IS NULL) GROUP BY root),
+un AS (SELECT node AS root, CASE WHEN problem IS NOT NULL THEN problem WHEN ch THEN 'no layer inside has an image' WHEN k = 0 THEN 'a slice holds no image' WHEN k = 1 THEN 'text that no image fills' ELSE 'no image fills it' END AS reason
+ FROM nodes LEFT JOIN pr ON pr.root = nodes.node WHERE parent IS NULL AND node NOT IN (SELECT root FROM img))"""
+
+
+def _snapshot(spark, d):
+    line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")
+    f = _t(spark, d, "lineitem").withColumn("i", F.row_number().over(line)).withColumn("node", F.col("l_orderkey") * 64 + F.col("i"))
+    o, q = F.col("o_orderkey"), F.col("l_quantity")
+    held = f.select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("has_children", F.lit(True))
+    kind = F.when(o % 5 == 0, "SLICE").when(o % 5 == 1, "TEXT").otherwise("FRAME")
+    roots = _t(spark, d, "orders").join(held, "o_orderkey", "left").select((o * 64).alias("node"), F.lit(None).cast("long").alias("parent"), (o * 31 % 1009).alias("place"), kind.alias("kind"), F.lit(False).alias("mixed"), F.coalesce("has_children", F.lit(False)).alias("has_children"))
+    parent = F.when(F.col("i") == 1, F.col("node") - 1).otherwise(F.col("l_orderkey") * 64 + F.floor(F.col("i") / 2).cast("int"))
+    lines = f.select("node", parent.cast("long").alias("parent"), (F.col("l_partkey") * 7 % 5).alias("place"), F.lit("RECT").alias("kind"), (F.col("l_discount") == 0.1).alias("mixed"), F.lit(False).alias("has_children"))
+    nodes = roots.unionByName(lines).withColumns({"name": F.col("kind"), "width": F.lit(400), "height": F.lit(200)})
+    fills = f.select("node", F.lit(0).alias("idx"), F.when(q > 40, "IMAGE").when(q < 5, "VIDEO").otherwise("SOLID").alias("type"), F.when(F.col("l_tax") != 0.08, F.col("l_partkey")).alias("hash"), F.lit(0).alias("rotation"))
+    sizes = _t(spark, d, "part").filter("p_size <= 40").select(F.col("p_partkey").alias("hash"), (F.col("p_size") * 10).alias("width"), (F.col("p_size") * 10).alias("height"))
+    return snapshot.snapshot(nodes, fills, sizes)
+
+
+@query("WITH RECURSIVE " + _TREE + """ SELECT CAST((SELECT count(*) FROM w) AS BIGINT) AS scanned, (SELECT count(*) FROM t) > 5000 AS truncated, count(DISTINCT (hash, p_size <= 40)) AS images, count(*) AS targets,
+ count(DISTINCT hash) FILTER (p_size <= 40) AS cropped, (SELECT count(*) FROM un) AS unsupported FROM img LEFT JOIN part ON p_partkey = hash""")
+def snapshot_totals(spark, d):
+    """A layer of 2 to 1 over square images: those of known size are cropped."""
+    return _snapshot(spark, d)[2]
+
+
+@query("WITH RECURSIVE " + _TREE + " SELECT root, reason FROM un")
+def snapshot_unsupported(spark, d):
+    return _snapshot(spark, d)[1].select("root", "reason")
+
+
+@query("WITH RECURSIVE " + _TREE + """ SELECT hash, count(*) AS targets, arg_min(node, nth) AS first_node FROM img GROUP BY hash""")
+def snapshot_images(spark, d):
+    return _snapshot(spark, d)[0].select("hash", F.size("targets").cast("long").alias("targets"), F.get("targets", F.lit(0)).alias("first_node"))
