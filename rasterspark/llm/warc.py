@@ -8,8 +8,10 @@ in order, repeated ones included. `write` and `parse` are exact inverses for sin
 WARC/1.1 format, `record_headers` and `record_fields` for what a derivative keeps of its source.
 
 The text is made by one forward scan over the page, linear in its length whatever it holds. Bodies
-with chunked transfer or gzip or deflate content encoding are decoded; one that can't be, or that
-unpacks to more than `MOST` bytes, is taken as it is. Digests are of the bytes as archived.
+with chunked transfer or gzip (all members) or deflate content encoding are decoded, whatever they unpack
+to; one that can't be is taken as it is. A task holds one body and its text at a time. Lines of a head may
+end in LF alone; a response without an empty line after its head is all body. Digests are of the bytes
+as archived.
 
 A null block counts as empty; a null URI leaves WARC-Target-URI out. Rows that repeat an id are each
 derived and get the same derivative ids; where the id is null, ids come from URI and digest. An
@@ -37,8 +39,8 @@ _BLOCK = set("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article nav h
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 _SPACE = re.compile(r"[ \t\r\f\v\xa0]+")
-#: The most bytes that an encoded body may unpack to.
-MOST = 1 << 28
+_TAG_PART = re.compile(r"[>\"']")
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
 
 
 def digest(data: bytes) -> str:
@@ -53,7 +55,8 @@ def scan(page: str) -> tuple[str, str]:
     """(text, title) of an HTML page: scripts, styles and comments dropped, blocks on lines of their own.
 
     Every find starts where the last one ended, and what was not found once is not looked for again.
-    An element or comment that is never closed runs to the end of the page; a "<" that begins no tag is text.
+    An element or comment that is never closed runs to the end of the page; a "<" that begins no tag is text. A ">"
+    inside a quoted attribute value does not end its tag.
     """
     low = page.lower()
     if len(low) != len(page):  # some capitals become two characters
@@ -68,6 +71,15 @@ def scan(page: str) -> tuple[str, str]:
             none.add(what)
         return found
 
+    def tag_end(start):
+        """Where the tag that starts there ends; a quote counts after "=", and if it is closed."""
+        place = start
+        while (part := _TAG_PART.search(low, place)) and part[0] != ">":
+            before, place = low[place : part.start()], part.end()
+            if before.rstrip()[-1:] == "=" and (close := find(part[0], place)) >= 0:
+                place = close + 1
+        return part.start() if part else -1
+
     while True:
         start = find("<", at)
         if start < 0:
@@ -75,11 +87,13 @@ def scan(page: str) -> tuple[str, str]:
             break
         parts.append(page[at:start])
         if low.startswith("<!--", start):
-            end = find("-->", start + 4)
+            end = find("-->", start + 2)
             at = len(page) if end < 0 else end + 3
         else:
             tag = _NAME.match(low, start)
-            end = find(">", start) if tag or low.startswith(("<!", "<?"), start) else -1
+            end = -1
+            if (tag or low.startswith(("<!", "<?"), start)) and find(">", start) >= 0:
+                end = tag_end(tag.end()) if tag else find(">", start)
             if end < 0:
                 parts.append("<")
                 at = start + 1
@@ -125,24 +139,32 @@ def _unchunked(body: bytes) -> bytes:
 
 
 def _unpacked(body: bytes, coding: str) -> bytes:
-    for window in ((31,) if coding in ("gzip", "x-gzip") else (15, -15)):
+    gzip = coding in ("gzip", "x-gzip")
+    for window in (31,) if gzip else (15, -15):
         try:
-            made = zlib.decompressobj(window)
-            out = made.decompress(body, MOST)
-            if made.eof:
-                return out
+            out, left = [], body
+            while left:
+                made = zlib.decompressobj(window)
+                out.append(made.decompress(left))
+                if not made.eof:
+                    break
+                left = made.unused_data
+                if not (gzip and left.startswith(b"\x1f\x8b")):  # what follows the last member is padding
+                    return b"".join(out)
         except zlib.error:
             pass
-    raise ValueError(f"not {coding}, cut off, or too large")
+    raise ValueError(f"not {coding}, or cut off")
 
 
 def payload(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
-    """Headers in order (names in lower case) and body of an HTTP response; a block without a status line is all body."""
-    if not block.startswith(b"HTTP/"):
+    """Headers in order (names in lower case) and body of an HTTP response; a block without a status line, or without an
+    empty line, is all body.
+    """
+    end = _HEAD_END.search(block) if block.startswith(b"HTTP/") else None
+    if end is None:
         return [], block
-    head, _, body = block.partition(b"\r\n\r\n")
-    fields = (line.partition(":") for line in head.decode("latin-1").split("\r\n")[1:])
-    return [(k.strip().lower(), v.strip()) for k, _, v in fields], body
+    fields = (line.rstrip("\r").partition(":") for line in block[: end.start()].decode("latin-1").split("\n")[1:])
+    return [(k.strip().lower(), v.strip()) for k, _, v in fields], block[end.end() :]
 
 
 def decoded(fields: list[tuple[str, str]], body: bytes) -> bytes:
