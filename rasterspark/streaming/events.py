@@ -2,7 +2,8 @@
 
 debounce (append mode with `lateness`, else update), latest and job_state (update mode) and answered
 (append mode with `lateness`) are the same code for both. drop_stale needs all events of a key, so
-streams have drop_stale_stream, which keeps the newest generation of each key as state.
+streams have drop_stale_within, which keeps the newest generation of each key until the key has been quiet
+for a horizon, and drop_stale_stream, which keeps it for ever.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from rasterspark.functions.text import sniff_format
 
@@ -54,6 +56,38 @@ def drop_stale_stream(events: DataFrame, key: str, generation: str) -> DataFrame
     return events.groupBy(key).applyInPandasWithState(run, events.schema, f"newest {kinds[generation]}", "append", GroupStateTimeout.NoTimeout)
 
 
+def drop_stale_within(events: DataFrame, key: str, generation: str, horizon_s: int, lateness: str, time: str = "ts") -> DataFrame:
+    """As drop_stale_stream, with state that ends: a key is forgotten once the watermark is `horizon_s` seconds beyond its
+    newest event. What arrives later than the watermark is not judged: it comes out with `late`, so that it can be counted,
+    and changes no state. A key that comes back after it was forgotten begins anew.
+    """
+    kinds = dict(events.dtypes)
+    timed = events.withWatermark(time, lateness).withColumn("_ms", F.unix_millis(time))
+
+    def run(_, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches))
+        late = rows["_ms"] < state.getCurrentWatermarkMs()
+        told = rows.drop(columns="_ms").assign(late=late)
+        if late.any():
+            yield told[late]
+        if late.all():
+            return
+        own = told[~late]
+        newest, seen = own[generation].max(), int(rows["_ms"].max())
+        if state.exists:
+            held, before = state.get
+            if before + 1000 * horizon_s >= state.getCurrentWatermarkMs():  # else it is over, though its time-out comes after this
+                newest, seen = held if pd.isna(newest) else newest if pd.isna(held) else max(newest, held), max(seen, before)
+        state.update((None if pd.isna(newest) else newest, seen))
+        state.setTimeoutTimestamp(max(seen + 1000 * horizon_s, state.getCurrentWatermarkMs() + 1))
+        yield own[own[generation] == newest]
+
+    return timed.groupBy(key).applyInPandasWithState(run, StructType([*events.schema, StructField("late", BooleanType())]), f"newest {kinds[generation]}, seen long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def answered(requests: DataFrame, responses: DataFrame, timeout: str, lateness: str | None = None) -> DataFrame:
     """requests (request_id, ts) with the response's time, if one came within the timeout (left outer join).
 
@@ -92,3 +126,33 @@ def arriving(spark: SparkSession, folder: str, files_a_trigger: int = 1000) -> D
     """
     files = spark.readStream.format("binaryFile").schema(FILE).option("maxFilesPerTrigger", files_a_trigger).option("recursiveFileLookup", "true").load(folder)
     return files.select("path", F.col("modificationTime").alias("arrived"), F.col("length").alias("n_bytes"), sniff_format(F.col("content")).alias("format"), "content")
+
+
+def write_once(folder: str):
+    """What foreachBatch does with assets (name, content): a folder for each micro-batch, `batch=<id>`, that appears whole.
+
+    A batch that is replayed after a crash finds its folder and writes nothing; one that was cut off while writing
+    left hidden files only. The folder is one that all executors share, mounted as a path.
+    """
+    import os
+    import shutil
+
+    from rasterspark.sources.sinks import AssetSink
+
+    def write(batch: DataFrame, number: int) -> None:
+        final = os.path.join(folder, f"batch={number}")
+        if os.path.exists(final):
+            return
+        hidden = os.path.join(folder, f".batch={number}")
+        shutil.rmtree(hidden, ignore_errors=True)  # of an attempt that was cut off; a stream has one writer
+        os.makedirs(hidden)
+        batch.sparkSession.dataSource.register(AssetSink)
+        batch.write.format("assets").mode("append").save(hidden)
+        os.replace(hidden, final)
+
+    return write
+
+
+def deliver(assets: DataFrame, folder: str, checkpoint: str, **trigger):
+    """Starts a stream of assets (name, content) into folders by micro-batch, each written once; trigger as of writeStream."""
+    return assets.select("name", "content").writeStream.foreachBatch(write_once(folder)).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
