@@ -41,6 +41,9 @@ TEMPLATES = [
     ("rights-reserved", "all rights reserved"),
 ]
 
+#: Places of a template whose votes are the bits of one long.
+PART = 63
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,14 +53,14 @@ def words(text: Column) -> Column:
 
 
 def template_table(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
-    """One row for each pair of words of each template; a few hundred rows. place: the bit of the pair's number."""
+    """One row for each pair of words of each template. part, place: the number of the pair, as a group of PART and a bit in it."""
     rows = []
     for number, (text, label, base) in enumerate([(t, x, True) for t, x in phrases] + [(t, x, False) for x, t in templates]):
         w = text.split()
-        if not 2 <= len(w) <= 64:
-            raise ValueError(f"a template has 2 to 64 words: {text}")
-        rows += [(number, label, base, t, 1 << t, len(w) - 1, f"{w[t]} {w[t + 1]}") for t in range(len(w) - 1)]
-    return spark.createDataFrame(rows, "template int, label string, base boolean, t int, place long, grams int, gram string").withColumn("h", F.xxhash64("gram"))
+        if len(w) < 2:
+            raise ValueError(f"a template has 2 words or more: {text}")
+        rows += [(number, label, base, t, t // PART, 1 << t % PART, len(w) - 1, f"{w[t]} {w[t + 1]}") for t in range(len(w) - 1)]
+    return spark.createDataFrame(rows, "template int, label string, base boolean, t int, part int, place long, grams int, gram string").withColumn("h", F.xxhash64("gram"))
 
 
 def _hits(w: Column, pairs: list[str]) -> Column:
@@ -79,19 +82,25 @@ def runs(docs: DataFrame, slack: int = 3, share: float = 0.6, phrases=PHRASES, t
     rolled = each.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.inline_outer(_hits(F.col("w"), pairs))).withColumn("h", F.xxhash64("gram"))
     hits = rolled.join(F.broadcast(template_table(docs.sparkSession, phrases, templates)), ["h", "gram"], "left").repartition("row")
     key = ["row", "doc_id", "n_words", "template", "label", "base", "grams"]
-    votes = hits.groupBy(*key, (F.col("i") - F.col("t")).alias("diagonal")).agg(F.bit_or("place").alias("places"), F.min("i").alias("first"), F.max("i").alias("last"))
+    # a row for each diagonal, its votes by part of the template
+    parts = hits.groupBy(*key, (F.col("i") - F.col("t")).alias("diagonal"), "part").agg(F.bit_or("place").alias("places"), F.min("i").alias("first"), F.max("i").alias("last"))
+    votes = parts.groupBy(*key, "diagonal").agg(F.collect_list(F.struct("part", "places")).alias("parts"), F.sum(F.bit_count("places")).alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
     # single votes for a long template are noise: their rows stay to carry the document
-    counts = F.col("base") | (F.bit_count("places") > 1) | (F.col("grams") < 4)
+    counts = F.col("base") | (F.col("n") > 1) | (F.col("grams") < 4)
     near = Window.partitionBy("row", "template").orderBy("diagonal")
     run = Window.partitionBy("row", "template", "run")
     begun = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(near) > F.least(F.lit(slack), "grams")) | (F.col("first") > F.lag("diagonal").over(near) + F.col("grams"))
-    return (
+    merged = (
         votes.withColumn("template", F.when(counts, F.col("template")))
         .withColumn("new", F.coalesce(begun.cast("int"), F.lit(1)))
         .withColumn("run", F.sum("new").over(near))
         .withColumn("alone", F.when(F.max("last").over(run) + 2 - F.min("first").over(run) > 2 * (F.col("grams") + 1), F.col("diagonal")))
+        .select(*key, "run", "alone", "first", "last", F.inline_outer("parts"))
+    )
+    return (
+        merged.groupBy(*key, "run", "alone", "part").agg(F.bit_count(F.bit_or("places")).alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
         .groupBy(*key, "run", "alone")
-        .agg(F.bit_count(F.bit_or("places")).alias("votes"), F.min("first").alias("start"), (F.max("last") + 2).alias("end"))
+        .agg(F.sum("n").alias("votes"), F.min("first").alias("start"), (F.max("last") + 2).alias("end"))
         .withColumn("share", F.col("votes") / F.col("grams"))
         .withColumn("found", F.col("template").isNotNull() & F.when(F.col("base"), F.col("share") == 1).otherwise(F.col("share") >= share))
         .drop("grams", "run", "alone")

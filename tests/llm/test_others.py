@@ -51,6 +51,23 @@ def test_license_text_is_found_despite_edits(spark):
     assert sorted(r.labels for r in got) == ["", "mit-text", "mit-text"]
 
 
+def test_a_long_license_is_found_despite_edits(spark):
+    """A template of 500 words, with words dropped, put in and changed; half of it is not enough."""
+    rng = np.random.default_rng(5)
+    template = [f"t{x}" for x in rng.integers(0, 400, 500)]
+    edited = [w for i, w in enumerate(template) if i % 37 != 5]
+    for at in range(20, len(edited), 61):
+        edited[at] = "changed"
+    edited[200:200] = ["put", "in"]
+    texts = {1: " ".join(["before"] * 30 + edited + ["after"] * 9), 2: " ".join(template[:240]), 3: " ".join(template), 4: " ".join(template + ["and"] + template), 5: "t1 t2 t3", 6: None}
+    df = frame(spark, list(texts.items()))
+    got = {r.doc_id: r for r in licenses.license_scan(df, templates=[("long", " ".join(template))]).collect()}
+    assert [got[i].labels for i in range(1, 7)] == ["long", "", "long", "long", "", ""] and got[3].score == 1.0 and 0.8 < got[1].score < 1
+    found = licenses.scan(df, templates=[("long", " ".join(template))]).collect()
+    spans = sorted((r.doc_id, r.start, r.end) for r in found)
+    assert [s[0] for s in spans] == [1, 3, 4, 4] and spans[1:] == [(3, 0, 500), (4, 0, 500), (4, 501, 1001)] and abs(spans[0][1] - 30) <= 2 and abs(spans[0][2] - 30 - len(edited)) <= 2
+
+
 def test_license_plan_is_native(spark):
     plan = licenses.license_scan(frame(spark, [(1, "mit license")]).repartition(2))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
