@@ -81,3 +81,14 @@ def report(results: DataFrame) -> DataFrame:
     rows = by_setting(results).filter("preset is not null and format is not null")
     text = F.concat_ws(" | ", "preset", "format", F.col("n").cast("string"), F.col("original").cast("string"), F.col("output").cast("string"), F.format_string("%.1f%%", F.col("reduction") * 100), F.format_string("%.4f", "min_ssim"))
     return rows.select("preset", "format", F.concat(F.lit("| "), text, F.lit(" |")).alias("line"))
+
+
+def benchmark_grid(images: DataFrame, formats: list[str], presets: list[str], only: list[str] | None = None) -> DataFrame:
+    """images (image_id, name, has_alpha) -> a row for each image, format and preset to measure: image_id, name, format, preset.
+
+    only: names of the images that take part. An image with transparency has no JPEG row.
+    """
+    chosen = images if only is None else images.filter(F.col("name").isin(only))
+    forms, quality = (F.array(*map(F.lit, v)).cast("array<string>") for v in (formats, presets))
+    rows = chosen.withColumn("format", F.explode(forms)).withColumn("preset", F.explode(quality))
+    return rows.filter(~((F.col("format") == "jpeg") & F.coalesce("has_alpha", F.lit(False)))).select("image_id", "name", "format", "preset")

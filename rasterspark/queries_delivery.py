@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterspark.operators import snapshot
+from rasterspark.operators import batch, snapshot
 from rasterspark.plans import delivery, process, rounds, segmentation
-from rasterspark.queries import _px, _t, query
+from rasterspark.queries import SQL, _px, _t, query
 from rasterspark.queries_plans import _CURVE, _curves
 from rasterspark.sources import pixels
 
@@ -29,12 +29,15 @@ def _halving(name: str, lo: int, tolerance: int, most: int) -> str:
 {name} AS (SELECT r.image_id, level, bytes, ssim, NOT pruned AND CASE WHEN top AND r.f = 1 THEN ssim >= need - 0.003 ELSE ok END AS passed, pruned FROM {name}r r JOIN c ON c.image_id = r.image_id AND c.l = level AND c.f = r.f)"""
 
 
-@query("WITH RECURSIVE " + _CURVE + """,
+_SEARCH = ("WITH RECURSIVE " + _CURVE + """,
 p1l AS (SELECT image_id, 1e300::DOUBLE AS limit_p1 FROM img),""" + _halving("p1", 70, 2, 7) + """,
 p2l AS (SELECT image_id, bytes * 1.12::DOUBLE AS limit_p2 FROM p1),""" + _halving("p2", 60, 3, 5) + """,
 x AS (SELECT image_id, NOT b.pruned AND CASE WHEN b.passed <> a.passed THEN b.passed WHEN NOT b.passed THEN b.ssim > a.ssim ELSE b.bytes < a.bytes END AS other, a, b FROM p1 a JOIN p2 b USING (image_id)),
 y AS (SELECT image_id, CASE WHEN other THEN 'avif' ELSE 'webp' END AS candidate, CASE WHEN other THEN b.level ELSE a.level END AS level, CASE WHEN other THEN b.bytes ELSE a.bytes END AS bytes, CASE WHEN other THEN b.passed ELSE a.passed END AS passed FROM x)
-SELECT y.image_id, CASE WHEN passed THEN candidate ELSE 'png-lossless' END AS candidate, CASE WHEN passed THEN level ELSE 100 END AS level, CASE WHEN passed THEN bytes ELSE 9000 END AS bytes, TRUE AS passed,
+""")
+
+
+@query(_SEARCH + """SELECT y.image_id, CASE WHEN passed THEN candidate ELSE 'png-lossless' END AS candidate, CASE WHEN passed THEN level ELSE 100 END AS level, CASE WHEN passed THEN bytes ELSE 9000 END AS bytes, TRUE AS passed,
  CAST(n1.asked + n2.asked + CASE WHEN passed THEN 0 ELSE 1 END AS BIGINT) AS measured, CAST(greatest(n1.asked, n2.asked) AS INTEGER) AS most_measured
 FROM y JOIN p1n n1 USING (image_id) JOIN p2n n2 USING (image_id)""")
 def search_rounds(spark, d):
@@ -53,6 +56,10 @@ def search_rounds(spark, d):
     return rounds.compress(images, measure).select("image_id", "best.candidate", "best.level", "best.bytes", "best.passed", "measured", "most_measured")
 
 
+SQL["compress_search"] = _SEARCH + """SELECT image_id, CASE WHEN passed THEN candidate ELSE 'png-lossless' END AS candidate, CASE WHEN passed THEN level ELSE 100 END AS level,
+ CASE WHEN passed THEN bytes ELSE 9000 END AS bytes, TRUE AS passed, CASE WHEN passed THEN 2 ELSE 3 END AS tried, CAST(NULL AS VARCHAR) AS warning FROM y"""
+
+
 def posterised(px, requests):
     """An encoder in column expressions: fewer steps a channel at lower levels; its size follows the runs that are left."""
     step = F.when(F.col("candidate").endswith("-lossless"), 1).otherwise(F.greatest(F.lit(1), F.floor((102 - F.col("level")) / 4))).cast("int")
@@ -210,3 +217,11 @@ def snapshot_unsupported(spark, d):
 @query("WITH RECURSIVE " + _TREE + """ SELECT hash, count(*) AS targets, arg_min(node, nth) AS first_node FROM img GROUP BY hash""")
 def snapshot_images(spark, d):
     return _snapshot(spark, d)[0].select("hash", F.size("targets").cast("long").alias("targets"), F.get("targets", F.lit(0)).alias("first_node"))
+
+
+@query("""WITH i AS (SELECT p_partkey AS image_id, p_brand AS name, p_partkey % 4 <> 3 AS al FROM part)
+SELECT image_id, name, format, preset FROM i, unnest(['png', 'jpeg', 'webp', 'avif']) AS f(format), unnest(['high', 'small']) AS p(preset) WHERE NOT (format = 'jpeg' AND al) AND name IN ('Brand#11', 'Brand#23', 'Brand#45')""")
+def benchmark_grid(spark, d):
+    """What a benchmark measures: chosen images by format and preset, JPEG only where nothing is transparent."""
+    images = _t(spark, d, "part").select(F.col("p_partkey").alias("image_id"), F.col("p_brand").alias("name"), (F.col("p_partkey") % 4 != 3).alias("has_alpha"))
+    return batch.benchmark_grid(images, ["png", "jpeg", "webp", "avif"], ["high", "small"], only=["Brand#11", "Brand#23", "Brand#45"])
