@@ -19,7 +19,8 @@ random vectors of many dimensions, it still compares each query with every row.
 
 Null vectors and vectors with null, NaN or infinite components take no part. Vectors of unequal
 length aren't compared. A query isn't compared with rows of its own vec_id; rows that repeat a
-vec_id each count. Other columns are ignored, whatever their names. An empty table gives an empty one.
+vec_id each count. A query id that repeats is one query, scored by each of its rows: its list holds the k best
+of all of these scores, so a candidate can stand in it once for each row. Other columns are ignored, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
