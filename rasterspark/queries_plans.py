@@ -413,32 +413,69 @@ def quantize_images(spark, d):
 _PAIRS = ["rr", "rg", "rb", "gg", "gb", "bb", "rp", "gp", "bp"]
 
 
-def _box_sql(name: str, source: str, columns) -> str:
-    mean = lambda c, part: f"avg({c}) OVER ({part} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS {c}"
-    return f"""{name}x AS (SELECT image_id, x, y, {', '.join(mean(c, 'PARTITION BY image_id, y ORDER BY x') for c in columns)} FROM {source}),
-{name} AS (SELECT image_id, x, y, {', '.join(mean(c, 'PARTITION BY image_id, x ORDER BY y') for c in columns)} FROM {name}x)"""
+def _box_sql(name: str, source: str, columns, radius: int = 2, kept: str = "") -> str:
+    mean = lambda c, part: f"avg({c}) OVER ({part} ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING) AS {c}"
+    return f"""{name}x AS (SELECT image_id, x, y{kept}, {', '.join(mean(c, 'PARTITION BY image_id, y ORDER BY x') for c in columns)} FROM {source}),
+{name} AS (SELECT image_id, x, y{kept}, {', '.join(mean(c, 'PARTITION BY image_id, x ORDER BY y') for c in columns)} FROM {name}x)"""
 
 
-@query(PX + ", c AS (SELECT image_id, x, y, r / 255 AS r, g / 255 AS g, b / 255 AS b, ((x * 37 + y * 11) % 256) / 255 AS p FROM px), c2 AS (SELECT *, " + ", ".join(f"{k[0]} * {k[1]} AS {k}" for k in _PAIRS) + " FROM c), " + _box_sql("m", "c2", [*"rgbp", *_PAIRS]) + """,
-v AS (SELECT image_id, x, y, r, g, b, p, """ + ", ".join(f"{k} - {k[0]} * {k[1]} + {'1e-2' if k[0] == k[1] else '0'}::DOUBLE AS v{k}" for k in _PAIRS) + """ FROM m),
+def _guided_sql(epsilon: str) -> str:
+    """The guided filter's coefficients of c (image_id, x, y, r, g, b, p) as common tables, the last o."""
+    return "c2 AS (SELECT *, " + ", ".join(f"{k[0]} * {k[1]} AS {k}" for k in _PAIRS) + " FROM c), " + _box_sql("m", "c2", [*"rgbp", *_PAIRS]) + """,
+v AS (SELECT image_id, x, y, r, g, b, p, """ + ", ".join(f"{k} - {k[0]} * {k[1]} + {epsilon if k[0] == k[1] else '0'}::DOUBLE AS v{k}" for k in _PAIRS) + """ FROM m),
 i AS (SELECT *, vgg * vbb - vgb * vgb AS irr, vgb * vrb - vrg * vbb AS irg, vrg * vgb - vgg * vrb AS irb, vrr * vbb - vrb * vrb AS igg, vrb * vrg - vrr * vgb AS igb, vrr * vgg - vrg * vrg AS ibb FROM v),
 d AS (SELECT *, vrr * irr + vrg * irg + vrb * irb AS det FROM i),
 k AS (SELECT image_id, x, y, r, g, b, p, (irr * vrp + irg * vgp + irb * vbp) / det AS kr, (irg * vrp + igg * vgp + igb * vbp) / det AS kg, (irb * vrp + igb * vgp + ibb * vbp) / det AS kb FROM d),
-k2 AS (SELECT image_id, x, y, kr, kg, kb, p - kr * r - kg * g - kb * b AS k FROM k), """ + _box_sql("o", "k2", ["kr", "kg", "kb", "k"]) + " " + _sums_sql("o", "kr", "kg", "kb", "k").replace(", 4)", ", 3)"))
+k2 AS (SELECT image_id, x, y, kr, kg, kb, p - kr * r - kg * g - kb * b AS k FROM k), """ + _box_sql("o", "k2", ["kr", "kg", "kb", "k"])
+
+
+def _stretched_sql(name: str, source: str, along: str, size: str, have: int) -> str:
+    """The coefficients of source at every place along an axis, between the centres of `have` samples."""
+    other = "y" if along == "x" else "x"
+    cells = ", ".join(f"a.{c} + (b.{c} - a.{c}) * f AS {c}" for c in ("kr", "kg", "kb", "k"))
+    return f"""{name}p AS (SELECT image_id, CAST(t AS INTEGER) AS {along}, least({have - 1}::DOUBLE, greatest(0::DOUBLE, (t + 0.5::DOUBLE) * ({have} / {size}) - 0.5::DOUBLE)) AS place FROM (SELECT DISTINCT image_id, w, h FROM px), unnest(generate_series(0, {size} - 1)) AS q(t)),
+{name}g AS (SELECT *, CAST(floor(place) AS INTEGER) AS lo, CAST(CAST(place - floor(place) AS FLOAT) AS DOUBLE) AS f FROM {name}p),
+{name} AS (SELECT g.image_id, g.{along}, a.{other}, {cells} FROM {name}g g JOIN {source} a ON a.image_id = g.image_id AND a.{along} = lo JOIN {source} b ON b.image_id = g.image_id AND b.{along} = least({have - 1}, lo + 1) AND b.{other} = a.{other})"""
+
+
+def _parted_sql(name: str, source: str, fore: str, back: str, radius: int) -> str:
+    """Blurred foreground f and background b of the columns, by the opacity al."""
+    blurred = ["m", *(n + c for n in "fb" for c in "rgb")]
+    own = ", r, g, b, al"
+    return f"{name}0 AS (SELECT image_id, x, y{own}, al AS m, " + ", ".join(f"{fore}{c} * al AS f{c}, {back}{c} * (1 - al) AS b{c}" for c in "rgb") + f" FROM {source}), " + _box_sql(f"{name}1", f"{name}0", blurred, radius, own) + f""",
+{name}2 AS (SELECT image_id, x, y{own}, """ + ", ".join(f"f{c} / (m + 1e-5::DOUBLE) AS f{c}, b{c} / (1 - m + 1e-5::DOUBLE) AS b{c}" for c in "rgb") + f""" FROM {name}1),
+{name} AS (SELECT *, """ + ", ".join(f"greatest(0::DOUBLE, least(1::DOUBLE, f{c} + al * ({c} - al * f{c} - (1 - al) * b{c}))) AS u{c}, b{c} AS w{c}" for c in "rgb") + f" FROM {name}2)"
+
+
+@query(PX + ", c AS (SELECT image_id, x, y, r / 255 AS r, g / 255 AS g, b / 255 AS b, ((x * 37 + y * 11) % 256) / 255 AS p FROM px), " + _guided_sql("1e-2") + " " + _sums_sql("o", "kr", "kg", "kb", "k").replace(", 4)", ", 3)"))
 def guided_filter(spark, d):
     px = matte.colour_planes(_px(spark, d)).withColumn("p", (F.col("x") * 37 + F.col("y") * 11) % 256 / 255)
     out = matte.guided_coefficients(px, F.lit(2), 1e-2)
     return out.groupBy("image_id").agg(F.count("*").alias("n"), *(F.round(F.sum(F.col(c) * (1 + F.col("x") + 2 * F.col("y"))), 3).alias(f"sum_{c}") for c in ("kr", "kg", "kb", "k")))
 
 
-@query()
+@query(PX.replace("WITH", "WITH RECURSIVE", 1) + """, m AS (SELECT image_id, w, h, x, y, y * w + x AS p, a / 255 * ((x * 53 + y * 29) % 11 / 10) AS alpha FROM px),
+k AS (SELECT image_id, x, y, p FROM m WHERE alpha >= 0.5::DOUBLE),
+reach(image_id, p, x, y, l) AS (SELECT image_id, p, x, y, p FROM k UNION
+  SELECT k.image_id, k.p, k.x, k.y, o.l FROM (SELECT r.*, x + dx AS nx, y + dy AS ny FROM reach r, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS d(dx, dy)) o JOIN k ON k.image_id = o.image_id AND k.x = nx AND k.y = ny AND k.p > o.l),
+c AS (SELECT image_id, p, min(l) AS l FROM reach GROUP BY ALL), s AS (SELECT image_id, l, count(*) AS n FROM c GROUP BY ALL),
+t AS (SELECT image_id, l, n >= max(n) OVER (PARTITION BY image_id) * 0.2::DOUBLE AS kept FROM s),
+met AS (SELECT m.*, kept, m.image_id IN (SELECT image_id FROM s) AS sure FROM m LEFT JOIN c ON c.image_id = m.image_id AND c.p = m.p LEFT JOIN t ON t.image_id = c.image_id AND t.l = c.l),
+n1 AS (SELECT *, max(CAST(coalesce(kept, false) AS INTEGER)) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n1 FROM met),
+n2 AS (SELECT *, max(n1) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n2 FROM n1),
+o AS (SELECT image_id, x, y, CASE WHEN sure AND (n2 = 0 OR kept = false) THEN 0 ELSE alpha END AS alpha FROM n2) """ + _sums_sql("o", "alpha"))
 def clean_matte(spark, d):
     """Mattes made from the pixels' opacity and place, cleaned; a test holds it against plain loops."""
     px = _px(spark, d).withColumn("alpha", F.col("a") / 255 * ((F.col("x") * 53 + F.col("y") * 29) % 11 / 10))
     return _sums(matte.clean(px, halo=F.lit(1), least_share=0.2), "alpha")
 
 
-@query()
+@query(PX + """, c AS (SELECT image_id, x * 5 // w AS x, y * 4 // h AS y, avg(r) / 255 AS r, avg(g) / 255 AS g, avg(b) / 255 AS b, avg(a) / 255 AS p FROM px GROUP BY image_id, x * 5 // w, y * 4 // h), """
+       + _guided_sql("1e-4") + ", " + _stretched_sql("ux", "o", "x", "w", 5) + ", " + _stretched_sql("uy", "ux", "y", "h", 4) + """,
+s0 AS (SELECT px.image_id, px.x, px.y, r / 255 AS r, g / 255 AS g, b / 255 AS b, greatest(0::DOUBLE, least(1::DOUBLE, """ + " + ".join(f"CAST(CAST(k{c} AS FLOAT) AS DOUBLE) * ({c} / 255)" for c in "rgb") + """ + CAST(CAST(k AS FLOAT) AS DOUBLE))) AS al
+ FROM px JOIN uy ON uy.image_id = px.image_id AND uy.x = px.x AND uy.y = px.y), """ + _parted_sql("s1", "s0", "", "", 2) + ", " + _parted_sql("s2", "s1", "u", "w", 1) + """,
+f AS (SELECT image_id, x, y, r, g, b, al AS alpha, """ + ", ".join(f"CAST(CAST({n}{c} AS FLOAT) AS DOUBLE) AS {n}{c}" for n in "fb" for c in "rgb") + """ FROM s2),
+e AS (SELECT image_id, x, y, alpha, """ + ", ".join(f"CASE WHEN alpha >= 0.03::DOUBLE AND alpha < 0.998::DOUBLE THEN floor(greatest(0::DOUBLE, least(1::DOUBLE, f{c} + alpha * ({c} - alpha * f{c} - (1 - alpha) * b{c}))) * 255 + 0.5::DOUBLE) ELSE round({c} * 255) END AS {c}" for c in "rgb") + " FROM f) " + _sums_sql("e", "r", "g", "b", "alpha"))
 def refine_edges(spark, d):
     """Coarse masks raised to the image's size along its edges, and the colours of soft pixels made the foreground's."""
     px = _px(spark, d)
