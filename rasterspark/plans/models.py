@@ -13,7 +13,16 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MODELS, "model string, fallback string, needs_gpu boolean")
 
 
-def usable(models: DataFrame, gpu: bool) -> DataFrame:
+def offered(devices: DataFrame) -> DataFrame:
+    """A row for each device and registered model; the registry travels as a literal of its few rows."""
+    known = F.array(*(F.struct(F.lit(name).alias("model"), F.lit(other).cast("string").alias("fallback"), F.lit(needs).alias("needs_gpu")) for name, other, needs in MODELS))
+    return devices.select("*", F.inline(known))
+
+
+def usable(models: DataFrame, gpu: bool | Column) -> DataFrame:
+    """Models that run with or without a GPU; gpu may be a column of the rows. A device that says nothing has none."""
+    if isinstance(gpu, Column):
+        return models.filter(F.coalesce(gpu, F.lit(False)) | ~F.col("needs_gpu"))
     return models.filter(F.lit(gpu) | ~F.col("needs_gpu"))
 
 

@@ -605,6 +605,14 @@ def model_fallback_chain(spark, d):
     return _t(spark, d, "part").select("p_partkey", model.alias("model"), models.resolve(model, unusable).alias("resolved"))
 
 
+@query("""SELECT c_custkey, list_aggregate(list(model ORDER BY model), 'string_agg', ',') AS models, count(*) AS n FROM customer,
+ (VALUES ('rmbg-1.4', false), ('rmbg-1.4-full', false), ('birefnet-lite', true)) AS t(model, needs_gpu) WHERE c_nationkey % 3 = 0 OR NOT needs_gpu GROUP BY 1""")
+def usable_models(spark, d):
+    """The models that each device can run; customers stand for devices, every third nation's have a GPU."""
+    devices = _t(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") % 3 == 0).alias("gpu"))
+    return models.usable(models.offered(devices), F.col("gpu")).groupBy("c_custkey").agg(F.array_join(F.array_sort(F.collect_list("model")), ",").alias("models"), F.count("*").alias("n"))
+
+
 @query("""SELECT p_partkey, CAST(CASE WHEN p_partkey % 3 = 0 THEN p_size * 10 ELSE 1024 END AS INTEGER) AS max_width, 1024 AS max_height, CASE WHEN p_partkey % 3 = 1 THEN 'small' ELSE 'high' END AS preset,
  CAST(CASE WHEN p_partkey % 3 = 1 THEN p_size ELSE 80 END AS INTEGER) AS quality, FALSE AS lossless, 'rmbg-1.4' AS model, 8 AS padding FROM part""")
 def settings_merge(spark, d):

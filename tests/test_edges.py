@@ -68,6 +68,9 @@ def test_models(spark):
     assert go("birefnet-lite") == "birefnet-lite" and go("birefnet-lite", "birefnet-lite") == "rmbg-1.4"
     assert go("rmbg-1.4", "rmbg-1.4") == "rmbg-1.4" and go("none") is None
     assert models.usable(models.registry(spark), False).count() == 2
+    devices = spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, gpu boolean")
+    assert {(r.id, r["count"]) for r in models.usable(models.offered(devices), F.col("gpu")).groupBy("id").count().collect()} == {(1, 3), (2, 2), (3, 2)}
+    assert models.usable(models.offered(devices.limit(0)), F.col("gpu")).count() == 0
 
 
 def test_selection_cases(spark):
