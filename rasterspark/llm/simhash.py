@@ -177,16 +177,16 @@ def bridges(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarra
     return np.array(kept, np.int64).reshape(-1, 2), number
 
 
-def meetings(distinct: DataFrame, radius: int, tile_rows: int | None = None, tiles_of_all: int = 64) -> DataFrame:
+def meetings(distinct: DataFrame, radius: int, tile_rows: int | None = None, tiles_of_all: int = 64, most: int = 500_000) -> DataFrame:
     """Distinct (fp, node long, ...) -> its rows once for each meeting (x, y) of their tile with a tile in
     reach, first: whether the row is of tile x.
 
     A tile holds about tile_rows fingerprints: if not given, one of tiles_of_all parts, so that a
-    fingerprint goes to about as many tasks whatever the input, but 500,000 at most, so that a task's
+    fingerprint goes to about as many tasks whatever the input, but `most` at most, so that a task's
     two tiles fit in memory.
     """
     if tile_rows is None:
-        tile_rows = min(500_000, max(4096 if radius <= 4 else 256, distinct.count() // tiles_of_all))
+        tile_rows = min(most, max(4096 if radius <= 4 else 256, distinct.count() // tiles_of_all))
     low = F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     high = F.bit_count(F.shiftrightunsigned("fp", 32))
     n = 65
@@ -263,9 +263,10 @@ SKETCH = [f"s{i}" for i in range(BITS // 64)]
 FEW, REACH_FEW, REACH = 16, 230, 195
 
 
-def _pairs(mine: dict, theirs: dict, radius: int, share: float, within: bool) -> np.ndarray:
-    """All (row of mine, row of theirs) of different labels whose fingerprints, sizes and sketches allow a similarity of share."""
-    out = [np.zeros((0, 2), np.int64)]
+def _near(mine: dict, theirs: dict, radius: int, share: float, within: bool):
+    """Blocks (rows of mine, rows of theirs, bits in which their sketches differ) of all pairs of different labels whose
+    fingerprints, sizes and sketches allow a similarity of share.
+    """
     step = max(1, (1 << 18) // max(1, len(theirs["fp"])))
     for k in range(0, len(mine["fp"]), step):
         low = k if within else 0
@@ -278,24 +279,93 @@ def _pairs(mine: dict, theirs: dict, radius: int, share: float, within: bool) ->
             i, j = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
             differ = np.bitwise_count(mine["sketch"][i] ^ theirs["sketch"][j]).sum(axis=1, dtype=np.int64)
             near = differ <= np.where(small[at : at + (1 << 14)] < FEW, REACH_FEW, REACH)
-            out.append(np.stack([i[near], j[near]], axis=1))
-    return np.concatenate(out)
+            yield i[near], j[near], differ[near]
 
 
-def candidates(distinct: DataFrame, radius: int, share: float, tile_rows: int | None = None) -> DataFrame:
-    """Distinct (fp, words of the sketch, n, node, label) -> every pair (a, b) of nodes with different labels that may be similar (see _pairs)."""
+def _met(pdf: pd.DataFrame, radius: int, share: float):
+    """The rows of a meeting, the blocks of their near pairs as row numbers, and the rows' columns."""
+    within = pdf["x"].iat[0] == pdf["y"].iat[0]
+    pdf = pdf if within else pdf.sort_values("first", ascending=False, kind="stable")
+    words = np.ascontiguousarray(pdf[SKETCH].to_numpy(np.int64)).view(np.uint64)
+    rows = {"fp": np.ascontiguousarray(words[:, 0]), "n": pdf["n"].to_numpy(), "label": pdf["label"].to_numpy(), "sketch": words}
+    if within:
+        return pdf, _near(rows, rows, radius, share, True)
+    shift = int(pdf["first"].sum())
+    found = _near({k: v[:shift] for k, v in rows.items()}, {k: v[shift:] for k, v in rows.items()}, radius, share, False)
+    return pdf, ((i, j + shift, differ) for i, j, differ in found)
+
+
+def proposals(distinct: DataFrame, radius: int, share: float, tile_rows: int | None = None) -> DataFrame:
+    """Distinct (fp, words of the sketch, n, node, label) -> (a, near, least) for every node a that may be similar to a node of
+    another label (see _near): of those nodes the one with the nearest sketch, and the least.
+    """
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        words = np.ascontiguousarray(pdf[SKETCH].to_numpy(np.int64)).view(np.uint64)
-        both = {"fp": np.ascontiguousarray(words[:, 0]), "n": pdf["n"].to_numpy(), "label": pdf["label"].to_numpy(), "sketch": words}
-        node, first = pdf["node"].to_numpy(), pdf["first"].to_numpy()
-        if pdf["x"].iat[0] == pdf["y"].iat[0]:
-            found = _pairs(both, both, radius, share, True)
-            return pd.DataFrame({"a": node[found[:, 0]], "b": node[found[:, 1]]})
-        found = _pairs({k: v[first] for k, v in both.items()}, {k: v[~first] for k, v in both.items()}, radius, share, False)
-        return pd.DataFrame({"a": node[first][found[:, 0]], "b": node[~first][found[:, 1]]})
+        pdf, found = _met(pdf, radius, share)
+        node = pdf["node"].to_numpy()
+        by_node = np.argsort(node, kind="stable")
+        rank = np.empty(len(node), np.int64)
+        rank[by_node] = np.arange(len(node))
+        nearest = np.full(len(node), np.iinfo(np.int64).max)
+        least = nearest.copy()
+        for i, j, differ in found:
+            for one, two in ((i, j), (j, i)):
+                np.minimum.at(nearest, one, differ << 32 | rank[two])
+                np.minimum.at(least, one, rank[two])
+        a = np.flatnonzero(least < len(node))
+        near = by_node[nearest[a] & 0xFFFFFFFF]
+        return pd.DataFrame({"a": node[a], "near": node[near], "bits": nearest[a] >> 32, "least": node[by_node[least[a]]]})
 
     met = meetings(distinct.select(F.col("s0").alias("fp"), *SKETCH, "n", "node", "label"), radius, tile_rows, tiles_of_all=20).drop("fp")
+    each = met.groupBy("x", "y").applyInPandas(compare, "a long, near long, bits long, least long")
+    return each.groupBy("a").agg(F.min_by("near", F.struct("bits", "near")).alias("near"), F.min("least").alias("least"))
+
+
+#: Bins of a histogram of shingles, and what a bin holds at most.
+BINS, FULL = 1024, 65535
+
+
+def histogram(text: bytes, width: int) -> np.ndarray:
+    """How many shingles of the set fall into each of BINS bins, all FULL if there are more than FULL shingles. Two texts
+    share at most the sum, over the bins, of the smaller of their counts.
+    """
+    found = _hashes(set(shingles(text, width)))
+    if len(found) > FULL:
+        return np.full(BINS, FULL, "<u2")
+    return np.bincount((found >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS).astype("<u2")
+
+
+def histograms(held: DataFrame, width: int) -> DataFrame:
+    """held (node, text) -> (node, bins)."""
+
+    def run(batches):
+        for batch in batches:
+            found = [histogram(x, width).tobytes() for x in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "bins"])
+
+    return held.select("node", "text").mapInArrow(run, "node long, bins binary")
+
+
+def candidates(distinct: DataFrame, radius: int, share: float, tile_rows: int | None = None) -> DataFrame:
+    """Distinct (fp, words of the sketch, n, node, label, bins) -> every pair (a, b) of nodes with different labels that may be similar:
+    see _near, and their histograms must allow them to share as many shingles as the similarity takes.
+    """
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, found = _met(pdf, radius, share)
+        node, n = pdf["node"].to_numpy(), pdf["n"].to_numpy()
+        bins = np.frombuffer(b"".join(pdf["bins"]), "<u2").reshape(-1, BINS)
+        out = [np.zeros((0, 2), np.int64)]
+        for i, j, _ in found:
+            for at in range(0, len(i), 1 << 12):
+                x, y = i[at : at + (1 << 12)], j[at : at + (1 << 12)]
+                most = np.minimum(bins[x], bins[y]).sum(axis=1, dtype=np.int64)
+                able = most * (1 + share) >= share * (n[x] + n[y]) - 1e-3  # less for rounding; counts are whole
+                out.append(np.stack([x[able], y[able]], axis=1))
+        pairs = np.concatenate(out)
+        return pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
+
+    met = meetings(distinct.select(F.col("s0").alias("fp"), *SKETCH, "n", "node", "label", "bins"), radius, tile_rows, tiles_of_all=20, most=40_000).drop("fp")
     return met.groupBy("x", "y").applyInPandas(compare, "a long, b long")
 
 
@@ -332,9 +402,13 @@ def near_groups(docs: DataFrame, width: int = 5, share: float = 0.8, radius: int
     1. Texts that share the least or largest of one of four shingle hashes are each proposed with one
        of them, the one with the most copies, as that is likely what the others were made from. The groups
        of the verified links are far fewer than the texts of a large group of copies.
-    2. Tiled comparison: every pair of texts from different groups is proposed if the fingerprints
-       differ in at most `radius` of 64 bits, the numbers of shingles allow the similarity, and sketches
-       of 1,024 bits (the fingerprint continued) differ in at most REACH bits.
+    2. Tiled comparison: texts from different groups are near if the fingerprints differ in at most
+       `radius` of 64 bits, the numbers of shingles allow the similarity, and sketches of 1,024 bits (the
+       fingerprint continued) differ in at most REACH bits. Each text is first proposed with two of those
+       near it, the nearest and the least, which joins most groups. Then every near pair of different
+       groups is proposed whose histograms, of 1,024 bins of shingles, allow the similarity. They never
+       allow less than what the two share, so no similar pair is left out, and of the pairs of a large
+       group of copies with texts that are near it, but not similar, hardly any is.
 
     At a similarity J a bit differs with probability acos(2J / (1 + J)) / pi: 0.148 at 0.8, or 152 of
     1,024. With bits taken as independent a pair at 0.8 is left out of step 2 with a probability of
@@ -361,8 +435,14 @@ def near_groups(docs: DataFrame, width: int = 5, share: float = 0.8, radius: int
     stars = cut(values.join(leaders, ["k", "v"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct())
     sure = cut(verified(stars, texts_of_nodes(texts, stars), width, share))
     grouped = cut(hashed.join(connected_components(sure), "node", "left").select(*SKETCH, "n", "node", F.coalesce("label", "node").alias("label")))
-    pairs = cut(candidates(grouped, radius, share))
-    return connected_components(cut(sure.union(verified(pairs, texts_of_nodes(texts, pairs), width, share))))
+    near = cut(proposals(grouped, radius, share))
+    held = texts_of_nodes(texts, near.select("a", F.col("near").alias("b")))
+    ends = near.select("a", F.explode(F.array("near", "least")).alias("b"))
+    sure = cut(sure.union(verified(cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), held, width, share)))
+    named = grouped.drop("label").join(near.select(F.col("a").alias("node")), "node").join(connected_components(sure), "node", "left")
+    left = cut(named.withColumn("label", F.coalesce("label", "node")))
+    pairs = cut(candidates(left.join(histograms(held, width), "node"), radius, share))
+    return connected_components(cut(sure.union(verified(pairs, held, width, share))))
 
 
 def keep_one(docs: DataFrame, width: int = 5, share: float = 0.8) -> DataFrame:

@@ -312,3 +312,40 @@ def test_long_texts_and_words(spark):
     same_by_id(df, brute_words(rows), "n_words", "n_removed", "kept_sha256")
     got = df.collect()
     assert all(hashlib.sha256(" ".join((r.text or "").split()).encode()).hexdigest() == r.kept_sha256 for r in got)
+
+
+def test_texts_near_a_large_group_are_not_verified_against_all_of_it(spark, monkeypatch):
+    """Copies with few edits form a group; texts with more edits are near all of them and similar to few or none."""
+    rng = random.Random(12)
+    base, fresh = [f"w{rng.randrange(10**6)}" for _ in range(150)], iter(range(10**6))
+
+    def edited(places):
+        return " ".join(f"new{next(fresh)}" if i in places else w for i, w in enumerate(base))
+
+    rows = [(i, edited(rng.sample(range(150), 2))) for i in range(160)]
+    rows += [(200 + i, edited({7, 38, 69, 100, rng.randrange(130, 145)})) for i in range(80)]
+    rows += [(500, rows[200][1].replace("new", "other", 1)), (501, rows[0][1] + " end"), (502, ""), (503, None)]
+    asked, verified = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda edges, *rest: asked.append(edges.count()) or verified(edges, *rest))
+    got = {r.node: r.label for r in simhash.near_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    sets = {}
+    for _, t in rows:
+        sets[xxhash.xxh64_intdigest(t.encode(), 42) if t is not None else 42] = set(simhash.shingles((t or "").encode(), 5))
+    nodes, root = list(sets), {x: x for x in sets}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    groups = defaultdict(set)
+    for x in nodes:
+        groups[find(x)].add(x - (1 << 64) if x >> 63 else x)
+    true = {frozenset(x) for x in groups.values() if len(x) > 1}
+    found = defaultdict(set)
+    for node, label in got.items():
+        found[label].add(node)
+    assert {frozenset(x) for x in found.values()} == true and max(map(len, true)) >= 160
+    assert sum(asked) <= 10 * len(rows), asked
