@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterspark.operators.planes import YCBCR, stored, ycbcr
+from rasterspark.functions.lineage import bulky, owned
+from rasterspark.operators.planes import YCBCR, at_places, stored, ycbcr
 
 C1, C2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
 WINDOW, STRIDE, BINS = 8, 4, 2000
@@ -83,12 +84,12 @@ def pixel_pairs(reference: DataFrame, candidate: DataFrame) -> tuple[DataFrame,
     or without a candidate: image_id, error). Images are compared only where their sizes are equal.
     """
     size = lambda px, n: px.groupBy("image_id").agg(F.max("w").alias(f"w{n}"), F.max("h").alias(f"h{n}"))
-    met = size(reference, 1).join(size(candidate, 2), "image_id", "left")
+    met = bulky(size(reference, 1)).join(size(candidate, 2), "image_id", "left")
     told = lambda n: F.concat(F.col(f"w{n}").cast("string"), F.lit("×"), F.col(f"h{n}").cast("string"))
     equal = F.coalesce((F.col("w1") == F.col("w2")) & (F.col("h1") == F.col("h2")), F.lit(False))
     errors = met.filter(~equal).select("image_id", F.coalesce(F.concat(told(1), F.lit(" against "), told(2)), F.lit("no candidate")).alias("error"))
     other = candidate.select("image_id", F.col("w").alias("_w"), F.col("h").alias("_h"), "x", "y", *(F.col(c).alias(f"{c}2") for c in "rgba"))
-    both = reference.join(other, ["image_id", "x", "y"]).filter((F.col("w") == F.col("_w")) & (F.col("h") == F.col("_h"))).drop("_w", "_h")
+    both = at_places(reference, other).filter((F.col("w") == F.col("_w")) & (F.col("h") == F.col("_h"))).drop("_w", "_h")
     return both, errors
 
 
@@ -119,7 +120,7 @@ def compare(px: DataFrame, dither_tolerant: bool = False, most: int = MOST_PIXEL
     """
     errors = max_alpha_error(px)
     alpha = px.groupBy("image_id").agg(F.max((F.col("a") < 255) | (F.col("a2") < 255)).alias("alpha"))
-    laid = shrunk(px, most).join(alpha, "image_id").withColumn("on", F.explode(F.when(F.col("alpha"), F.array(F.lit(0), F.lit(255))).otherwise(F.array(F.lit(-1)))))
+    laid = shrunk(px, most).join(owned(alpha), "image_id").withColumn("on", F.explode(F.when(F.col("alpha"), F.array(F.lit(0), F.lit(255))).otherwise(F.array(F.lit(-1)))))
     on = lambda c, n: F.when(F.col("on") < 0, F.col(f"{c}{n}").cast("double")).otherwise(F.col(f"{c}{n}") * (F.col(f"a{n}") / 255) + (1 - F.col(f"a{n}") / 255) * F.col("on"))
     flat = laid.select("image_id", "on", "w", "h", "x", "y", *(on(c, n).alias(f"{c}{n}") for n in ("", "2") for c in "rgb"))
     value = lambda k, n: (k[0] * F.col(f"r{n}") + k[1] * F.col(f"g{n}") + k[2] * F.col(f"b{n}") + k[3]).cast("float")
@@ -134,7 +135,7 @@ def compare(px: DataFrame, dither_tolerant: bool = False, most: int = MOST_PIXEL
         means = rows.filter(~small & inside).groupBy(*by, half("w").alias("w"), half("h").alias("h"), half("x").alias("x"), half("y").alias("y")).agg(F.avg("p").cast("float").alias("p"), F.avg("q").cast("float").alias("q"))
         found = window_scores(rows.filter(small).unionByName(means), by)
         mean = found.groupBy(*by).agg(F.avg("score").alias("mean"))
-        return mean.join(first_hundredth(found.filter("plane = 'luma'"), by), list(by), "left")
+        return bulky(mean).join(first_hundredth(found.filter("plane = 'luma'"), by), list(by), "left")
 
     def blurred(rows):
         for across, along in (("y", "x"), ("x", "y")):
@@ -145,11 +146,11 @@ def compare(px: DataFrame, dither_tolerant: bool = False, most: int = MOST_PIXEL
     found = scores(rows)
     if dither_tolerant:
         soft = scores(blurred(rows)).select(*by, F.col("mean").alias("mean2"), F.col("worst").alias("worst2"))
-        found = found.join(soft, list(by)).withColumns({"mean": (F.col("mean") + F.col("mean2")) / 2, "worst": (F.col("worst") + F.col("worst2")) / 2})
+        found = bulky(found).join(soft, list(by)).withColumns({"mean": (F.col("mean") + F.col("mean2")) / 2, "worst": (F.col("worst") + F.col("worst2")) / 2})
     weight = F.create_map(*(F.lit(x) for pair in PLANE_WEIGHTS.items() for x in pair))[F.col("plane")]
     laid_scores = found.groupBy("image_id", "on").agg(F.sum(F.col("mean") * weight).alias("ssim"), F.max("worst").alias("worst"))
     error = sum((F.col(c) - F.col(f"{c}2")) ** 2 for c in "rgb") / 3
     noise = flat.groupBy("image_id", "on").agg(F.avg(error).alias("mse")).groupBy("image_id").agg(F.max("mse").alias("mse"))
     worst = laid_scores.groupBy("image_id").agg(F.least(F.lit(1.0), F.min("ssim")).alias("ssim"), F.least(F.lit(1.0), F.min("worst")).alias("worst_block_ssim"))
     psnr_ = F.when(F.col("mse") == 0, F.lit(float("inf"))).otherwise(10 * F.log10(65025 / F.when(F.col("mse") > 0, F.col("mse"))))
-    return worst.join(noise, "image_id").join(errors, "image_id").select("image_id", "ssim", "worst_block_ssim", psnr_.alias("psnr"), "max_alpha_error")
+    return bulky(worst).join(noise, "image_id").join(bulky(errors), "image_id").select("image_id", "ssim", "worst_block_ssim", psnr_.alias("psnr"), "max_alpha_error")
