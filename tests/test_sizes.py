@@ -20,6 +20,6 @@ def exchanges(text):
     return re.findall(r"BroadcastHashJoin|Exchange hashpartitioning\([^)]*\b[xyrgbawh]#[^)]*\)", text)
 
 
-@pytest.mark.parametrize("name", ["crop_pad_pixels", "pixel_pairs"])
+@pytest.mark.parametrize("name", ["crop_pad_pixels", "pixel_pairs", "nearest_palette", "palette_population"])
 def test_no_pixel_is_sent(spark, small, name):
     assert exchanges(plan(entry.queries()[name](spark, small))) == []
