@@ -23,3 +23,34 @@ def exchanges(text):
 @pytest.mark.parametrize("name", ["crop_pad_pixels", "pixel_pairs", "nearest_palette", "palette_population"])
 def test_no_pixel_is_sent(spark, small, name):
     assert exchanges(plan(entry.queries()[name](spark, small))) == []
+
+
+def test_regions_across_bands_of_rows(spark):
+    """Images of several bands and batches, against a flood fill."""
+    import numpy as np
+
+    from rasterspark.operators import components
+
+    drawn, rows, want = np.random.default_rng(1), [], {}
+    for image, (w, h, share) in enumerate([(7, 5, 0.6), (20, 2 * components.BAND + 3, 0.62), (1, components.BAND + 9, 0.9)]):
+        mask = drawn.random((h, w)) < share
+        rows += [(image, w, x, y, bool(mask[y, x])) for y in range(h) for x in range(w)]
+        for y, x in zip(*np.nonzero(mask)):
+            if (image, x, y) not in want:
+                todo = [(x, y)]
+                while todo:
+                    a, b = todo.pop()
+                    if 0 <= a < w and 0 <= b < h and mask[b, a] and (image, a, b) not in want:
+                        want[image, a, b] = y * w + x
+                        todo += [(a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        found = components.regions(spark.createDataFrame(rows, "image_id long, w int, x int, y int, keep boolean")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.image_id, x, r.y): r.label for r in found for x in range(r.x0, r.x0 + r.n)} == want
+
+
+@pytest.mark.parametrize("name", ["component_sizes"])
+def test_regions_of_small_images_are_not_joined(spark, small, name):
+    assert "Join" not in plan(entry.queries()[name](spark, small))
