@@ -54,3 +54,8 @@ def test_regions_across_bands_of_rows(spark):
 @pytest.mark.parametrize("name", ["component_sizes"])
 def test_regions_of_small_images_are_not_joined(spark, small, name):
     assert "Join" not in plan(entry.queries()[name](spark, small))
+
+
+@pytest.mark.parametrize("name", ["clean_matte"])
+def test_mattes_are_not_broadcast(spark, small, name):
+    assert "BroadcastHashJoin" not in plan(entry.queries()[name](spark, small))
