@@ -59,3 +59,13 @@ def test_regions_of_small_images_are_not_joined(spark, small, name):
 @pytest.mark.parametrize("name", ["clean_matte"])
 def test_mattes_are_not_broadcast(spark, small, name):
     assert "BroadcastHashJoin" not in plan(entry.queries()[name](spark, small))
+
+
+@pytest.mark.parametrize("name", ["guided_filter", "thumbnails"])
+def test_neighbours_are_found_without_sending_pixels(spark, small, name):
+    assert not re.search(r"Exchange hashpartitioning\([^)]*, ", re.sub(r", \d+\)", ")", "\n".join(x for x in plan(entry.queries()[name](spark, small)).splitlines() if "image_id" in x)))
+
+
+@pytest.mark.parametrize("name", ["search_rounds"])
+def test_searches_meet_their_answers_by_sorts(spark, small, name):
+    assert "BroadcastHashJoin" not in plan(entry.queries()[name](spark, small))
