@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterspark.functions.lineage import cut
+from rasterspark.functions.lineage import bulky, cut
 from rasterspark.plans import search
 from rasterspark.plans.search import FINAL, let
 
@@ -124,7 +124,7 @@ def asked_for(rows: DataFrame, measure: Measure) -> DataFrame:
         told = measure(requests)
         told = told if "error" in told.columns else told.withColumn("error", F.lit(None).cast("string"))
         told = told.select("image_id", "candidate", F.col("bytes").cast("long").alias("_bytes"), F.col("ssim").cast("double").alias("_ssim"), F.col("worst").cast("double").alias("_worst"), F.col("error").alias("_error"))
-        met = state.join(told, ["image_id", "candidate"], "left")
+        met = bulky(state).join(told, ["image_id", "candidate"], "left")
         good = F.col("_bytes").isNotNull() & F.col("_ssim").isNotNull() & F.col("_worst").isNotNull() & F.col("_error").isNull()
         answer = F.create_map("ask", F.struct(F.col("_bytes").alias("bytes"), F.col("_ssim").alias("ssim"), F.col("_worst").alias("worst")))
         met = met.withColumn("answers", F.when(good, F.map_concat("answers", answer)).otherwise(F.col("answers")))
@@ -142,7 +142,7 @@ def _arrays(images: DataFrame, found: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.concat("candidate", F.lit(": "), "error")))).alias("failed"),
     )
     none = F.array().cast(dict(told.dtypes)["primary"])
-    met = images.drop("primary", "fallback").join(told, F.col("image_id") == F.col("_id"), "left").drop("_id")
+    met = bulky(images.drop("primary", "fallback")).join(told, F.col("image_id") == F.col("_id"), "left").drop("_id")
     return met.withColumns({c: F.coalesce(c, none) for c in ("primary", "fallback")})
 
 
@@ -155,7 +155,7 @@ def compress(images: DataFrame, measure: Measure) -> DataFrame:
     images = cut(images)
     first = asked_for(frontier(images, "primary"), measure)
     chosen = search.compress(_arrays(images, first)).select("image_id", F.coalesce("best.passed", F.lit(False)).alias("_done"))
-    short = images.join(chosen.filter("_done"), "image_id", "left_anti")
+    short = bulky(images).join(chosen.filter("_done"), "image_id", "left_anti")
     every = _arrays(images, first.unionByName(asked_for(frontier(short, "fallback"), measure)))
     counts = every.select("image_id", F.coalesce("measured", F.lit(0).cast("long")).alias("measured"), F.coalesce("most_measured", F.lit(0)).alias("most_measured"), F.coalesce("failed", F.array().cast("array<string>")).alias("failed"))
-    return search.compress(every).join(counts, "image_id")
+    return bulky(search.compress(every)).join(counts, "image_id")
