@@ -69,3 +69,24 @@ def test_neighbours_are_found_without_sending_pixels(spark, small, name):
 @pytest.mark.parametrize("name", ["search_rounds"])
 def test_searches_meet_their_answers_by_sorts(spark, small, name):
     assert "BroadcastHashJoin" not in plan(entry.queries()[name](spark, small))
+
+
+def test_pixels_are_kept_as_lines(spark, small, monkeypatch):
+    from rasterspark.sources import pixels
+
+    written = []
+    monkeypatch.setattr(pixels, "cut", lambda df, cut=pixels.cut: written.append(cut(df)) or written[-1])
+    px = pixels.from_parts(spark.read.parquet(f"{small}/part.parquet").filter("p_partkey % 20 = 3")).withColumn("more", pixels.F.col("image_id") % 2 == 0)
+    back = pixels.lined(px, "more")
+    assert back.dtypes == px.dtypes and sorted(back.collect()) == sorted(px.collect())
+    assert written[0].count() == px.select("image_id", "y").distinct().count()
+
+
+@pytest.mark.parametrize("name", ["refine_edges"])
+def test_no_exchange_of_pixels_between_filters(spark, small, name):
+    assert exchanges(plan(entry.queries()[name](spark, small))) == []
+
+
+@pytest.mark.parametrize("name", ["compare_images", "kmeans_three", "remap_palette"])
+def test_no_broadcast_of_colours(spark, small, name):
+    assert "BroadcastHashJoin" not in plan(entry.queries()[name](spark, small))
