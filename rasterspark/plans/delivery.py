@@ -15,9 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterspark.functions.lineage import cut
+from rasterspark.functions.lineage import bulky, cut, owned
 from rasterspark.operators import metrics, planes
 from rasterspark.plans import compression, process, rounds, rules, search
+from rasterspark.sources.pixels import lined
 
 PALETTES = ("png-quant", "webp-palette")
 
@@ -64,27 +65,28 @@ def deliver(px: DataFrame, sources: DataFrame, encoders: Encoders, inspect: Insp
     ready = rows.filter("error is null")
     flat = ready.filter((F.col("format") == "jpeg") & F.col("has_alpha")).select("image_id")
     if not flat.isEmpty():
-        final = cut(planes.flatten_onto(final.join(flat, "image_id", "left_semi")).select(*final.columns).unionByName(final.join(flat, "image_id", "left_anti")))
+        final = lined(planes.flatten_onto(final.join(owned(flat), "image_id", "left_semi")).select(*final.columns).unionByName(final.join(owned(flat), "image_id", "left_anti")))
     measure = encoders(final)
     found = cut(rounds.compress(searched(ready, options, quality), measure))
     chosen = cut(found.filter("error is null").select("image_id", "best.*", "warning", "measured", "failed").withColumn("format", F.substring_index("candidate", "-", 1)))
 
     info, decoded = inspect(chosen.select("image_id", "candidate", "level", "final", "format"))
-    both, sizes = metrics.pixel_pairs(final.join(chosen, "image_id", "left_semi"), decoded)
-    scores = metrics.compare(both).select("image_id", F.col("ssim").alias("_ssim"), F.col("worst_block_ssim").alias("_worst"))
-    info = info.select("image_id", "size", "found", F.col("w").alias("_w"), F.col("h").alias("_h"), "alpha", F.col("error").alias("_unread"))
-    seen = chosen.join(info, "image_id", "left").join(ready.select("image_id", "width", "height", "has_alpha"), "image_id").join(scores, "image_id", "left")
-    seen = seen.join(sizes.select("image_id", F.col("error").alias("_pairs")), "image_id", "left")
+    both, sizes = metrics.pixel_pairs(final.join(owned(chosen.select("image_id")), "image_id", "left_semi"), decoded)
+    scores = cut(metrics.compare(lined(both)).select("image_id", F.col("ssim").alias("_ssim"), F.col("worst_block_ssim").alias("_worst")))
+    info = cut(info.select("image_id", "size", "found", F.col("w").alias("_w"), F.col("h").alias("_h"), "alpha", F.col("error").alias("_unread")))
+    sizes = cut(sizes)
+    seen = bulky(chosen).join(info, "image_id", "left").join(bulky(ready.select("image_id", "width", "height", "has_alpha")), "image_id").join(bulky(scores), "image_id", "left")
+    seen = bulky(seen).join(sizes.select("image_id", F.col("error").alias("_pairs")), "image_id", "left")
     wrong = compression.validation_error(F.coalesce("size", F.lit(0)), F.col("found"), F.col("format"), F.col("_w"), F.col("_h"), F.col("width"), F.col("height"), F.col("alpha"), F.col("has_alpha"))
     seen = cut(seen.withColumn("invalid", F.coalesce(wrong, F.when(F.col("_unread").isNotNull(), F.concat(F.lit("unreadable: "), F.col("_unread"))), F.col("_pairs"))))
     bad = seen.filter("invalid is not null").select("image_id")
     png = measure(bad.select("image_id", F.lit("png-lossless").alias("candidate"), F.lit(100).alias("level"), F.lit(True).alias("final")))
     png = png if "error" in png.columns else png.withColumn("error", F.lit(None).cast("string"))
-    seen = seen.join(png.select("image_id", F.col("bytes").alias("png_bytes"), F.col("error").alias("_png")), "image_id", "left")
+    seen = bulky(seen).join(png.select("image_id", F.col("bytes").alias("png_bytes"), F.col("error").alias("_png")), "image_id", "left")
 
     told = seen.select("image_id", "candidate", "level", "format", "bytes", "invalid", "png_bytes", "_png", "_ssim", "_worst", "warning", "measured", "failed")
     told = told.unionByName(found.filter("error is not null").select("image_id", F.col("error").alias("none"), "measured", "failed"), allowMissingColumns=True)
-    met = sources.join(rows.drop("format", "source_format"), "image_id").join(told, "image_id", "left")
+    met = bulky(sources).join(rows.drop("format", "source_format"), "image_id").join(bulky(told), "image_id", "left")
     replaced = F.col("invalid").isNotNull()
     size = F.when(replaced, F.col("png_bytes")).otherwise(F.col("bytes"))
     unmade = F.coalesce("none", F.when(replaced & F.col("png_bytes").isNull(), F.concat("invalid", F.lit("; no PNG either: "), F.coalesce("_png", F.lit("no answer")))))
@@ -147,11 +149,11 @@ def by_function(encode, dither_tolerant: bool = False) -> Encoders:
                 yield pd.DataFrame(out, columns=ANSWER)
 
         def measure(requests: DataFrame) -> DataFrame:
-            made = cut(requests.join(images, "image_id").mapInPandas(run, ANSWER_SCHEMA))
+            made = cut(bulky(requests).join(images, "image_id").mapInPandas(run, ANSWER_SCHEMA))
             key = F.concat_ws("/", F.col("image_id").cast("string"), "candidate")
             px = made.filter("made is not null").select(key.alias("image_id"), "w", "h", "rgba", "made").mapInPandas(pixel_rows, PAIRS)
             scores = metrics.compare(px, dither_tolerant).select(F.col("image_id").alias("_key"), "ssim", F.col("worst_block_ssim").alias("worst"))
-            return made.join(scores, key == F.col("_key"), "left").select("image_id", "candidate", "level", "final", "bytes", "ssim", "worst", "error")
+            return bulky(made).join(scores, key == F.col("_key"), "left").select("image_id", "candidate", "level", "final", "bytes", "ssim", "worst", "error")
 
         return measure
 

@@ -80,6 +80,8 @@ def test_pixels_are_kept_as_lines(spark, small, monkeypatch):
     back = pixels.lined(px, "more")
     assert back.dtypes == px.dtypes and sorted(back.collect()) == sorted(px.collect())
     assert written[0].count() == px.select("image_id", "y").distinct().count()
+    pairs = pixels.degraded(px.drop("more"))
+    assert sorted(pixels.lined(pairs).collect()) == sorted(pairs.collect())
 
 
 @pytest.mark.parametrize("name", ["refine_edges"])
